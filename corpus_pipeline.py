@@ -1,34 +1,59 @@
-"""A corpus pipeline of stages that each call one operator of tidemark.llm."""
+"""A corpus pipeline of five stages, each of which calls one operator of tidemark.llm.
+
+Quality classifier, exact dedup, near-dedup, mixing of sources to target weights, and BPE encoding. Each stage
+is a function of (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, mixing
+from tidemark.llm import bpe, common, exact_dedup, mixing, near_dedup, pu_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at 0.7 or more; it learns from the labels in sf_dir."""
+    model = pu_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return pu_quality.good_rows(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
     return exact_dedup.keep_one(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the row with the least doc_id."""
+    return near_dedup.keep_one(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them: not at all, once or twice."""
     return mixing.mixed_rows(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded text, a row for each row of docs."""
     import public_tokenizers
 
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact dedup", exact), ("mixing", mixed), ("bpe", encoded)]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding and decoding", encoded),
+]
+
+#: SQL can't express the classifier or the signatures; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm import common
-
+    """All stages over the table documents of sf_dir, each but the last written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

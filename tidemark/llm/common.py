@@ -67,3 +67,26 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 def uniform(*parts: Column) -> Column:
     """A fixed number in [0, 1) in steps of 2**-20 for each value of parts, alike in any engine that has md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 5), 16, 10).cast("long") / F.lit(1048576.0)
+
+
+#: Bits of a key filter: 512 buckets of 4 KiB, so it never holds more than 2 MiB.
+_BUCKETS, _BUCKET_BITS = 512, 32768
+
+
+def _place(key: Column) -> Column:
+    """A key's bit, from 24 bits of its hash."""
+    return F.xxhash64(key).bitwiseAND(F.lit(_BUCKETS * _BUCKET_BITS - 1))
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in keys (one column of the same name), and some others.
+
+    A filter of fixed size is broadcast, however many keys there are; an exact join must follow. It only
+    spares that join most of the rows that it would drop.
+    """
+    at = F.col("__place")
+    bits = keys.select(_place(F.col(key)).alias("__place")).groupBy(F.shiftright(at, 15).alias("__bucket")).agg(F.bitmap_construct_agg(at % _BUCKET_BITS).alias("__bits"))
+    bit = at % _BUCKET_BITS
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = rows.withColumn("__place", _place(F.col(key))).withColumn("__bucket", F.shiftright(at, 15)).join(F.broadcast(bits), "__bucket")
+    return found.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("__place", "__bucket", "__bits")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, pu_quality, sharding
+from . import bpe, exact_dedup, mixing, near_dedup, pu_quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ FROM placed p JOIN aims a ON p.source IS NOT DISTINCT FROM a.source
 """
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pu_quality": op2_pu_quality,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL}
