@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ego_join, exact_dedup, mixing, near_dedup, pu_quality, sharding
+from . import bpe, ego_join, exact_dedup, mixing, near_dedup, pu_quality, sharding, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,10 @@ FROM v
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_paths.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
