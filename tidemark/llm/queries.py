@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ego_join, exact_dedup, mixing, near_dedup, pu_quality, sharding, tag_paths
+from . import bpe, ego_join, exact_dedup, mixing, near_dedup, pu_quality, sharding, surrogates, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogate_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_html_extraction": op6_html_extraction,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
