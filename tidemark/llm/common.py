@@ -78,15 +78,21 @@ def _place(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit(_BUCKETS * _BUCKET_BITS - 1))
 
 
-def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose key is in keys (one column of the same name), and some others.
+def maybe_marked(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column name: true for each row whose key is in keys (one column), and for some others.
 
     A filter of fixed size is broadcast, however many keys there are; an exact join must follow. It only
-    spares that join most of the rows that it would drop.
+    spares that join most of the rows that it would not match.
     """
     at = F.col("__place")
-    bits = keys.select(_place(F.col(key)).alias("__place")).groupBy(F.shiftright(at, 15).alias("__bucket")).agg(F.bitmap_construct_agg(at % _BUCKET_BITS).alias("__bits"))
+    held = keys.select(_place(F.col(keys.columns[0])).alias("__place"))
+    bits = held.groupBy(F.shiftright(at, 15).alias("__bucket")).agg(F.bitmap_construct_agg(at % _BUCKET_BITS).alias("__bits"))
     bit = at % _BUCKET_BITS
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    found = rows.withColumn("__place", _place(F.col(key))).withColumn("__bucket", F.shiftright(at, 15)).join(F.broadcast(bits), "__bucket")
-    return found.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("__place", "__bucket", "__bits")
+    found = rows.withColumn("__place", _place(key)).withColumn("__bucket", F.shiftright(at, 15)).join(F.broadcast(bits), "__bucket", "left")
+    return found.withColumn(name, F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))).drop("__place", "__bucket", "__bits")
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in keys (one column), and some others; see maybe_marked."""
+    return maybe_marked(rows, F.col(key), keys, "__maybe").filter("__maybe").drop("__maybe")

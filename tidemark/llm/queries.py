@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ego_join, exact_dedup, mixing, near_dedup, pu_quality, sharding, surrogates, tag_paths
+from . import bpe, ego_join, exact_dedup, mixing, near_dedup, pu_quality, sharding, substring_dedup, surrogates, tag_paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,28 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_paths.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM split WHERE len(ws) >= 20)
+), late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM grams) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM late
+), marks AS (
+  SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id
+)
+SELECT s.doc_id, len(ws) AS n_words, coalesce(len(ks), 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_filter(ws, lambda w, k: NOT list_contains(ks, k)) END, ' '), '')) AS kept_sha256
+FROM split s LEFT JOIN marks m ON s.doc_id = m.doc_id
+"""
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.surrogate_texts(_table(spark, sf_dir, "documents"))
 
@@ -127,8 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_html_extraction": op6_html_extraction,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_near_dedup": op9_near_dedup,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_substring_dedup": OP7_SQL}
