@@ -40,6 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete scratch tables (or folders) of this module that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        paths = {t} if isinstance(t, str) else {f.rsplit("/", 1)[0] for f in t.inputFiles()}
+        for p in paths:
+            if "/tidemark-" in p:
+                path = jvm.org.apache.hadoop.fs.Path(p)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs with FILE and ROW, which tell rows apart (even equal ones) and stay the same when a task is run again.
 

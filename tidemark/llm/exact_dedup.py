@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 from . import common
 from .common import FILE, ROW
 
-#: Bits of the filter that picks rows whose digest was hit: 512 buckets of 4 KiB, so never more than 2 MiB.
-_BUCKETS, _BUCKET_BITS = 512, 32768
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": _PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a store that stays open holds native memory and, with its preallocated manifest, 4 MB of disk
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
 def _stream_state(prints: DataFrame, path: str, files_per_batch: int | None) -> DataFrame:
-    """digest, __keep (id, file, row) and __n from the state that a stream over the table at path leaves."""
+    """digest, __keep (id, file, row) and __n, written from the state that a stream over the table at path leaves."""
     spark = prints.sparkSession
     before = {k: spark.conf.get(k, None) for k in _STREAM_CONF}
     for k, v in _STREAM_CONF.items():
@@ -54,14 +54,10 @@ def _stream_state(prints: DataFrame, path: str, files_per_batch: int | None) ->
     kept = spark.read.format("statestore").load(state)
     fields = kept.schema["value"].dataType.names
     last = {n.split("#")[0]: n for n in fields}
-    return kept.select(F.col("key.digest").alias("digest"), F.col(f"value.{last['max']}").alias("__keep"), F.col(f"value.{last['count']}").alias("__n"))
-
-
-def _hit_filter(state: DataFrame) -> DataFrame:
-    """__bucket and __bits: a filter of fixed size that holds every digest which was hit more than once."""
-    place = F.conv(F.substring(F.hex("digest"), 1, 6), 16, 10).cast("long")
-    hits = state.filter("__n > 1").select(place.alias("__place"))
-    return hits.groupBy((F.col("__place") / _BUCKET_BITS).cast("long").alias("__bucket")).agg(F.bitmap_construct_agg(F.col("__place") % _BUCKET_BITS).alias("__bits"))
+    kept = kept.select(F.col("key.digest").alias("digest"), F.col(f"value.{last['max']}").alias("__keep"), F.col(f"value.{last['count']}").alias("__n"))
+    kept = common.written(kept, "dedup-kept")
+    common.discard(spark, state)
+    return kept
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, files_per_batch: int | None = None) -> DataFrame:
@@ -80,19 +76,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = common.scratch(spark, "dedup-prints")
     rows.drop("__text").write.parquet(path)
     prints = spark.read.parquet(path)
-    state = common.written(_stream_state(prints, path, files_per_batch), "dedup-kept")
+    state = _stream_state(prints, path, files_per_batch)
 
     # Full bytes on hits: texts are gathered once per digest and task before they are exchanged, so a group
     # of any size sends one copy per task.
-    place = F.conv(F.substring(F.hex("digest"), 1, 6), 16, 10).cast("long")
-    bit = F.col("__place") % _BUCKET_BITS
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    hit = (
-        rows.withColumn("__place", place)
-        .withColumn("__bucket", (F.col("__place") / _BUCKET_BITS).cast("long"))
-        .join(F.broadcast(_hit_filter(state)), "__bucket")
-        .filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1)
-    )
+    hit = common.maybe_in(rows, "digest", state.filter("__n > 1").select("digest"))
     several = hit.groupBy("digest").agg(F.collect_set("__text").alias("__texts")).filter(F.size("__texts") > 1).select("digest")
     several = common.written(several, "dedup-several")
 

@@ -227,6 +227,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = common.written(components(links), "near-classes")
     named = sketch.select("node", "__id", FILE, ROW).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = common.written(named, "near-named")
+    common.discard(docs.sparkSession, sketch, groups, members, classes)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", FILE, ROW)).alias("best"), F.count(F.lit(1)).alias("n"))
     out = named.join(best, "root")
     kept = (F.col(FILE) == F.col(f"best.{FILE}")) & (F.col(ROW) == F.col(f"best.{ROW}"))

@@ -62,7 +62,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93)), text, start + low, end + low
 
 
-def pieces(column: pa.Array, most_bytes: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, data, offsets) for runs of rows of a string column, of about most_bytes or one text each."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
