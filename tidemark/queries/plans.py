@@ -51,24 +51,24 @@ def _runs(source: str, keys: tuple[str, ...]) -> str:
 
 
 _GRID_SQL = f"""{_PARAMS}, {_runs('bars', ('symbol',))},
-res AS (SELECT symbol, param_id, {metric_columns(252)} FROM met GROUP BY symbol, param_id),
+res AS (SELECT symbol, param_id, {', '.join(f'{METRIC_SQL[m].format(p=252)} AS {m}' for m in METRIC_SQL)} FROM met GROUP BY symbol, param_id),
 every AS (SELECT s.symbol, p.param_id, p.short, p.long, r.* EXCLUDE (symbol, param_id), CASE WHEN r.symbol IS NULL THEN '-Infinity'::DOUBLE ELSE r.sharpe_ratio END AS objective FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN params p LEFT JOIN res r ON r.symbol = s.symbol AND r.param_id = p.param_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY objective DESC NULLS LAST, param_id) AS INT) AS rank FROM every)"""
 
 
 def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.search(hourly(spark, sf_dir), _grid(spark), "ma_crossover"))
+    return grid.search(hourly(spark, sf_dir), _grid(spark), "ma_crossover")
 
 
-@query(f"WITH {H}, {_GRID_SQL} SELECT symbol, param_id, short, long, total_return, sharpe_ratio, max_drawdown, profit_factor, objective, rank FROM ranked")
+@query(f"WITH {H}, {_GRID_SQL} SELECT symbol, param_id, short, long, {', '.join(r(c) for c in ('total_return', 'sharpe_ratio', 'max_drawdown', 'profit_factor', 'objective'))}, rank FROM ranked")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations of a crossover's two means; invalid ones rank last."""
-    return _search(spark, sf_dir).select("symbol", "param_id", "short", "long", "total_return", "sharpe_ratio", "max_drawdown", "profit_factor", "objective", "rank")
+    return rounded(_search(spark, sf_dir).select("symbol", "param_id", "short", "long", "total_return", "sharpe_ratio", "max_drawdown", "profit_factor", "objective", "rank"))
 
 
-@query(f"WITH {H}, {_GRID_SQL} SELECT symbol, param_id, short, long, objective FROM ranked WHERE rank = 1")
+@query(f"WITH {H}, {_GRID_SQL} SELECT symbol, param_id, short, long, {r('objective')} FROM ranked WHERE rank = 1")
 def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.best(_search(spark, sf_dir)).select("symbol", "param_id", "short", "long", "objective")
+    return rounded(grid.best(_search(spark, sf_dir)).select("symbol", "param_id", "short", "long", "objective"))
 
 
 @query(f"WITH {H}, {_GRID_SQL} SELECT short, {r('avg(objective)', 'mean', 5)}, {r('stddev_samp(objective)', 'std', 5)}, {r('min(objective)', 'min', 5)}, {r('max(objective)', 'max', 5)}, count(objective) AS n FROM ranked WHERE sharpe_ratio IS NOT NULL GROUP BY short")
@@ -92,7 +92,7 @@ def param_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.select("short", (F.col("mean") - F.col("std")).alias("low"), (F.col("mean") + F.col("std")).alias("high")), 5)
 
 
-@query(f"WITH {H}, {_GRID_SQL}, t AS (SELECT symbol, param_id, short, long, objective FROM ranked ORDER BY objective DESC NULLS LAST, symbol, param_id LIMIT 8) SELECT symbol, param_id, objective, {r('CASE WHEN max(short) OVER () > min(short) OVER () THEN (short - min(short) OVER ()) / (max(short) OVER () - min(short) OVER ()) ELSE short END', 'short_scaled')}, {r('CASE WHEN max(long) OVER () > min(long) OVER () THEN (long - min(long) OVER ()) / (max(long) OVER () - min(long) OVER ()) ELSE long END', 'long_scaled')} FROM t")
+@query(f"WITH {H}, {_GRID_SQL}, t AS (SELECT symbol, param_id, short, long, objective FROM ranked ORDER BY objective DESC NULLS LAST, symbol, param_id LIMIT 8) SELECT symbol, param_id, {r('objective')}, {r('CASE WHEN max(short) OVER () > min(short) OVER () THEN (short - min(short) OVER ()) / (max(short) OVER () - min(short) OVER ()) ELSE short END', 'short_scaled')}, {r('CASE WHEN max(long) OVER () > min(long) OVER () THEN (long - min(long) OVER ()) / (max(long) OVER () - min(long) OVER ()) ELSE long END', 'long_scaled')} FROM t")
 def top_n_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best runs of all, with scaled parameters (a top-k report)."""
     return rounded(grid.top(_search(spark, sf_dir), 8, ["short", "long"]).select("symbol", "param_id", "objective", "short_scaled", "long_scaled"))
