@@ -342,3 +342,29 @@ def test_reports(spark):
     assert [r.marker for r in got] == ["long", "short"] * 3
     js = report.summary_json(spark.createDataFrame([("a", math.inf, 1)], "symbol string, x double, n int")).first().summary
     assert js == '{"x":null,"n":1}'
+
+
+def test_text_and_settings(tmp_path):
+    from tidemark import config
+
+    assert report.text("Run", {"pf": math.inf, "n": 3, "x": 0.5}) == "Run\n---\npf  infinite\nn   3\nx   0.5000"
+    path = str(tmp_path / "c.json")
+    assert config.load(path)["capital"] == 100_000.0
+    config.save(path, {"capital": 5.0})
+    assert config.load(path)["capital"] == 5.0
+    with pytest.raises(ValueError):
+        config.save(path, {"colour": 1})
+
+
+def test_grid_of_a_strategy(spark):
+    assert grid.of_strategy(spark, "donchian").count() == 10 and grid.of_strategy(spark, "macd_atr").count() == 1
+    assert STRATEGIES["donchian"].info()["has_frame"]
+
+
+def test_numpy_permutation_test(spark):
+    b = make(spark, walk(120))
+    s = mcpt.numpy_scores(b, "ma_crossover", [{"short": 3, "long": 8}, {"short": 9, "long": 2}], 20)
+    r = mcpt.statistics(s).first()
+    assert r.n_permutations == 20 and 0 <= r.p_value <= 1 and s.filter("score IS NULL").count() == 0
+    bad = mcpt.numpy_scores(b, "ma_crossover", [{"short": 9, "long": 2}], 3)
+    assert {x.score for x in bad.collect()} == {-math.inf}

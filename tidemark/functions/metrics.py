@@ -62,8 +62,10 @@ def summarise(runs: DataFrame, keys: Sequence[str], periods: float = 252) -> Dat
     return curves(runs, keys).groupBy(*keys).agg(*aggregates(periods))
 
 
-def objective(name: str, drawdown_sense: str = "parity") -> Column:
-    """What a grid is ranked by, larger first; ValueError for an unknown name."""
+def objective(name: str | Column, drawdown_sense: str = "parity") -> Column:
+    """What a grid is ranked by, larger first: a name, or any expression over the metrics; ValueError for an unknown name."""
+    if isinstance(name, Column):
+        return name
     if name not in OBJECTIVES:
         raise ValueError(f"unknown objective {name}; known: {', '.join(OBJECTIVES)}")
     if name == "max_drawdown":

@@ -56,7 +56,13 @@ def mapped(params: DataFrame) -> DataFrame:
     return params.select("param_id", F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("double"))]).alias("params"))
 
 
-def search(bars: DataFrame, params: DataFrame, strategy: str, by: str = "sharpe_ratio", cost: float = FEE + SLIPPAGE, periods: float = 252, drawdown_sense: str = "parity") -> DataFrame:
+def of_strategy(spark: SparkSession, strategy: str) -> DataFrame:
+    """The grid over a strategy's own ranges; its defaults alone where it has none."""
+    s = STRATEGIES[strategy]
+    return expand(spark, {n: value_range(*r) for n, r in s.ranges.items()} or {n: [v] for n, v in s.defaults.items()})
+
+
+def search(bars: DataFrame, params: DataFrame, strategy: str, by: str | Column = "sharpe_ratio", cost: float = FEE + SLIPPAGE, periods: float = 252, drawdown_sense: str = "parity") -> DataFrame:
     """Metrics, objective and rank of each (symbol, param_id); a combination that fails has objective -Infinity and an error.
 
     Larger objectives rank first, +Infinity above all, ties by param_id.
@@ -67,7 +73,13 @@ def search(bars: DataFrame, params: DataFrame, strategy: str, by: str = "sharpe_
     return ranked(made.join(F.broadcast(params.drop("error")), "param_id"), by, ("symbol",), drawdown_sense)
 
 
-def ranked(results: DataFrame, by: str, keys: Sequence[str], drawdown_sense: str = "parity") -> DataFrame:
+def quick_optimise(bars: DataFrame, strategy: str, values: Mapping[str, Sequence[float]], by: str | Column = "sharpe_ratio") -> DataFrame:
+    """The best parameters and their objective for each series, with default costs."""
+    done = best(search(bars, expand(bars.sparkSession, values), strategy, by)).filter("error IS NULL")
+    return done.select("symbol", *values, "objective")
+
+
+def ranked(results: DataFrame, by: str | Column, keys: Sequence[str], drawdown_sense: str = "parity") -> DataFrame:
     value = F.when(F.col("error").isNotNull(), F.lit(float("-inf"))).otherwise(objective(by, drawdown_sense))
     results = results.withColumn("objective", value)
     return results.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("objective").desc_nulls_last(), "param_id")))
@@ -97,6 +109,11 @@ def heat_map(results: DataFrame, rows: str, columns: str, values: Sequence[float
     return table.select(F.col(rows), *[F.col(f"`{v}`").alias(f"{columns}_{v:g}") for v in values])
 
 
+def final_values(results: DataFrame, capital: float = 100_000.0) -> DataFrame:
+    """results with final_value, what the capital became."""
+    return results.withColumn("final_value", F.lit(capital) * (1 + F.col("total_return")))
+
+
 def top(results: DataFrame, n: int, names: Sequence[str]) -> DataFrame:
     """The n best runs with their parameters scaled to 0..1 over these runs (unchanged where all are equal)."""
     ok = results.orderBy(F.col("objective").desc_nulls_last(), "symbol", "param_id").limit(n)

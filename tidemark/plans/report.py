@@ -51,3 +51,10 @@ def summary_json(metrics: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> Dat
     """keys and a JSON object of the other columns."""
     rest = [finite(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes if c not in keys]
     return metrics.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("summary"))
+
+
+def text(title: str, values: dict) -> str:
+    """A record as lines of text; shares stay numbers, infinite ones are named."""
+    width = max(map(len, values), default=0)
+    shown = {k: "infinite" if v == float("inf") else f"{v:,.4f}" if isinstance(v, float) else "-" if v is None else str(v) for k, v in values.items()}
+    return "\n".join([title, "-" * len(title), *(f"{k:<{width}}  {v}" for k, v in shown.items())])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def members(bars: DataFrame, train: int, test: int, step: int | None = None) ->
     return df.withColumn("part", F.when(F.col("bar_idx") < F.col("window_id") * step + train, "train").otherwise("test")).drop("__n", "__a", "__b")
 
 
-def analyse(bars: DataFrame, params: DataFrame, strategy: str, train: int, test: int, step: int | None = None, by: str = "sharpe_ratio", cost: float = FEE + SLIPPAGE, periods: float = 252) -> DataFrame:
+def analyse(bars: DataFrame, params: DataFrame, strategy: str, train: int, test: int, step: int | None = None, by: str | Column = "sharpe_ratio", cost: float = FEE + SLIPPAGE, periods: float = 252) -> DataFrame:
     """One row per (symbol, window_id): the best parameters on the train bars, is_* there and oos_* on the test bars."""
     spans = windows(bars, train, test, step)
     chosen = grid.mapped(params)
@@ -59,6 +59,11 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def compact_summary(results: DataFrame) -> DataFrame:
+    """A shorter roll-up: mean Sharpe, the plain sum of returns, the deepest drawdown and all trades."""
+    return results.groupBy("symbol").agg(F.avg("oos_sharpe_ratio").alias("mean_sharpe"), F.sum("oos_total_return").alias("sum_return"), F.min("oos_max_drawdown").alias("max_drawdown"), F.sum("oos_total_trades").alias("total_trades"))
+
+
 def combined_curve(curves: DataFrame, capital: float = 10_000.0) -> DataFrame:
     """One curve over the test windows of each series, each starting where the last one ended, and buy-and-hold beside it.
 

@@ -92,6 +92,25 @@ def param_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.select("short", (F.col("mean") - F.col("std")).alias("low"), (F.col("mean") + F.col("std")).alias("high")), 5)
 
 
+@query(f"WITH {H}, {_GRID_SQL}, o AS (SELECT symbol, param_id, sharpe_ratio * win_rate + profit_factor AS objective FROM ranked WHERE sharpe_ratio IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY objective DESC, param_id) AS rank FROM o) SELECT symbol, param_id, {r('objective')} FROM k WHERE rank = 1")
+def custom_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best combination by an expression over the metrics."""
+    by = F.col("sharpe_ratio") * F.col("win_rate") + F.col("profit_factor")
+    return rounded(grid.best(grid.search(hourly(spark, sf_dir), _grid(spark), "ma_crossover", by)).select("symbol", "param_id", "objective"))
+
+
+@query(f"WITH {H}, {_GRID_SQL} SELECT symbol, param_id, {r('100000 * (1 + total_return)', 'final_value', 3)} FROM ranked WHERE sharpe_ratio IS NOT NULL")
+def grid_final_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the capital became under each combination."""
+    done = grid.final_values(_search(spark, sf_dir).filter("error IS NULL"))
+    return rounded(done.select("symbol", "param_id", "final_value"), 3)
+
+
+@query(f"WITH {H}, {_GRID_SQL} SELECT symbol, short, long, {r('objective')} FROM ranked WHERE rank = 1 AND sharpe_ratio IS NOT NULL")
+def quick_optimise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.quick_optimise(hourly(spark, sf_dir), "ma_crossover", GRID))
+
+
 @query(f"WITH {H}, {_GRID_SQL}, t AS (SELECT symbol, param_id, short, long, objective FROM ranked ORDER BY objective DESC NULLS LAST, symbol, param_id LIMIT 8) SELECT symbol, param_id, {r('objective')}, {r('CASE WHEN max(short) OVER () > min(short) OVER () THEN (short - min(short) OVER ()) / (max(short) OVER () - min(short) OVER ()) ELSE short END', 'short_scaled')}, {r('CASE WHEN max(long) OVER () > min(long) OVER () THEN (long - min(long) OVER ()) / (max(long) OVER () - min(long) OVER ()) ELSE long END', 'long_scaled')} FROM t")
 def top_n_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best runs of all, with scaled parameters (a top-k report)."""
@@ -154,6 +173,11 @@ def wf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(walkforward.summary(_analysed(spark, sf_dir)), 5, mean_sharpe=4, std_sharpe=4, oos_is_ratio=4)
 
 
+@query(f"WITH {H}, {_WF} SELECT symbol, {r('avg(oos_sharpe_ratio)', 'mean_sharpe', 4)}, {r('sum(oos_total_return)', 'sum_return', 5)}, {r('min(oos_max_drawdown)', 'max_drawdown', 5)}, {r('CAST(sum(oos_total_trades) AS DOUBLE)', 'total_trades')} FROM best GROUP BY symbol")
+def wf_compact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(walkforward.compact_summary(_analysed(spark, sf_dir)), 5, mean_sharpe=4)
+
+
 _CURVES = f"""{_WIN},
 mem AS (SELECT b.symbol, w.window_id, b.bar_idx AS full_idx, CAST(b.bar_idx - w.test_start AS INT) AS bar_idx, b.close FROM bars b JOIN win w ON b.symbol = w.symbol AND b.bar_idx >= w.test_start AND b.bar_idx < w.test_end),
 {ma_signals('mem', '5', '10', ('symbol', 'window_id'))}, {simulated('sig', ('symbol', 'window_id'))},
