@@ -301,12 +301,17 @@ def signal_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mcpt.signal_scores(s, _perms(spark)).select("symbol", "perm_id", "score"), 5)
 
 
-@query()
+_PERM_ALL = f"""{_permuted(False, 4, TRAIN)},
+every AS (SELECT symbol || '|' || perm_id AS symbol, bar_idx, close FROM perm UNION ALL SELECT symbol || '|' || perm_id, bar_idx, close FROM bars, (SELECT unnest(range(4)) AS perm_id) WHERE bar_idx < {TRAIN} UNION ALL SELECT symbol || '|-1', bar_idx, close FROM bars)"""
+_WFM = _WF.replace("FROM bars", "FROM every").replace("ORDER BY sharpe_ratio DESC", "ORDER BY profit_factor DESC")
+
+
+@query(f"WITH {H}, {_PERM_ALL}, {_WFM}, each_ AS (SELECT split_part(symbol, '|', 1) AS symbol, CAST(split_part(symbol, '|', 2) AS BIGINT) AS perm_id, avg(oos_profit_factor) FILTER (oos_profit_factor < 'Infinity'::DOUBLE) AS score FROM best GROUP BY 1, 2) SELECT e.symbol, e.perm_id, {r('e.score', 'score', 5)}, {r('o.score', 'original_score', 5)} FROM each_ e JOIN each_ o ON o.symbol = e.symbol AND o.perm_id = -1 WHERE e.perm_id >= 0")
 def walk_forward_mcpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forwards on real and permuted bars, and their p-values."""
+    """Mean out-of-sample profit factors of walk-forwards on permuted bars, beside that on the real ones."""
     few = _perms(spark).filter("perm_id < 4")
     s = mcpt.walk_forward_scores(hourly(spark, sf_dir), _grid(spark), "ma_crossover", few, TRAIN, TEST)
-    return rounded(mcpt.statistics(s))
+    return rounded(s.select("symbol", "perm_id", "score", "original_score"), 5)
 
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:

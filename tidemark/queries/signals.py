@@ -10,7 +10,7 @@ from ..functions import windows as X
 from ..operators import backtest, folds, portfolio, strategies
 from ..plans import report
 from .base import D, H, METRIC_SQL, W, daily, held, hourly, ma_signals, metric_columns, metric_tables, query, r, rolled, rounded, simulated
-from .series import REC
+from .series import _PACK, REC
 
 _MA = ma_signals("bars", "10", "30")
 
@@ -159,13 +159,40 @@ def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summary_json(rounded(backtest.run(_ma(spark, sf_dir))))
 
 
-@query()
+_PF = f"""
+pf_0 AS (SELECT *, ('0x' || substr(md5(symbol || ':' || bar_idx), 1, 4))::BIGINT / 65536.0::DOUBLE AS buy FROM pk WHERE rsi IS NOT NULL AND macd IS NOT NULL AND macd_signal IS NOT NULL AND m IS NOT NULL),
+pf_1 AS (SELECT symbol, bar_idx, row_number() OVER ({W}) - 1 AS i, close AS c, atr AS a, sma_5 AS s5, sma_10 AS s10, m AS s20, rsi AS x, macd AS l, macd_signal AS g, buy, 1 - buy AS sell FROM pf_0),
+pf_2 AS (SELECT *, CASE WHEN i >= 50 THEN avg(a) OVER ({W} ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) ELSE avg(a) OVER (PARTITION BY symbol) END AS am,
+  x > 60 OR c > s10 OR c > s5 OR l > g AS strong, x < 40 OR c < s10 OR c < s5 OR l < g AS weak FROM pf_1),
+inp AS (SELECT *, c <> 0 AND a <> 0 AND NOT a < 0.05::DOUBLE * am AS ok, (buy >= 0.6::DOUBLE OR strong) AND (strong OR c > s20 * 0.995::DOUBLE) AS up, (sell >= 0.6::DOUBLE OR weak) AND (weak OR c < s20 * 1.005::DOUBLE) AS down FROM pf_2),
+acc AS (
+  SELECT symbol, -1::BIGINT AS i, 0.0::DOUBLE AS c, 100000.0::DOUBLE AS cash, 0 AS side, 0.0::DOUBLE AS q, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS stop, 0.0::DOUBLE AS trail, 0 AS held, 0::BIGINT AS trades FROM inp WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, c, CASE WHEN off THEN cash + side * q * out_ - q * out_ * 0.001::DOUBLE ELSE cash END, CASE WHEN off THEN 0 ELSE side END, CASE WHEN off THEN 0 ELSE q END,
+         CASE WHEN off THEN 0 ELSE entry END, CASE WHEN off THEN 0 ELSE stop END, CASE WHEN off THEN 0 ELSE trail END, CASE WHEN off THEN 0 ELSE held END, trades
+  FROM (SELECT *, why IS NOT NULL AS off, CASE WHEN why = 'time' THEN c ELSE c * (1 - side * 0.001::DOUBLE) END AS out_
+  FROM (SELECT *, CASE WHEN NOT ok OR side = 0 THEN NULL WHEN side * (c - stop) <= 0 THEN 'stop' WHEN side * (trail - stop) > 0 AND side * (c - trail) <= 0 THEN 'trail'
+          WHEN side * (c - entry) >= a * (2.0::DOUBLE * CASE WHEN a > am THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) THEN 'take' WHEN held > 72 THEN 'time' END AS why
+  FROM (SELECT symbol, i, c, a, am, ok, CASE WHEN way <> 0 THEN cash - way * want * at_ - want * at_ * 0.001::DOUBLE ELSE cash END AS cash, CASE WHEN way <> 0 THEN way ELSE side END AS side,
+          CASE WHEN way <> 0 THEN want ELSE q END AS q, CASE WHEN way <> 0 THEN at_ ELSE entry END AS entry, CASE WHEN way <> 0 THEN at_ - way * a * 0.5::DOUBLE ELSE stop END AS stop,
+          CASE WHEN way <> 0 THEN at_ - way * a * 0.5::DOUBLE ELSE trail END AS trail, CASE WHEN way <> 0 THEN 1 ELSE held END AS held, trades + abs(way) AS trades
+  FROM (SELECT *, CASE WHEN side_ <> 0 AND want > 0 AND cash >= CASE WHEN side_ = 1 THEN want * at_ + want * at_ * 0.001::DOUBLE ELSE want * at_ * 0.001::DOUBLE END THEN side_ ELSE 0 END AS way
+  FROM (SELECT *, c * (1 + side_ * 0.001::DOUBLE) AS at_, least(least(cash * 0.005::DOUBLE / (a * 0.5::DOUBLE), cash * 0.02::DOUBLE / a), cash * 0.15::DOUBLE / c) AS want
+  FROM (SELECT n.symbol, n.i, n.c, n.a, n.am, n.ok, p.cash, p.side, p.q, p.entry, p.trades, p.held + CASE WHEN n.ok AND p.side <> 0 THEN 1 ELSE 0 END AS held,
+          CASE WHEN n.ok AND p.side = 0 AND p.cash > 0 THEN CASE WHEN n.up THEN 1 WHEN n.down THEN -1 ELSE 0 END ELSE 0 END AS side_,
+          CASE WHEN n.ok AND p.side <> 0 AND p.side * (n.c - p.entry) > n.a * 0.3::DOUBLE THEN CASE WHEN p.side = 1 THEN greatest(p.stop, p.entry) ELSE least(p.stop, p.entry) END ELSE p.stop END AS stop,
+          CASE WHEN n.ok AND p.side <> 0 AND p.side * (n.c - p.entry) > n.a * 0.3::DOUBLE THEN CASE WHEN p.side = 1 THEN greatest(p.trail, n.c * (1 - 0.05::DOUBLE)) ELSE least(p.trail, n.c * (1 + 0.05::DOUBLE)) END ELSE p.trail END AS trail
+        FROM acc p JOIN inp n ON n.symbol = p.symbol AND n.i = p.i + 1))))))
+)"""
+
+
+@query(f"WITH RECURSIVE {H}, {REC}, {_PACK}, {_PF} SELECT n.symbol, n.bar_idx, {r('cash + CASE WHEN side = 1 THEN q * a.c WHEN side = -1 THEN q * (2 * entry - a.c) ELSE 0 END', 'capital', 4)}, trades FROM acc a JOIN inp n ON n.symbol = a.symbol AND n.i = a.i")
 def portfolio_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The account of the portfolio simulator with fixed probabilities in place of a model's."""
     pack = folds.indicator_pack(hourly(spark, sf_dir))
     score = F.conv(F.substring(F.md5(F.concat_ws(":", "symbol", "bar_idx")), 1, 4), 16, 10).cast("double") / 65536
     ready = pack.dropna(subset=["rsi", "macd", "macd_signal", "sma_20"]).withColumns({"buy": score, "sell": 1 - score})
-    return rounded(portfolio.portfolio(ready, portfolio.Rules(confidence=0.6)))
+    return rounded(portfolio.portfolio(ready, portfolio.Rules(confidence=0.6)), 4)
 
 
 @query(f"WITH {H}, c AS (SELECT *, round({rolled('avg', 'close', 20)}, 6) AS m FROM bars) SELECT symbol, bar_idx, CASE WHEN close > m THEN 1 WHEN close < m THEN -1 ELSE 0 END AS signal FROM c")
