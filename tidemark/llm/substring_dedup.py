@@ -69,29 +69,35 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _index_shard(key: np.ndarray, length: np.ndarray, body: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """For each context, bits of the windows that occur nowhere earlier in the contexts."""
+def _index_shard(key: np.ndarray, bodies: list[bytes], doc: np.ndarray, tie: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """For each context, bits of the windows that occur nowhere earlier in the contexts.
+
+    Of equal contexts only the earliest is indexed and streamed: all windows of the others occur in it.
+    """
     order = np.lexsort((at, tie, doc))
-    ends = np.cumsum(length)
-    begins = ends - length
-    lengths = length[order]
-    new_ends = np.cumsum(lengths)
-    new_begins = new_ends - lengths
-    pick = np.repeat(begins[order] - new_begins, lengths) + np.arange(int(lengths.sum()))
-    queries = body[pick].astype(np.int64) + 1
+    seen: set[bytes] = set()
+    fresh = []
+    for i in order.tolist():
+        if bodies[i] not in seen:
+            seen.add(bodies[i])
+            fresh.append(i)
+    order = np.array(fresh, dtype=np.int64)
+    queries = np.frombuffer(b"".join([bodies[i] for i in fresh]), dtype=np.uint32).astype(np.int64) + 1
+    lengths = np.array([len(bodies[i]) // 4 for i in fresh], dtype=np.int64)
+    ends = np.cumsum(lengths)
     joined = np.zeros(len(queries) + len(order), dtype=np.int64)  # a 0 after each context
-    moved = np.arange(len(queries)) + np.repeat(np.arange(len(order)), lengths)
+    owner = np.repeat(np.arange(len(order)), lengths)
+    moved = np.arange(len(queries)) + owner
     joined[moved] = queries
     index = FmIndex(joined, window)
-    low, high = index.matching(queries, new_ends)
+    low, high = index.matching(queries, ends)
     found = low < high
     first = np.zeros(len(queries), dtype=bool)
     first[found] = index.order[low[found]] == moved[found]
-    offset = np.arange(len(queries)) - np.repeat(new_begins, lengths)
+    offset = np.arange(len(queries)) - np.repeat(ends - lengths, lengths)
     mask = np.zeros(len(order), dtype=np.int64)
-    owner = np.repeat(np.arange(len(order)), lengths)
     np.bitwise_or.at(mask, owner[first], np.int64(1) << offset[first])
-    out = np.empty_like(mask)
+    out = np.zeros(len(key), dtype=np.int64)
     out[order] = mask
     return out
 
@@ -175,12 +181,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         size = 0
 
         def flush(part: pa.Table) -> pa.RecordBatch:
-            part = part.combine_chunks()
-            body = part.column("body").chunk(0) if part.column("body").num_chunks else pa.array([], pa.binary())
-            raw = np.frombuffer(b"".join(body.to_pylist()), dtype=np.uint32)
-            length = np.array([len(x) for x in body.to_pylist()], dtype=np.int64) // 4
             key, doc_, tie, at = (part.column(c).to_numpy() for c in ("key", "doc", "tie", "at"))
-            mask = _index_shard(key, length, raw, doc_, tie, at, window)
+            mask = _index_shard(key, part.column("body").to_pylist(), doc_, tie, at, window)
             some = mask != 0
             return pa.RecordBatch.from_arrays([pa.array(doc_[some]), pa.array(tie[some]), pa.array(at[some].astype(np.int32)), pa.array(mask[some])], names=["doc", "tie", "at", "mask"])
 

@@ -16,6 +16,8 @@ _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes whose words are hashed at once.
+_SPAN = 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -54,10 +56,16 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     first[inner] = solid[inner]
     last[inner - 1] = solid[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, dtype=_U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[:n], out=total[1:])
-    value = (total[end] - total[start]) * down[start]
+    value = np.empty(len(start), dtype=_U)
+    at = 0
+    while at < len(start):  # some words at a time, so that long texts need no long tables
+        to = max(at + 1, int(np.searchsorted(end, start[at] + _SPAN, side="right")))
+        low_, high_ = int(start[at]), int(end[to - 1])
+        up, down = _powers(high_ - low_ + 1)
+        total = np.zeros(high_ - low_ + 1, dtype=_U)
+        np.cumsum((data[low_:high_].astype(_U) + _U(1)) * up[: high_ - low_], out=total[1:])
+        value[at:to] = (total[end[at:to] - low_] - total[start[at:to] - low_]) * down[start[at:to] - low_]
+        at = to
     text = np.searchsorted(bounds, start, side="right") - 1
     return mix(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93)), text, start + low, end + low
 
