@@ -57,8 +57,23 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")),
     ("person", re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))})\.?[ ](?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})")),
 ]
-#: What a text must hold for a pattern to be tried at all.
-_HINTS = {"email": "@", "ip6": ":"}
+_DIGIT = re.compile(r"[0-9]")
+_TITLE = re.compile("|".join(sorted({t[:2] for g in TITLES.values() for t in g})))
+#: Whether a text can hold what a pattern finds: cheap tests that most texts fail.
+_HINTS: dict[str, Callable[[str, bool], object]] = {
+    "email": lambda t, digit: "@" in t,
+    "key": lambda t, digit: "AKIA" in t or "ASIA" in t,
+    "secret": lambda t, digit: digit and ("=" in t or ":" in t),
+    "ip6": lambda t, digit: ":" in t,
+    "person": lambda t, digit: _TITLE.search(t),
+}
+_ANY_DIGIT = re.compile(r"\d")
+
+
+def _digits(text: str, digit: bool) -> bool:
+    return digit
+
+
 _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 
 
@@ -246,9 +261,9 @@ def _as_said(kind: str, new: str, said: str) -> str:
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of what stands for a person or their property, in order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
+    digit = bool(_DIGIT.search(text)) or not text.isascii() and bool(_ANY_DIGIT.search(text))
     for kind, pattern in PATTERNS:
-        hint = _HINTS.get(kind)
-        if hint and hint not in text:
+        if not _HINTS.get(kind, _digits)(text, digit):
             continue
         for m in pattern.finditer(text):
             if got := _entity(kind, m):
