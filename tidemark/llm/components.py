@@ -19,13 +19,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     e = common.written(e, "links")
     state = None
     for _ in range(rounds):
+        # each side of a join is a written table, so the engine can split the rows of a node with very many links
+        spark = e.sparkSession
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = common.written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
         before, e = e, common.written(small, "links")
-        common.discard(e.sparkSession, before)
+        common.discard(spark, before, least, large, low)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

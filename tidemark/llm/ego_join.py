@@ -24,7 +24,7 @@ from .components import components
 #: Leading principal directions that are kept; the first GRID of them make the order.
 LEADING, GRID = 16, 6
 #: Rows of a block and of a tile's side, more where the blocks would be more than MOST_BLOCKS.
-BLOCK_ROWS, TILE_ROWS, MOST_BLOCKS = 1024, 4096, 4096
+BLOCK_ROWS, TILE_ROWS, MOST_BLOCKS = 1024, 4096, 2048
 #: Numbers in the sample that the directions are taken from; they steer the order and never the result.
 SAMPLE_NUMBERS = 1 << 18
 
@@ -143,8 +143,8 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = common.written(found, "ego-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "n", "first").join(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
-    least_id = named.groupBy("root").agg(F.min("first").alias("component"))
+    named = common.written(named.withColumn("root", F.coalesce("root", "node")), "ego-named")
+    least_id = common.written(named.groupBy("root").agg(F.min("first").alias("component")), "ego-least")
     named = named.join(least_id, "root").join(links, "node", "left").select("node", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.select("id", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
@@ -182,8 +182,7 @@ def _joined(nodes: DataFrame, dims: int, n: int, least: float) -> DataFrame:
 
     blocks = common.written(ordered.mapInArrow(packed, "block int, rows long, low array<double>, high array<double>, nodes binary, counts array<long>, units binary"), "ego-blocks")
     boxes = sorted(blocks.select("block", "rows", "low", "high").collect())  # MOST_BLOCKS rows, or the cluster's partitions
-    most = max(TILE_ROWS, math.ceil(n / 256)) if n > TILE_ROWS * 256 else TILE_ROWS
-    plan = tiles([r["rows"] for r in boxes], np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes]), width, most)
+    plan = tiles([r["rows"] for r in boxes], np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes]), width, max(TILE_ROWS, block_rows))
     ids = [r["block"] for r in boxes]
     sides = [(t, s, ids[k]) for t, (i, j, a, b) in enumerate(plan) for s, lo, hi in ((0, i, j), (1, a, b)) if s == 0 or (i, j) != (a, b) for k in range(lo, hi)]
     dealt = blocks.drop("low", "high").join(spark.createDataFrame(sides, "tile long, side int, block int"), "block")
