@@ -45,6 +45,8 @@ def test_ticks_to_bars_take_first_and_last_in_order(spark):
     ticks = spark.createDataFrame([("a", T0, 2, 5.0), ("a", T0, 1, 7.0), ("a", T0 + timedelta(minutes=5), 3, 6.0)], "s string, ts timestamp_ntz, id int, p double")
     r = bars.from_ticks(ticks, F.col("s"), F.col("ts"), F.col("p"), ["ts", "id"], "hour").first()
     assert (r.open, r.high, r.low, r.close, r.volume) == (7.0, 7.0, 5.0, 6.0, 3.0)
+    b = bars.from_ticks(ticks, F.col("s"), F.col("ts"), F.col("p"), ["ts", "id"], "hour")
+    assert "SortAggregate" not in b._jdf.queryExecution().executedPlan().toString()
 
 
 def test_nan_and_text_become_null(spark):

@@ -12,9 +12,24 @@ from ..functions.windows import series
 from ..schema import PRICES, VALUES, cleaned, require
 
 
+def order_key(ticks: DataFrame, order: Sequence[str]) -> Column:
+    """One value that orders rows as the columns do: of a fixed width where they allow it, so that aggregates can hash.
+
+    A single column stands for itself; a time and a whole number become a decimal; others a struct, which makes
+    the aggregate sort.
+    """
+    types = dict(ticks.dtypes)
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and types[order[0]].startswith("timestamp") and types[order[1]] in ("int", "bigint"):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(18,0)")
+        return (micros * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + F.col(order[1]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def from_ticks(ticks: DataFrame, symbol: Column, ts: Column, price: Column, order: Sequence[str], unit: str) -> DataFrame:
     """Bars of one unit of time: one aggregate per symbol and unit, combined before the exchange."""
-    t = ticks.select(symbol.alias("symbol"), F.date_trunc(unit, ts).cast("timestamp_ntz").alias("ts"), price.alias("p"), F.struct(*order).alias("o"))
+    t = ticks.select(symbol.alias("symbol"), F.date_trunc(unit, ts).cast("timestamp_ntz").alias("ts"), price.alias("p"), order_key(ticks, order).alias("o"))
     return t.groupBy("symbol", "ts").agg(F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
 
 
