@@ -11,6 +11,7 @@ from ..operators import bars as B
 from ..operators import folds, permutation, strategies
 from ..schema import VALUES
 from ..sources import files, klines
+from ..sources.scratch import scratch
 from .base import D, H, W, daily, held, hourly, hourly_ticks, query, r, rolled, rounded, table
 
 BAR = "symbol, ts, bar_idx, open, high, low, close, volume"
@@ -36,24 +37,15 @@ def bars_1d_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {H} SELECT symbol, ts, open, high, low, close, volume FROM bars")
 def scan_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written by the sink and read again through the scan."""
-    path = _scratch(spark, "bars")
+    path = scratch(spark, "bars")
     hourly_ticks(spark, sf_dir).write.parquet(path)
     return files.scan(spark, path)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where it is unset."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {H} SELECT symbol, ts, open, high, low, close, volume FROM bars")
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through CSV with ISO timestamps."""
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     files.save_bars(hourly_ticks(spark, sf_dir), path, "csv")
     raw = spark.read.option("header", True).schema("symbol string, ts string, open string, high string, low string, close string, volume string").csv(path)
     return B.clean_rows(raw.withColumn("ts", F.regexp_replace("ts", r"\+0000$", "")))
@@ -368,7 +360,7 @@ def streaming_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = table(spark, sf_dir, "events")
     ticks = spark.readStream.schema(batch.schema).parquet(_glob(f"{sf_dir}/events.parquet"))
     made = live.bars(ticks, F.col("event_type"), F.col("ts"), F.lit(1000.0) + F.col("value"), F.col("event_id"))
-    return live.drained(made, _scratch(spark, "stream"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return live.drained(made, scratch(spark, "stream"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"""WITH RECURSIVE n AS (SELECT event_type AS symbol, event_id AS seq, 1000.0::DOUBLE + value AS price, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
@@ -380,4 +372,4 @@ def streaming_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     batch = table(spark, sf_dir, "events")
     ticks = spark.readStream.schema(batch.schema).parquet(_glob(f"{sf_dir}/events.parquet")).select(F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), (F.lit(1000.0) + F.col("value")).alias("price"))
-    return rounded(live.drained(live.smoothed(ticks, 12), _scratch(spark, "stream"), "append"))
+    return rounded(live.drained(live.smoothed(ticks, 12), scratch(spark, "stream"), "append"))
