@@ -194,26 +194,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 has = np.bincount(bag[1], minlength=n) > 0
                 keys = band_keys(signatures(*bag, n)).view(np.int64)
                 keep = [keys[i].tolist() if has[i] else [] for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[1:]), pa.array(keep, pa.list_(pa.int64()))], names=["node", "__id", FILE, ROW, "bands"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[1:]), pa.array(np.diff(offsets)), pa.array(keep, pa.list_(pa.int64()))], names=["node", "__id", FILE, ROW, "size", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sketch = rows.select("__text", "node", "__id", FILE, ROW).mapInArrow(signed, f"node binary, __id {kind}, {FILE} string, {ROW} long, bands array<long>")
+    sketch = rows.select("__text", "node", "__id", FILE, ROW).mapInArrow(signed, f"node binary, __id {kind}, {FILE} string, {ROW} long, size long, bands array<long>")
     sketch = common.written(sketch, "near-bands")
 
     # Groups: texts that share a band are connected through the least text of the band's bucket.
-    pairs = sketch.select("node", F.explode("bands").alias("key")).distinct()
+    once = sketch.groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"))  # equal texts have equal bands
+    pairs = once.select("node", F.explode("bands").alias("key"))
     buckets = pairs.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = pairs.join(buckets, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = common.written(components(shared), "near-groups")
 
-    # Members are compared within their group, a block of bounded size against itself and each other block.
-    texts = common.maybe_in(rows.select("node", "__text"), "node", groups.select("node")).groupBy("node").agg(F.first("__text").alias("__text"))
-    members = texts.join(groups, "node")
-    members = common.written(members, "near-members")
-    sizes = members.groupBy("root").agg(F.ceil(F.sum(F.octet_length("__text") + 64) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
-    blocks = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Members are compared within their group, a block of bounded size against itself and each other block. The
+    # blocks of a group are dealt out to different tasks.
+    placed = once.select("node", "size").join(groups, "node")
+    sizes = common.written(placed.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 64) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes")
+    placed = placed.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    placed = common.written(placed, "near-placed")
+    texts = common.maybe_in(rows.select("node", "__text"), "node", placed.select("node")).groupBy("node").agg(F.first("__text").alias("__text"))
+    dealt = texts.join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "__text")
+    dealt = dealt.repartition("root", "i", "j")
 
     def compared(table: pa.Table) -> pa.Table:
         side = table.column("own").to_numpy()
@@ -227,8 +230,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = common.written(components(links), "near-classes")
     named = sketch.select("node", "__id", FILE, ROW).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = common.written(named, "near-named")
-    common.discard(docs.sparkSession, sketch, groups, members, classes)
+    common.discard(docs.sparkSession, sketch, groups, sizes, placed, classes)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", FILE, ROW)).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = common.written(best, "near-best")  # so that the join below can split a class with very many rows
     out = named.join(best, "root")
     kept = (F.col(FILE) == F.col(f"best.{FILE}")) & (F.col(ROW) == F.col(f"best.{ROW}"))
     return out.select(F.col("__id").alias(id_col), F.col("best.__id").alias("class_id"), F.col("n").alias("class_size"), kept.alias("kept"), FILE, ROW)
