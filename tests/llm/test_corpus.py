@@ -201,6 +201,7 @@ def test_embeddings_edge_cases(spark, monkeypatch):
     rows += [(40, None), (41, []), (42, [0.0] * 8), (43, [1.0, None] + [0.0] * 6), (44, [float("nan")] * 8), (45, [float("inf")] + [1.0] * 7), (46, rows[0][1]), (47, [2 * x for x in rows[0][1]]), (48, [1.0, 2.0]), (49, [2.0, 4.0]), (50, [1e300] * 8), (51, [1e-300] * 8)]
     monkeypatch.setattr(ego_join, "BLOCK_ROWS", 5)
     monkeypatch.setattr(ego_join, "TILE_ROWS", 7)
+    monkeypatch.setattr(ego_join, "LEAF_ROWS", 2)
     df = spark.createDataFrame([(i, v, 0, 1, True) for i, v in rows], "vec_id long, embedding array<double>, label int, n_links int, kept boolean")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ego_join.near_embeddings(df).collect()}
     links = _brute_links(rows)
@@ -219,6 +220,19 @@ def test_tiles_cover_all_near_pairs():
     assert near <= set(pairs) and all(pairs[p] == 1 for p in near) and len(plan) < 200
 
 
+def test_close_pairs_are_all_pairs():
+    rng = np.random.default_rng(6)
+    x = ego_join.units(np.repeat(rng.normal(size=(60, 12)), 5, axis=0) + rng.normal(size=(300, 12)) * 0.25)
+    axes = ego_join.directions(x, 4)
+    x = x[np.argsort(np.floor(x @ axes / 0.3)[:, 0], kind="stable")]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if x[i] @ x[j] >= 0.95}
+    got = [(int(i), int(j)) for u, v in ego_join.close_pairs(x, None, x @ axes, None, 0.95) for i, j in zip(u, v, strict=True)]
+    assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want and len(want) > 50
+    a, b = x[:140], x[140:]
+    cross = [(int(i), int(j) + 140) for u, v in ego_join.close_pairs(a, b, a @ axes, b @ axes, 0.95) for i, j in zip(u, v, strict=True)]
+    assert sorted(cross) == sorted(p for p in want if p[0] < 140 <= p[1])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (300, 300), (5, 6)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -24,7 +24,9 @@ from .components import components
 #: Leading principal directions that are kept; the first GRID of them make the order.
 LEADING, GRID = 16, 6
 #: Rows of a block and of a tile's side, more where the blocks would be more than MOST_BLOCKS.
-BLOCK_ROWS, TILE_ROWS, MOST_BLOCKS = 1024, 4096, 2048
+BLOCK_ROWS, TILE_ROWS, MOST_BLOCKS = 2048, 8192, 2048
+#: Rows of the intervals at which the recursion within a tile ends.
+LEAF_ROWS = 512
 #: Numbers in the sample that the directions are taken from; they steer the order and never the result.
 SAMPLE_NUMBERS = 1 << 18
 
@@ -43,14 +45,24 @@ def unit(values: list | None) -> np.ndarray | None:
     return x / math.sqrt(float(x @ x))
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """unit() of each row of an array of vectors that all have one."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def directions(sample: np.ndarray, leading: int = LEADING) -> np.ndarray:
     """Orthonormal columns: the leading principal directions of the sample."""
     _, vectors = np.linalg.eigh((sample - sample.mean(axis=0)).T @ (sample - sample.mean(axis=0)))
     return np.ascontiguousarray(vectors[:, ::-1][:, :leading])
 
 
-def tiles(rows: list[int], low: np.ndarray, high: np.ndarray, width: float, most: int) -> list[tuple[int, int, int, int]]:
-    """(i, j, k, l): the sequences of blocks [i, j) and [k, l) that may hold pairs within width of each other."""
+def tiles(rows: list[int], low: np.ndarray, high: np.ndarray, width: float, most: int, begin: list[tuple[int, int, int, int]] | None = None) -> list[tuple[int, int, int, int]]:
+    """(i, j, k, l): the sequences of blocks [i, j) and [k, l) that may hold pairs within width of each other.
+
+    The recursion begins with all blocks against themselves, or with the given pairs of sequences.
+    """
     ahead = np.concatenate(([0], np.cumsum(rows)))
     out: list[tuple[int, int, int, int]] = []
     boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -60,7 +72,7 @@ def tiles(rows: list[int], low: np.ndarray, high: np.ndarray, width: float, most
             boxes[i, j] = low[i:j].min(axis=0), high[i:j].max(axis=0)
         return boxes[i, j]
 
-    todo = [(0, len(rows), 0, len(rows))] if rows else []
+    todo = list(begin) if begin is not None else [(0, len(rows), 0, len(rows))] if rows else []
     while todo:
         i, j, k, m = todo.pop()
         (la, ha), (lb, hb) = box(i, j), box(k, m)
@@ -83,22 +95,40 @@ def tiles(rows: list[int], low: np.ndarray, high: np.ndarray, width: float, most
     return out
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of a and of b whose cosine is at least least; each pair once where b is a."""
-    na, nb = (pa_ * pa_).sum(axis=1), (pb * pb).sum(axis=1)
-    most = np.float32(2 - 2 * least + 1e-4)
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for at in range(0, len(a), step):
-        far = na[at : at + step, None] + nb[None, :] - 2 * (pa_[at : at + step] @ pb.T)
-        i, j = np.nonzero(far <= most)
-        i += at
-        if same:
+def intervals(p: np.ndarray, rows: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Sizes and bounding boxes of runs of rows."""
+    starts = np.arange(0, len(p), rows)
+    return np.diff(np.append(starts, len(p))).tolist(), np.minimum.reduceat(p, starts, axis=0), np.maximum.reduceat(p, starts, axis=0)
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray | None, low_a: np.ndarray, low_b: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a and of b whose cosine is at least least (of a alone, each pair once, where b is None).
+
+    low_a and low_b are the vectors' leading coordinates. The recursion goes on over runs of rows, as over blocks.
+    """
+    same = b is None
+    p = low_a if same else np.concatenate((low_a, low_b))
+    x = a if same else np.concatenate((a, b))
+    sizes, low, high = intervals(low_a, LEAF_ROWS)
+    first = len(sizes)
+    if not same:
+        more = intervals(low_b, LEAF_ROWS)
+        sizes, low, high = sizes + more[0], np.concatenate((low, more[1])), np.concatenate((high, more[2]))
+    ahead = np.concatenate(([0], np.cumsum(sizes)))
+    width = math.sqrt(max(0.0, 2 - 2 * least))
+    p32 = p.astype(np.float32)
+    norm = (p32 * p32).sum(axis=1)
+    most = np.float32(width * width + 1e-4)
+    begin = [(0, first, 0, first)] if same else [(0, first, first, len(sizes))]
+    for i0, j0, k0, m0 in tiles(sizes, low, high, width, LEAF_ROWS, begin):
+        u, v = slice(ahead[i0], ahead[j0]), slice(ahead[k0], ahead[m0])
+        i, j = np.nonzero(norm[u, None] + norm[None, v] - 2 * (p32[u] @ p32[v].T) <= most)
+        if i0 == k0:
             once = i < j
             i, j = i[once], j[once]
-        for k in range(0, len(i), 1 << 18):
-            x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-            near = np.einsum("ij,ij->i", a[x], b[y]) >= least
-            yield x[near], y[near]
+        if len(i):
+            near = np.einsum("ij,ij->i", x[u][i], x[v][j]) >= least
+            yield i[near] + u.start, j[near] + v.start - (0 if same else len(a))
 
 
 def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -123,20 +153,22 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
+    kept = np.dtype(np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = [unit(v.as_py()) for v in b.column(1)]
-            nodes = [None if u is None else hashlib.sha256(u.tobytes()).digest()[:16] for u in units]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array([None if u is None else len(u) for u in units], pa.int32()), pa.array([None if u is None else u.tobytes() for u in units], pa.binary())], names=["id", "node", "dims", "unit"])
+            values = [v.as_py() for v in b.column(1)]
+            raw = [None if unit(v) is None else np.array(v, dtype=kept).tobytes() for v in values]
+            nodes = [None if r is None else hashlib.sha256(r).digest()[:16] for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array([None if r is None else len(v) for r, v in zip(raw, values, strict=True)], pa.int32()), pa.array(raw, pa.binary())], names=["id", "node", "dims", "raw"])
 
-    rows = vectors.selectExpr(f"`{id_col}` AS id", f"`{vector_col}` AS v").mapInArrow(keyed, f"id {kind}, node binary, dims int, unit binary")
+    rows = vectors.selectExpr(f"`{id_col}` AS id", f"`{vector_col}` AS v").mapInArrow(keyed, f"id {kind}, node binary, dims int, raw binary")
     rows = common.written(rows, "ego-vectors")
-    nodes = rows.filter("node IS NOT NULL").groupBy("node", "dims").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.first("unit").alias("unit"))
+    nodes = rows.filter("node IS NOT NULL").groupBy("node", "dims").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.first("raw").alias("raw"))
     nodes = common.written(nodes, "ego-nodes")
     found = None
     for dims, n in sorted(map(tuple, nodes.groupBy("dims").count().collect())):  # a row per vector length
-        part = _joined(nodes.filter(F.col("dims") == dims), dims, n, least)
+        part = _joined(nodes.filter(F.col("dims") == dims), dims, n, least, kept)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "node binary, root binary, links long")
@@ -151,11 +183,11 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _joined(nodes: DataFrame, dims: int, n: int, least: float) -> DataFrame:
+def _joined(nodes: DataFrame, dims: int, n: int, least: float, kept: np.dtype) -> DataFrame:
     """node, root (connected with it by links), links (rows that it links with) from distinct vectors of one length."""
     spark = nodes.sparkSession
-    sample = nodes.select("unit").orderBy(F.xxhash64("node")).limit(max(2, SAMPLE_NUMBERS // dims)).collect()
-    axes = spark.sparkContext.broadcast(directions(np.array([np.frombuffer(r["unit"]) for r in sample]), min(LEADING, dims)))
+    sample = nodes.select("raw").orderBy(F.xxhash64("node")).limit(max(2, SAMPLE_NUMBERS // dims)).collect()
+    axes = spark.sparkContext.broadcast(directions(units(np.array([np.frombuffer(r["raw"], dtype=kept) for r in sample])), min(LEADING, dims)))
     width = math.sqrt(max(0.0, 2 - 2 * least))
     grid = min(GRID, dims)
     cells = [f"c{i}" for i in range(grid)]
@@ -164,23 +196,23 @@ def _joined(nodes: DataFrame, dims: int, n: int, least: float) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            x = np.array([np.frombuffer(u.as_py()) for u in b.column(2)])
+            x = units(np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=kept).reshape(-1, dims))
             cell = np.floor(x @ axes.value[:, :grid] / width).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(cell[:, i]) for i in range(grid))], names=["node", "n", "unit", *cells])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(cell[:, i]) for i in range(grid))], names=["node", "n", "raw", *cells])
 
-    ordered = nodes.select("node", "n", "unit").mapInArrow(placed, "node binary, n long, unit binary, " + ", ".join(f"{c} int" for c in cells))
+    ordered = nodes.select("node", "n", "raw").mapInArrow(placed, "node binary, n long, raw binary, " + ", ".join(f"{c} int" for c in cells))
     block_rows = max(BLOCK_ROWS, math.ceil(n / MOST_BLOCKS))
-    ordered = ordered.repartitionByRange(max(1, math.ceil(n / block_rows)), *cells, "node").withColumn("block", F.spark_partition_id())
+    ordered = ordered.repartitionByRange(max(1, math.ceil(n / block_rows)), *cells, "node").sortWithinPartitions(*cells, "node").withColumn("block", F.spark_partition_id())
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if len(b)]
         if parts:
             t = pa.Table.from_batches(parts)
-            x = np.frombuffer(b"".join(t.column("unit").to_pylist())).reshape(-1, dims)
-            p = x @ axes.value
-            yield pa.RecordBatch.from_pydict({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "rows": pa.array([len(x)], pa.int64()), "low": [p.min(axis=0).tolist()], "high": [p.max(axis=0).tolist()], "nodes": pa.array([b"".join(t.column("node").to_pylist())], pa.binary()), "counts": [t.column("n").to_pylist()], "units": pa.array([x.tobytes()], pa.binary())})
+            raw = b"".join(t.column("raw").to_pylist())
+            p = units(np.frombuffer(raw, dtype=kept).reshape(-1, dims)) @ axes.value
+            yield pa.RecordBatch.from_pydict({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "rows": pa.array([len(p)], pa.int64()), "low": [p.min(axis=0).tolist()], "high": [p.max(axis=0).tolist()], "nodes": pa.array([b"".join(t.column("node").to_pylist())], pa.binary()), "counts": [t.column("n").to_pylist()], "raw": pa.array([raw], pa.binary())})
 
-    blocks = common.written(ordered.mapInArrow(packed, "block int, rows long, low array<double>, high array<double>, nodes binary, counts array<long>, units binary"), "ego-blocks")
+    blocks = common.written(ordered.mapInArrow(packed, "block int, rows long, low array<double>, high array<double>, nodes binary, counts array<long>, raw binary"), "ego-blocks")
     boxes = sorted(blocks.select("block", "rows", "low", "high").collect())  # MOST_BLOCKS rows, or the cluster's partitions
     plan = tiles([r["rows"] for r in boxes], np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes]), width, max(TILE_ROWS, block_rows))
     ids = [r["block"] for r in boxes]
@@ -188,20 +220,18 @@ def _joined(nodes: DataFrame, dims: int, n: int, least: float) -> DataFrame:
     dealt = blocks.drop("low", "high").join(spark.createDataFrame(sides, "tile long, side int, block int"), "block")
 
     def compared(table: pa.Table) -> pa.Table:
-        def side(s: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-            mine = [r for r in table.select(["side", "block", "nodes", "counts", "units"]).to_pylist() if r["side"] == s]
+        def side(s: int) -> tuple[list[bytes], np.ndarray, np.ndarray | None]:
+            mine = [r for r in table.select(["side", "block", "nodes", "counts", "raw"]).to_pylist() if r["side"] == s]
             mine.sort(key=lambda r: r["block"])
             nodes_ = [r["nodes"][k : k + 16] for r in mine for k in range(0, len(r["nodes"]), 16)]
-            return nodes_, np.array([c for r in mine for c in r["counts"]], dtype=np.int64), np.frombuffer(b"".join(r["units"] for r in mine)).reshape(-1, dims)
+            return nodes_, np.array([c for r in mine for c in r["counts"]], dtype=np.int64), units(np.frombuffer(b"".join(r["raw"] for r in mine), dtype=kept).reshape(-1, dims)) if mine else None
 
         na, ca, a = side(0)
         nb, cb, b = side(1)
-        same = not len(nb)
         names, counts = na + nb, np.concatenate((ca, cb))
-        pa_ = (a @ axes.value).astype(np.float32)
-        pb, other, shift = (pa_, a, 0) if same else ((b @ axes.value).astype(np.float32), b, len(a))
+        shift = 0 if b is None else len(a)
         label, links = np.arange(len(names)), np.zeros(len(names), dtype=np.int64)
-        for i, j in close_pairs(a, other, pa_, pb, least, same):
+        for i, j in close_pairs(a, b, a @ axes.value, None if b is None else b @ axes.value, least):
             j = j + shift
             np.add.at(links, i, counts[j])
             np.add.at(links, j, counts[i])
