@@ -135,6 +135,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cands = common.maybe_in(found, "key", repeated.select("key")).join(repeated, "key")
     cands = cands.groupBy("doc", "tie").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
     cands = common.written(cands, "candidates")
+    common.discard(spark, found, repeated)
 
     marked = common.maybe_marked(rows, F.xxhash64("doc", "tie"), cands.select(F.xxhash64("doc", "tie")), "__maybe")
 
@@ -207,6 +208,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = shards.mapInArrow(indexed, "doc long, tie long, at int, mask long")
     firsts = firsts.groupBy("doc", "tie").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
     firsts = common.written(cands.drop("hot").join(firsts, ["doc", "tie"], "left"), "firsts")
+    common.discard(spark, cands, context_rows)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
