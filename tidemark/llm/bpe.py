@@ -12,7 +12,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -32,10 +32,29 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+class Memo(dict):
+    """What a function made of short keys: the newest most ones, and those that were newest before them."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class WordBpe:
     """A tokenizer of words from a tokenizers JSON: NFC, one space for white space, lower case, words that end in a mark."""
 
-    def __init__(self, spec: str, cache_words: int = 250_000):
+    def __init__(self, spec: str, cache_words: int = 200_000):
         data = json.loads(spec)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -54,8 +73,8 @@ class WordBpe:
             self.table[i] = word.encode()
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.marks = sorted({s[:2] for s in self.special})
-        self.most = cache_words
-        self.cache: dict[str, bytes] = {}
+        self.chunks = Memo(self.chunk, cache_words)
+        self.words = Memo(self.word, cache_words)
 
     def merge(self, ids: list[int]) -> list[int]:
         """The parts of one word after all merges, the least rank first and the leftmost of equal ranks."""
@@ -96,35 +115,28 @@ class WordBpe:
                     heapq.heappush(heap, (p[0], x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def chunk(self, chunk: str) -> bytes:
-        """The ids of a text without white space, as little-endian 32-bit integers."""
-        norm = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # a sigma at a word's end too
-        out: list[int] = []
+    def word(self, word: str) -> bytes:
+        """The ids of one word of the split, as little-endian 32-bit integers."""
         letters, vocab = self.letters, self.vocab
-        for word in self.split.findall(norm):
-            parts = [letters[b] for b in word.encode()]
-            parts[-1] += self.end
-            out += self.merge([vocab[p] for p in parts if p in vocab])
-        return b"".join(i.to_bytes(4, "little") for i in out)
+        parts = [letters[b] for b in word.encode()]
+        parts[-1] += self.end
+        return b"".join([i.to_bytes(4, "little") for i in self.merge([vocab[p] for p in parts if p in vocab])])
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a text without white space."""
+        if chunk.isascii():
+            norm = chunk.lower()
+            if norm.isalpha():  # what the split would give
+                return self.words[norm]
+            if norm[:-1].isalpha() and not norm[-1].isdigit():
+                return self.words[norm[:-1]] + self.words[norm[-1]]
+        else:
+            norm = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # a sigma at a word's end too
+        return b"".join(map(self.words.__getitem__, self.split.findall(norm)))
 
     def _plain(self, text: str) -> bytes:
         chunks = [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
-        cache = self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        out = []
-        for c in chunks:
-            ids = cache.get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                if len(c) <= 64:
-                    if len(cache) >= self.most:
-                        cache.clear()
-                    cache[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text; special tokens that stand in it are found first."""
