@@ -187,7 +187,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, data, offsets in words.pieces(b.column(0)):
+            for at, data, offsets in words.pieces(b.column(0), 1 << 22):
                 word, text, _, _ = words.hash_words(data, offsets)
                 n = len(offsets) - 1
                 bag = bags(word, text)
