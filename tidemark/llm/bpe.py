@@ -54,7 +54,7 @@ class Memo(dict):
 class WordBpe:
     """A tokenizer of words from a tokenizers JSON: NFC, one space for white space, lower case, words that end in a mark."""
 
-    def __init__(self, spec: str, cache_words: int = 200_000):
+    def __init__(self, spec: str, cache_words: int = 120_000):
         data = json.loads(spec)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
