@@ -407,6 +407,15 @@ def test_collisions_are_resolved(spark):
     assert late and len(set(made)) == len(made)
 
 
+def test_long_secrets_go_whole():
+    of = lambda k, e: surrogates.surrogate(b"k", k, e)
+    for secret in ("eyJ0eXAi.x9" * 30, "04dbebab91ab8568" * 25, "Ab3_" * 2000):
+        (new, n), (other, _) = surrogates.replaced(f"token={secret} end", of), surrogates.replaced(f"token={secret[:-1]}7 end", of)
+        assert n == 1 and len(new) == len(secret) + 10 and new != other and new.startswith("token=") and new.endswith(" end")
+        assert sum(a == b for a, b in zip(new[6:-4], secret, strict=True)) < 0.6 * len(secret)  # by chance, and the marks that stay
+        assert not any(secret[i : i + 16] in new for i in range(0, len(secret) - 16, 4))
+
+
 def test_surrogates_edge_cases(spark):
     rows = [(1, "x@y.com and x@y.com", "s"), (1, "x@y.com and x@y.com", "s"), (None, "Z@Y.COM", "s"), (3, None, "s"), (4, "", "s"), (5, LONG + " 8.8.8.8", "s")]
     df = docs(spark, rows).withColumnRenamed("kept", "n_entities")

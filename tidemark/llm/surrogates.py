@@ -48,7 +48,7 @@ _NAME = r"[^\W\d_a-zа-я]\w*[^\W\d_]"
 PATTERNS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"[\w.+%-]*\w@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}(?![\w@])")),
     ("key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"""(?i)(?<!\w)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_.-]{12,200}[A-Za-z0-9+/_-])""")),
+    ("secret", re.compile(r"""(?i)(?<!\w)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_.-]{12,}[A-Za-z0-9+/_-])""")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ip", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)")),
     ("ip6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
@@ -68,6 +68,8 @@ _HINTS: dict[str, Callable[[str, bool], object]] = {
     "person": lambda t, digit: _TITLE.search(t),
 }
 _ANY_DIGIT = re.compile(r"\d")
+#: Characters of at most 36 values each that fit into two draws of 128 bits.
+PIECE = 48
 
 
 def _digits(text: str, digit: bool) -> bool:
@@ -107,7 +109,21 @@ def permuted(key: bytes, tweak: str, value: int, size: int) -> int:
 
 
 def permuted_text(key: bytes, tweak: str, text: str, alphabets: list[str]) -> str:
-    """A keyed permutation of the strings whose characters come from these alphabets, place by place."""
+    """A keyed permutation of the strings whose characters come from these alphabets, place by place.
+
+    A draw covers half of a piece of PIECE characters, so longer strings are permuted in pieces: each piece under all
+    that come before it, then each under all that come after it.
+    """
+    if len(text) > PIECE:
+        cuts = range(0, len(text), PIECE)
+        pieces = [text[i : i + PIECE] for i in cuts]
+        for turn, order in enumerate((range(len(pieces)), reversed(range(len(pieces))))):
+            seen = hashlib.blake2b(f"{tweak}:{turn}".encode(), key=key, digest_size=16)
+            for i in order:
+                said, under = pieces[i], f"{tweak}:{turn}:{i}:{seen.hexdigest()}"
+                pieces[i] = permuted_text(key, under, said, alphabets[cuts[i] : cuts[i] + PIECE])
+                seen.update(said.encode())
+        return "".join(pieces)
     value, size = 0, 1
     for c, a in zip(text, alphabets, strict=True):
         value, size = value * len(a) + a.index(c), size * len(a)
