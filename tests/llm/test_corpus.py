@@ -416,6 +416,18 @@ def test_long_secrets_go_whole():
         assert not any(secret[i : i + 16] in new for i in range(0, len(secret) - 16, 4))
 
 
+def test_numbers_end_where_their_check_digits_do():
+    said = lambda t: [(t[a:b], k) for a, b, k, _ in surrogates.mentions(t)]
+    card, iban = ("4111 1111 1111 1111", "card"), ("BE68 5390 0754 7034", "iban")
+    for t in ("4111 1111 1111 1111 123", "pay 4111 1111 1111 1111 12/27", "12 4111 1111 1111 1111.", "4111 1111 1111 1111 99 x"):
+        assert said(t) == [card]
+    assert said("4111111111111111 12/27") == [("4111111111111111", "card")] and said("4111-1111-1111-1111-123") == [("4111-1111-1111-1111", "card")]
+    for t in ("BE68 5390 0754 7034 PAID", "BE68 5390 0754 7034 PAYMENT DONE", "BE68 5390 0754 7034", "XX12 ABCD BE68 5390 0754 7034"):
+        assert said(t) == [iban]
+    assert said("BE68 5390 0754 7034 4111 1111 1111 1111 123") == [iban, card]
+    assert said("4111 1111 1111 1112 123") == said("41111111111111119") == said("BE68 5390 0754 7035 PAID") == []
+
+
 def test_surrogates_edge_cases(spark):
     rows = [(1, "x@y.com and x@y.com", "s"), (1, "x@y.com and x@y.com", "s"), (None, "Z@Y.COM", "s"), (3, None, "s"), (4, "", "s"), (5, LONG + " 8.8.8.8", "s")]
     df = docs(spark, rows).withColumnRenamed("kept", "n_entities")

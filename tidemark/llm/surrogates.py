@@ -57,6 +57,12 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")),
     ("person", re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))})\.?[ ](?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})")),
 ]
+#: Characters of an IBAN by country, from the public registry.
+IBAN_LENGTHS = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in codes.split()}
 _DIGIT = re.compile(r"[0-9]")
 _TITLE = re.compile("|".join(sorted({t[:2] for g in TITLES.values() for t in g})))
 #: Whether a text can hold what a pattern finds: cheap tests that most texts fail.
@@ -231,6 +237,24 @@ def _surrogate(key: bytes, kind: str, entity: str, tweak: str) -> str:
     return permuted_text(key, tweak, entity, [DIGITS] * len(entity))
 
 
+def _checks(kind: str, plain: str) -> bool:
+    """Whether a card number or IBAN without separators has a length that can be and valid check digits."""
+    if kind == "card":
+        return 13 <= len(plain) <= 19 and len(set(plain)) > 1 and str(luhn(plain[:-1])) == plain[-1]
+    return 15 <= len(plain) <= 34 and mod97(plain[4:] + plain[:4]) == 1
+
+
+def _found(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[str, int, int]]:
+    """The mentions of a kind. Checked numbers can end before their match does, or start behind its first group."""
+    at = 0
+    while m := pattern.search(text, at):
+        got = _entity(kind, m)
+        if got:
+            yield got
+        gap = re.search("[ -]", m.group()) if kind in ("card", "iban") and not got else None
+        at = m.start() + gap.end() if gap else got[2] if got and kind in ("card", "iban") else m.end()
+
+
 def _entity(kind: str, m: re.Match) -> tuple[str, int, int] | None:
     """The one form of a mention and the part of the text that it is, or None if it is none after all."""
     start, end = (m.span(1) if kind == "secret" else m.span("name") if kind == "person" else m.span())
@@ -239,12 +263,12 @@ def _entity(kind: str, m: re.Match) -> tuple[str, int, int] | None:
         local = said.rsplit("@", 1)[0]
         strip = len(local) - len(local.lstrip("._%+-"))
         return said[strip:].lower(), start + strip, end
-    if kind == "card":
-        digits = re.sub(r"\D", "", said)
-        return (digits, start, end) if len(set(digits)) > 1 and str(luhn(digits[:-1])) == digits[-1] else None
-    if kind == "iban":
-        plain = said.replace(" ", "")
-        return (plain, start, end) if 15 <= len(plain) <= 34 and mod97(plain[4:] + plain[:4]) == 1 else None
+    if kind in ("card", "iban"):
+        ends = [len(said), *(i for i in range(len(said) - 1, 0, -1) if said[i] in " -")]
+        parts = [(re.sub("[ -]", "", said[:i]), start, start + i) for i in ends]
+        if kind == "iban":  # the length of the country first
+            parts.sort(key=lambda x: len(x[0]) != IBAN_LENGTHS.get(said[:2]))
+        return next((x for x in parts if _checks(kind, x[0])), None)
     if kind == "secret":
         return (said.lower(), start, end) if any(c.isdigit() for c in said) else None
     if kind == "phone":
@@ -281,11 +305,9 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     for kind, pattern in PATTERNS:
         if not _HINTS.get(kind, _digits)(text, digit):
             continue
-        for m in pattern.finditer(text):
-            if got := _entity(kind, m):
-                entity, start, end = got
-                if all(end <= a or start >= b for a, b, _, _ in found):
-                    found.append((start, end, kind, entity))
+        for entity, start, end in _found(kind, pattern, text):
+            if all(end <= a or start >= b for a, b, _, _ in found):
+                found.append((start, end, kind, entity))
     return sorted(found)
 
 
