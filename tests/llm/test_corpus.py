@@ -428,6 +428,22 @@ def test_numbers_end_where_their_check_digits_do():
     assert said("4111 1111 1111 1112 123") == said("41111111111111119") == said("BE68 5390 0754 7035 PAID") == []
 
 
+def test_persons_are_one_in_all_mentions(spark):
+    of = lambda k, e: surrogates.surrogate(b"k", k, e)
+    new, n = surrogates.replaced("Mr John Smith came. John Smith said: Smith's. JOHN SMITH, not smith or Smithson; John. Mail john.smith@x.com", of)
+    given, family = of("person", "m John Smith").split(" ")[1:]
+    assert n == 6 and new.startswith(f"Mr {given} {family} came. {given} {family} said: {family}'s. {given.upper()} {family.upper()}, not smith or Smithson; {given}. Mail ")
+    told = surrogates.replaced("Smith! Mr John Smith, Mr Jack Smith: Smith and Smith. Mrs Ann Brown: Brown, Smith.", lambda k, e: e)[0]
+    assert told == "Smith! Mr John Smith, Mr Jack Smith: Smith and Smith. Mrs Ann Brown: Brown, Smith."
+    assert [m[3] for m in surrogates.mentions("Smith! Mr John Smith: Smith. Mr Jack Smith: Smith. Mrs Smith.")] == ["f Smith", "m John Smith", "f Smith", "m Jack Smith", "f Smith", "f Smith"]
+    assert [m[3] for m in surrogates.mentions("Smith! Mr John Smith: Smith. Mr Jack Smith: Smith.")] == [f"m {x} Smith" for x in ("John", "John", "John", "Jack", "Jack")]
+    rows = [(1, "Dr John Smith", "s"), (2, "Mr John Smith", "s"), (3, "Mr JOHN SMITH", "s"), (4, "Prof John Smith and John Smith", "s"), (5, "Mr Kim Lee", "s"), (6, "Mrs Kim Lee", "s"), (7, "Kim Lee", "s")]
+    got = {r.doc_id: (r.text, r.n_entities) for r in surrogates.surrogate_texts(docs(spark, rows), b"k").collect()}
+    name = f"{given} {family}"
+    assert [got[i] for i in (1, 2, 3, 4)] == [(f"Dr {name}", 1), (f"Mr {name}", 1), (f"Mr {name.upper()}", 1), (f"Prof {name} and {name}", 2)]
+    assert got[5][0].split(" ", 1)[1] == got[6][0].split(" ", 1)[1] != "Kim Lee" and got[7] == ("Kim Lee", 0)
+
+
 def test_surrogates_edge_cases(spark):
     rows = [(1, "x@y.com and x@y.com", "s"), (1, "x@y.com and x@y.com", "s"), (None, "Z@Y.COM", "s"), (3, None, "s"), (4, "", "s"), (5, LONG + " 8.8.8.8", "s")]
     df = docs(spark, rows).withColumnRenamed("kept", "n_entities")

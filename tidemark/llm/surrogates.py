@@ -82,6 +82,7 @@ def _digits(text: str, digit: bool) -> bool:
     return digit
 
 
+_CAPITALS = re.compile(rf"(?<!\w){_NAME}(?!\w)(?:[ -]{_NAME}(?!\w))*")
 _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 
 
@@ -279,18 +280,25 @@ def _entity(kind: str, m: re.Match) -> tuple[str, int, int] | None:
     if kind == "ssn":
         return said.replace("-", ""), start, end
     if kind == "person":
-        return f"{_TITLE_GENDER[m.group('title')]} {re.sub('[ -]', ' ', said)}", start, end
+        return f"{_TITLE_GENDER[m.group('title')]} {' '.join(_names(said))}", start, end
     return (said.lower() if kind == "ip6" else said), start, end
 
 
-def _as_said(kind: str, new: str, said: str) -> str:
-    """A surrogate in the spelling of a mention: its separators and its capitals."""
+def _names(said: str) -> list[str]:
+    """The names of a person in one case."""
+    return [n.casefold().capitalize() for n in re.split("[ -]", said)]
+
+
+def _as_said(kind: str, new: str, said: str, entity: str) -> str:
+    """A surrogate in the spelling of a mention: its separators, its capitals and, of a person, the names that it has."""
     if kind in ("card", "ssn", "phone", "iban", "ip6"):
         symbols = iter(new.replace(":", ""))
         new = "".join(next(symbols) if c.isalnum() else c for c in said)
     elif kind == "person":
         seps = re.findall("[ -]", said)
-        names = new.split(" ")[1:]
+        part, whole = _names(said), entity.split(" ")[1:]
+        at = next((i for i in range(len(whole)) if whole[i : i + len(part)] == part), 0)
+        names = new.split(" ")[1:][at : at + len(part)]
         new = "".join(n + s for n, s in zip(names, [*seps, ""], strict=True))
         return new.upper() if said.isupper() and len(said) > 1 else new
     if kind in ("email", "secret", "ip6") and len(new) == len(said):
@@ -308,7 +316,55 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         for entity, start, end in _found(kind, pattern, text):
             if all(end <= a or start >= b for a, b, _, _ in found):
                 found.append((start, end, kind, entity))
-    return sorted(found)
+    return _with_untitled(text, sorted(found)) if any(f[2] == "person" for f in found) else sorted(found)
+
+
+def _gender(genders: set[str]) -> str:
+    """The gender that titles tell, neutral where they tell none or both."""
+    told = genders - {"n"}
+    return told.pop() if len(told) == 1 else "n"
+
+
+def _with_untitled(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found, each person with one gender, and the other mentions of these persons by all or some of their names.
+
+    Names that several persons have mean one who is called just so, or else the last one named before.
+    """
+    genders: dict[str, set[str]] = {}
+    for _, _, kind, entity in found:
+        if kind == "person":
+            genders.setdefault(entity[2:], set()).add(entity[0])
+    one = {name: f"{_gender(g)} {name}" for name, g in genders.items()}
+    found = [(a, b, k, one[e[2:]] if k == "person" else e) for a, b, k, e in found]
+    of: dict[tuple[str, ...], str] = {}
+
+    def name(entity: str) -> None:
+        names = entity[2:].split(" ")
+        for i in range(len(names)):
+            for j in range(i + 1, len(names) + 1):
+                of[tuple(names[i:j])] = one.get(" ".join(names[i:j]), entity)
+
+    for f in reversed(found):  # before a person is named, the first one counts
+        if f[2] == "person":
+            name(f[3])
+    out, k = [], 0
+    for run in _CAPITALS.finditer(text):
+        words = [(m.start() + run.start(), m.end() + run.start()) for m in re.finditer(r"[^ -]+", run.group())]
+        i = 0
+        while i < len(words):
+            while k < len(found) and found[k][1] <= words[i][0]:
+                if found[k][2] == "person":
+                    name(found[k][3])
+                k += 1
+            for j in range(min(i + 3, len(words)), i, -1):
+                start, end = words[i][0], words[j - 1][1]
+                entity = of.get(tuple(_names(text[start:end])))
+                if entity and (k == len(found) or end <= found[k][0]):
+                    out.append((start, end, "person", entity))
+                    i = j - 1
+                    break
+            i += 1
+    return sorted(found + out)
 
 
 def replaced(text: str, of: Callable[[str, str], str]) -> tuple[str, int]:
@@ -318,7 +374,7 @@ def replaced(text: str, of: Callable[[str, str], str]) -> tuple[str, int]:
         return text, 0
     out, at = [], 0
     for start, end, kind, entity in found:
-        out += [text[at:start], _as_said(kind, of(kind, entity), text[start:end])]
+        out += [text[at:start], _as_said(kind, of(kind, entity), text[start:end], entity)]
         at = end
     return "".join([*out, text[at:]]), len(found)
 
@@ -351,12 +407,29 @@ def attempts(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
     return table.filter("attempt > 0")
 
 
+def _otherwise(entities: DataFrame, key: bytes) -> DataFrame:
+    """kind, entity, meant, attempt of the entities of texts that are not replaced by their own first surrogates.
+
+    meant is a person with the gender that the titles of all texts tell.
+    """
+    person = F.col("kind") == "person"
+    entities = common.written(entities.withColumn("name", F.when(person, F.expr("substr(entity, 3)")).otherwise(F.col("entity"))), "pii-named")
+    told = lambda g: F.max(F.when(person, F.col("entity").startswith(f"{g} ")).otherwise(False))
+    by = entities.groupBy("kind", "name").agg(told("m").alias("m"), told("f").alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
+    by = common.written(by.select("kind", "name", F.when(person, F.concat_ws(" ", gender, "name")).otherwise(F.col("name")).alias("meant")), "pii-meant")
+    late = attempts(by.select("kind", F.col("meant").alias("entity")), key).withColumnRenamed("entity", "meant")
+    every = entities.join(by, ["kind", "name"]).join(late, ["kind", "meant"], "left")
+    return every.select("kind", "entity", "meant", F.coalesce("attempt", F.lit(0)).alias("attempt")).filter("entity <> meant OR attempt > 0")
+
+
 def surrogate_texts(docs: DataFrame, key: bytes = b"a key of the data's owner", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, n_entities and text (with surrogates; unchanged where nothing is found) for each row of docs.
 
     A null text stays null and has no entities. Repeated rows are treated alike; an empty table gives no rows;
     other columns, whatever their names, are ignored. Addresses, phone, card, account, social security and IP
-    numbers, keys and passwords behind their names, and persons behind a title are found; numbers of card
+    numbers, keys and passwords behind their names, and persons behind a title are found, with all other
+    mentions in the same text of their names or parts of them; numbers of card
     length without a valid check digit are left alone.
     """
     kind_of = docs.schema[id_col].dataType.simpleString()
@@ -370,21 +443,21 @@ def surrogate_texts(docs: DataFrame, key: bytes = b"a key of the data's owner",
 
     held = rows.select("text", FILE, ROW).mapInArrow(listed, f"{FILE} string, {ROW} long, kind string, entity string")
     held = common.written(held, "pii-held")
-    others = attempts(held.select("kind", "entity").distinct(), key)
+    others = common.written(_otherwise(held.select("kind", "entity").distinct(), key), "pii-others")
     plain = others.isEmpty()
 
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 64):
                 part = b.slice(at, 64)
-                more = [{(x["kind"], x["entity"]): x["attempt"] for x in r or ()} for r in part.column(2).to_pylist()] if part.num_columns > 2 else [{}] * len(part)
-                out = [(None, 0) if t.as_py() is None else replaced(t.as_py(), lambda k, e, m=m: _cached(key, k, e, m.get((k, e), 0))) for t, m in zip(part.column(1), more, strict=True)]
+                more = [{(x["kind"], x["entity"]): (x["meant"], x["attempt"]) for x in r or ()} for r in part.column(2).to_pylist()] if part.num_columns > 2 else [{}] * len(part)
+                out = [(None, 0) if t.as_py() is None else replaced(t.as_py(), lambda k, e, m=m: _cached(key, k, *m.get((k, e), (e, 0)))) for t, m in zip(part.column(1), more, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in out], pa.int64()), pa.array([t for t, _ in out], pa.string())], names=["id", "n_entities", "text"])
 
     schema = f"id {kind_of}, n_entities long, text string"
     if plain:
         out = rows.select("id", "text").mapInArrow(renamed, schema)
     else:
-        per_row = held.join(others, ["kind", "entity"]).groupBy(FILE, ROW).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("more"))
+        per_row = held.join(others, ["kind", "entity"]).groupBy(FILE, ROW).agg(F.collect_list(F.struct("kind", "entity", "meant", "attempt")).alias("more"))
         out = rows.join(per_row, [FILE, ROW], "left").select("id", "text", "more").mapInArrow(renamed, schema)
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
