@@ -444,6 +444,25 @@ def test_persons_are_one_in_all_mentions(spark):
     assert got[5][0].split(" ", 1)[1] == got[6][0].split(" ", 1)[1] != "Kim Lee" and got[7] == ("Kim Lee", 0)
 
 
+def test_many_persons_share_no_name(spark):
+    rows = spark.range(250_000).select(F.lit("person").alias("kind"), F.concat(F.when(F.col("id") % 2 == 0, "m").otherwise("f"), F.lit(" Имя"), "id").alias("entity"))
+    late = {r.entity: r.attempt for r in surrogates.attempts(rows, b"k").collect()}
+    made = [surrogates.surrogate(b"k", "person", r.entity, late.get(r.entity, 0))[2:] for r in rows.collect()]
+    assert len(set(made)) == len(made)  # as they are written, whatever the gender
+    assert len({surrogates._family(b"k", f"person:{a}:0", f"N{i}") for a in (12, 30) for i in range(500)}) == 1000
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(2, 300), st.text("ab", max_size=3))
+def test_permutation_moves_all(size, tweak):
+    assert all(surrogates.permuted(b"key", tweak, i, size) != i for i in range(size))
+
+
+def test_full_formats_share_nothing():
+    for kind, entities in (("email", [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz"]), ("ip", [f"192.168.{i}.{j}" for i in range(256) for j in range(0, 256, 5)])):
+        assert len({surrogates.surrogate(b"k", kind, e) for e in entities}) == len(entities)
+
+
 def test_surrogates_edge_cases(spark):
     rows = [(1, "x@y.com and x@y.com", "s"), (1, "x@y.com and x@y.com", "s"), (None, "Z@Y.COM", "s"), (3, None, "s"), (4, "", "s"), (5, LONG + " 8.8.8.8", "s")]
     df = docs(spark, rows).withColumnRenamed("kept", "n_entities")

@@ -101,15 +101,24 @@ def _draw(key: bytes, *parts: object) -> int:
 
 
 def permuted(key: bytes, tweak: str, value: int, size: int) -> int:
-    """A keyed permutation of range(size): a Feistel network over enough bits, walked until it is in range."""
+    """A keyed permutation of range(size) that leaves no value in its place: a step in a keyed order."""
     if size < 2:
         return value
+    step = 1 + _draw(key, tweak, "step") % (size - 1)
+    return _feistel(key, tweak, (_feistel(key, tweak, value, size) + step) % size, size, back=True)
+
+
+def _feistel(key: bytes, tweak: str, value: int, size: int, back: bool = False) -> int:
+    """A Feistel network over enough bits, walked until it is in range, or its inverse."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     while True:
         a, b = value >> half, value & mask
-        for i in range(8):
-            a, b = b, a ^ (_draw(key, tweak, i, b) & mask)
+        for i in reversed(range(8)) if back else range(8):
+            if back:
+                a, b = b ^ (_draw(key, tweak, i, a) & mask), a
+            else:
+                a, b = b, a ^ (_draw(key, tweak, i, b) & mask)
         value = a << half | b
         if value < size:
             return value
@@ -192,7 +201,9 @@ def _family(key: bytes, tweak: str, name: str) -> str:
     n = _draw(key, tweak, name)
     stock = SYLLABLES[script(name)]
     parts = []
-    for _ in range(3 + n % 2):
+    for k in range(3 + n % 2 + int(tweak.split(":")[1])):  # longer with each attempt, so that the stock grows
+        if k and k % 12 == 0:
+            n = _draw(key, tweak, name, k)
         n, i = divmod(n >> 3, len(stock))
         parts.append(stock[i])
     return "".join(parts).capitalize()
@@ -384,20 +395,21 @@ def _cached(key: bytes, kind: str, entity: str, attempt: int) -> str:
     return surrogate(key, kind, entity, attempt)
 
 
-def attempts(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
+def attempts(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, attempt of those entities (kind, entity) whose first surrogates others share.
 
     Of the entities that share a surrogate, the least keeps it and the others take their next, until all
-    surrogates differ. Only the entities are compared, in a table of one row each.
+    surrogates differ as they are written. Permutations share none, and the stock of names grows with the attempts,
+    so this ends. Only the entities are compared, in a table of one row each.
     """
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_cached(key, k, e, a) for k, e, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            out = [_cached(key, k, e, a)[2 if k == "person" else 0 :] for k, e, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["kind", "entity", "attempt", "new"])
 
     table = common.written(entities.withColumn("attempt", F.lit(0)), "pii-entities")
-    for _ in range(rounds):
+    while True:
         new = common.written(table.select("kind", "entity", "attempt").mapInArrow(named, "kind string, entity string, attempt int, new string"), "pii-surrogates")
         first = new.groupBy("kind", "new").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         if first.isEmpty():
