@@ -266,6 +266,18 @@ def test_pages_with_other_templates():
     assert tag_paths.main_text("<article><header><h1>T</h1></header><p>One.<p>Two.</article><div class=ad>Buy, now.</div>") == "T\n\nOne.\n\nTwo."
 
 
+def test_names_of_wrappers_hide_no_article():
+    text = "<p>First para, long enough to be content. Yes it is.</p><p>Second para here, with commas, and more words.</p>"
+    want = "First para, long enough to be content. Yes it is.\n\nSecond para here, with commas, and more words."
+    for a, b in (("<div class='content-sidebar-wrap'>", "</div>"), ("<div class=has-sidebar><form>", "</form></div>"), ("<form id=aspnetForm>", "</form>"), ("<article><div class=share-wrap>", "</div></article>"), ("<aside><fieldset>", "</fieldset></aside>")):
+        for inner in (text, f"<article>{text}</article>", f"<main>{text}</main>"):
+            nav = "<nav><a>Home</a></nav><div class=sidebar><p>Some more, to read.</p></div>"
+            assert tag_paths.main_text(f"<body>{nav}{a}{nav}{inner}<div class=comments><article>I think, so.</article></div>{b}<footer>All, rights.</footer>") == want
+    assert tag_paths.main_text(f"<form><p>{'One, two. ' * 9}</p></form><form><p>{'Six, ten. ' * 9}</p></form>").count(".") == 18
+    assert tag_paths.main_text(f"<article>{text}</article><section id=comments>{text * 3}</section>") == want
+    assert tag_paths.main_text(f"<div hidden><article>{text}</article></div><nav>{text}</nav>") == ""
+
+
 def test_pages_edge_cases(spark):
     cases = [None, "", "no tags < here", "<p", "<!-- only", "<script>x", "<div>" * 3000 + "deep" + "</div>" * 3000, "<p a='>'>x<p>y", "<table><tr><td>c1<td>c2</table>", "<article></article>", "<p>" + "long words. " * 50_000 + "</p>", '<p class="' + "x" * 100_000]
     rows = [(i, "u", h, "t", 5) for i, h in enumerate(cases)] + [(None, None, "<p>x</p>", "t", 1)] * 2

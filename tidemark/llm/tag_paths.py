@@ -34,33 +34,44 @@ ENDS_P = set("address article aside blockquote center details dialog dir div dl
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 CONTAINERS = set("body div section article main td center blockquote html".split())
 BOILER_TAGS = set("nav footer aside form button select dialog template svg canvas object menu head fieldset".split())
+#: Tags of furniture that can stand around a whole page; the others never hold its text.
+WRAPPERS = {"aside", "form", "object", "fieldset"}
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 BOILER_NAMES = set("ad ads adbox adslot banner nav navbar menu side footer foot masthead modal overlay popup share sharing social login signin signup register search pagination pager toolbar widget skip copyright disqus reply respond replies gdpr consent privacy notice alert toast".split())
 BOILER_STEMS = ("advert", "sponsor", "promo", "comment", "cookie", "sidebar", "navig", "breadcrumb", "newslet", "subscri", "related", "recommend", "footer", "paywall", "discuss", "taboola", "outbrain")
 
 
 class Element:
-    """An open or closed element: its tag, parent, and whether it is page furniture."""
+    """An open or closed element: its tag, parent, and whether its tag or names say that it is page furniture."""
 
-    __slots__ = ("tag", "parent", "boiler", "article", "depth")
+    __slots__ = ("tag", "parent", "flag", "never", "article", "depth")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.article = bool(parent and parent.article) or tag in ("article", "main")
-        self.boiler = bool(parent and parent.boiler) or tag in BOILER_TAGS or tag == "header" and not self.article
-        if not self.boiler and attributes and tag not in ("body", "html", "article", "main"):
-            self.boiler = furniture(attributes, self.article)
+        self.never = bool(parent and parent.never) or tag in BOILER_TAGS - WRAPPERS
+        self.flag = tag in WRAPPERS or tag == "header" and not self.article
+        if attributes and tag not in ("body", "html", "article", "main"):
+            self.never = self.never or unseen(attributes)
+            self.flag = self.flag or furniture(attributes, self.article)
 
 
-def furniture(attributes: str, in_article: bool) -> bool:
-    """Whether the names or the role of an element say that it is no part of an article."""
+def unseen(attributes: str) -> bool:
+    """Whether attributes hide an element."""
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "hidden" and attributes[m.start() - 1 : m.start()] in (" ", "\t", "\n") and attributes[m.end() : m.end() + 1] in ("", " ", "/"):
             return True
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
+    return False
+
+
+def furniture(attributes: str, in_article: bool) -> bool:
+    """Whether the names or the role of an element say that it is no part of an article."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "role" and value.lower() in BOILER_ROLES:
             return True
         if key in ("class", "id"):
@@ -177,9 +188,41 @@ def ratios(found: list[Block]) -> list[float]:
     return [sum(k * padded[i + j] for j, k in enumerate(kernel)) for i in range(len(raw))]
 
 
+def _up(e: Element | None) -> Iterator[Element]:
+    while e:
+        yield e
+        e = e.parent
+
+
+def candidates(found: list[Block]) -> list[Block]:
+    """The blocks that no furniture holds.
+
+    The name of a wrapper doesn't count where it holds the page's article or main elements, or most of the text of the
+    page or of the article around it; and no name does where they would leave nothing.
+    """
+    seen = [b for b in found if not b.at.never]
+    weight: dict[Element, int] = {}
+    total = 0
+    for b in seen:
+        w = len(b.text) - min(len(b.text), b.linked)
+        total += w
+        for e in _up(b.at):
+            weight[e] = weight.get(e, 0) + w
+    articles = {e: sum(x.flag for x in _up(e)) for e, w in weight.items() if e.tag in ("article", "main") and w}
+    least = [e for e, n in articles.items() if n == min(articles.values())]
+    told = bool(least) and 10 * sum(weight[e] for e in least) >= total  # by more than a comment or a teaser
+    lifted = {x for e in least for x in _up(e)} if told else set()
+    for e, w in weight.items():
+        if e.flag and e not in lifted:
+            around = next((x for x in _up(e) if x in least), None) if told else None
+            if (around or not told) and 2 * w > (weight[around] if around else total):
+                lifted.add(e)
+    return [b for b in seen if not any(e.flag and e not in lifted for e in _up(b.at))] or seen
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by an empty line; empty where there is none."""
-    found = [b for b in blocks(page or "") if not b.at.boiler]
+    found = candidates(blocks(page or ""))
     if not found:
         return ""
     values = ratios(found)
