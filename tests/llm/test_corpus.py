@@ -278,6 +278,21 @@ def test_names_of_wrappers_hide_no_article():
     assert tag_paths.main_text(f"<div hidden><article>{text}</article></div><nav>{text}</nav>") == ""
 
 
+def test_articles_in_parts_stay_whole():
+    para = [f"Para {i}, long enough to be content, with marks. Yes it is." for i in range(5)]
+    p = [f"<p>{x}</p>" for x in para]
+    for tag in ("div", "section"):
+        assert tag_paths.main_text(f"<div class=page><{tag}>{''.join(p[:3])}</{tag}><{tag}>{''.join(p[3:])}</{tag}></div>") == "\n\n".join(para)
+    lead = "<p>Short lead.</p><div class=text>" + "".join(p) + "</div><p>The end.</p>"
+    for page in (f"<body>{lead}</body>", f"<body><div class=x>{lead}</div></body>"):
+        assert tag_paths.main_text(page) == "\n\n".join(["Short lead.", *para, "The end."])
+    quoted = f"<div><p>One says.</p><blockquote>{''.join(p)}</blockquote><p>He ends.</p></div>"
+    assert tag_paths.main_text(quoted) == "\n\n".join(["One says.", *para, "He ends."])
+    refs = "<ul><li><a href=x>Reference one</a><li><a href=y>Reference two</a></ul>"
+    for tag in ("article", "main", "div"):
+        assert tag_paths.main_text(f"<ul><li><a>Menu</a></ul><{tag}>{''.join(p)}{refs}</{tag}>") == "\n\n".join([*para, "Reference one", "Reference two"])
+
+
 def test_pages_edge_cases(spark):
     cases = [None, "", "no tags < here", "<p", "<!-- only", "<script>x", "<div>" * 3000 + "deep" + "</div>" * 3000, "<p a='>'>x<p>y", "<table><tr><td>c1<td>c2</table>", "<article></article>", "<p>" + "long words. " * 50_000 + "</p>", '<p class="' + "x" * 100_000]
     rows = [(i, "u", h, "t", 5) for i, h in enumerate(cases)] + [(None, None, "<p>x</p>", "t", 1)] * 2

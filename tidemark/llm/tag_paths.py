@@ -2,8 +2,8 @@
 
 Every block of text hangs on a root-to-leaf path of tags. Per path, the length of text and the punctuation are
 set against the number of blocks on it; both ratios are fused, smoothed over the blocks in page order, and
-thresholded. The blocks above the threshold tell which container holds the article, and the blocks of that
-container make the text. Regions whose tags or names say that they are menus, notices, adverts, forms or
+thresholded. The blocks above the threshold tell which container holds the article: the article or main element
+around most of them, or else the container around all. The blocks of that container make the text. Regions whose tags or names say that they are menus, notices, adverts, forms or
 comments take no part.
 """
 
@@ -33,6 +33,9 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 CONTAINERS = set("body div section article main td center blockquote html".split())
+#: A quotation is a part of an article, never the whole.
+REGIONS = CONTAINERS - {"blockquote"}
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 BOILER_TAGS = set("nav footer aside form button select dialog template svg canvas object menu head fieldset".split())
 #: Tags of furniture that can stand around a whole page; the others never hold its text.
 WRAPPERS = {"aside", "form", "object", "fieldset"}
@@ -239,8 +242,8 @@ def main_text(page: str | None) -> str:
             while e:
                 weight[e] = weight.get(e, 0.0) + w
                 e = e.parent
-    held = [e for e, w in weight.items() if w >= 0.6 * total and e.tag in CONTAINERS]
-    region = max(held, key=lambda e: e.depth, default=None)
+    held = [e for e, w in weight.items() if w >= 0.6 * total and e.tag in REGIONS]
+    core = region = max(held, key=lambda e: e.depth, default=None)
     e = region
     while e:  # an article or main element around it is the whole article
         if e.tag in ("article", "main"):
@@ -248,10 +251,30 @@ def main_text(page: str | None) -> str:
             if e.tag == "article":
                 break
         e = e.parent
-    if region and region.tag not in ("article", "main", "body", "html"):
-        region = _with_heading(region, found)
-    inside = [b for b in found if region is None or _within(b.at, region)]
-    return "\n\n".join(b.text for b in inside if not _link_list(b))
+    if region and region.tag not in ("article", "main"):
+        core = region
+        region = max((e for e, w in weight.items() if e.tag in REGIONS and w >= total - 1e-9), key=lambda e: e.depth, default=None)
+        beside = _beside(region, found)
+        if region and region.tag not in ("body", "html"):
+            region = _with_heading(region, found)
+    else:
+        core, beside = region, set()
+    passing = [i for i, v in enumerate(values) if v >= least]
+    inner = core is not None and core.tag not in ("body", "html")
+    out = []
+    for i, b in enumerate(found):
+        if region is None or _within(b.at, region) or b in beside:
+            article = _within(b.at, core) if inner else passing[0] <= i <= passing[-1]
+            if article or not _link_list(b):
+                out.append(b.text)
+    return "\n\n".join(out)
+
+
+def _beside(region: Element | None, found: list[Block]) -> set[Block]:
+    """The paragraphs and headings that stand beside the region in the container around it, and are no links."""
+    around = next((e for e in _up(region.parent) if e.tag in CONTAINERS), None) if region else None
+    home = lambda b: next((e for e in _up(b.at) if e.tag in REGIONS), None)
+    return {b for b in found if around and b.at.tag in PROSE and 2 * b.linked < len(b.text) and home(b) is around}
 
 
 def _within(e: Element | None, region: Element) -> bool:
