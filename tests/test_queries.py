@@ -32,3 +32,41 @@ def test_windows_of_one_series_share_an_exchange(spark, sf_dir, capsys):
     plan = strategy_ma_crossover(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") <= 3  # ticks to bars, and bars to series
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("name,n", [("signal_shuffle", 1000), ("walk_forward_mcpt", 200)])
+def test_full_permutation_tests_go_on_from_the_checked_ones(name, n, spark, sf_dir):
+    sized = sf_dir.replace("0.001", "0.01") if name.startswith("walk") else sf_dir  # windows take 250 bars
+    few, full = (catalog.QUERIES[x](spark, sized).toPandas() for x in (name, f"{name}_full"))
+    assert len(few) and (full.groupby("symbol").perm_id.nunique() == n).all() and len(full) == n * few.symbol.nunique()
+    assert same(rows_of(full[full.perm_id.isin(few.perm_id)]), rows_of(few))
+
+
+def test_full_reoptimisation_against_brute_force(spark, sf_dir):
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators.permutation import permuted_arrays
+    from tidemark.queries.base import hourly
+
+    def score(close, short, long):
+        c = pd.Series(close)
+        fast, slow = c.rolling(short).mean().round(6), c.rolling(long).mean().round(6)
+        f0, s0 = fast.shift(), slow.shift()
+        signal = pd.Series(np.where((f0 <= s0) & (fast > slow), 1.0, np.where((f0 >= s0) & (fast < slow), -1.0, np.nan))).ffill().fillna(0)
+        position = signal.shift().fillna(0)
+        ret = (position * (c / c.shift() - 1) - (signal - position).abs() * 0.0007).fillna(0)
+        won, lost = ret[ret > 0].sum(), -ret[ret < 0].sum()
+        return won / lost if lost else np.inf if won else 0.0
+
+    got = catalog.QUERIES["mcpt_reoptimized_full"](spark, sf_dir).toPandas()
+    assert (got.groupby("symbol").perm_id.nunique() == 500).all()
+    grid = [(s, lo) for s in (5, 10, 15) for lo in (10, 20, 30) if s < lo]
+    symbol = got.symbol.min()
+    bars = hourly(spark, sf_dir).filter(f"symbol = '{symbol}'").toPandas().sort_values("bar_idx")
+    a = {c: bars[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")}
+    rows = got[got.symbol == symbol].set_index("perm_id")
+    assert rows.original_score.iloc[0] == pytest.approx(max(score(a["close"], *p) for p in grid), abs=1e-4)
+    for i in (0, 7, 499):
+        assert rows.score[i] == pytest.approx(max(score(permuted_arrays(a, i)["close"], *p) for p in grid), abs=1e-4)
+    assert catalog.QUERIES["mcpt_pvalue_corrected_full"](spark, sf_dir).toPandas().p_value.between(1 / 1001 - 1e-6, 1).all()

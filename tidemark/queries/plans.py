@@ -16,7 +16,8 @@ from .base import COUNTS, H, METRIC_SQL, W, hourly, ma_signals, metric_columns,
 
 GRID = {"short": [5, 10, 15], "long": [10, 20, 30]}
 TRAIN, TEST = 200, 50
-N_PERM = 8
+N_PERM = 8  # of the queries that DuckDB checks
+N_FULL, N_REOPTIMISED, N_WALK_FORWARD = 1000, 500, 200  # of the tests proper
 _PARAMS = "params AS (SELECT CAST((s - 1) * 3 + (l - 1) AS INT) AS param_id, s * 5.0::DOUBLE AS short, l * 10.0::DOUBLE AS long FROM range(1, 4) a(s), range(1, 4) b(l))"
 _VALID = [(i, s, lo) for i, (s, lo) in enumerate((s, lo) for s in GRID["short"] for lo in GRID["long"]) if s < lo]
 
@@ -205,8 +206,8 @@ def report_walkforward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.walkforward_curves(_combined(spark, sf_dir)), 4, drawdown=6)
 
 
-def _perms(spark: SparkSession) -> DataFrame:
-    return spark.range(N_PERM).select(F.col("id").alias("perm_id"))
+def _perms(spark: SparkSession, n: int = N_PERM) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("perm_id"))
 
 
 def _permuted(compounded: bool = False, n: int = N_PERM, start: int = 0) -> str:
@@ -285,6 +286,49 @@ def mcpt_reoptimized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mcpt.reoptimised(hourly(spark, sf_dir), frames, _perms(spark)), 5)
 
 
+def _full_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcpt.numpy_scores(hourly(spark, sf_dir), "ma_crossover", [{"short": 10.0, "long": 30.0}], N_FULL)
+
+
+@query()
+def mcpt_normal_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mcpt_normal with 1000 permutations, by numpy's generator."""
+    return rounded(_full_scores(spark, sf_dir).select("symbol", "perm_id", "score", "original_score"), 5)
+
+
+@query()
+def mcpt_pvalue_corrected_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = mcpt.statistics(_full_scores(spark, sf_dir))
+    return rounded(s.select("symbol", F.col("p_value_corrected").alias("p_value")))
+
+
+@query()
+def report_distribution_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(report.score_distribution(_full_scores(spark, sf_dir), 5))
+
+
+@query()
+def mcpt_reoptimized_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the best of all valid combinations of the grid on each of 500 permutations, by numpy's generator."""
+    params = [{"short": float(s), "long": float(lo)} for _, s, lo in _VALID]
+    s = mcpt.numpy_scores(hourly(spark, sf_dir), "ma_crossover", params, N_REOPTIMISED)
+    return rounded(s.select("symbol", "perm_id", "score", "original_score"), 5)
+
+
+@query()
+def signal_shuffle_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signal_shuffle with 1000 permutations."""
+    s = strategies.ma_crossover_frame(hourly(spark, sf_dir), 10, 30)
+    return rounded(mcpt.signal_scores(s, _perms(spark, N_FULL)).select("symbol", "perm_id", "score"), 5)
+
+
+@query()
+def walk_forward_mcpt_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """walk_forward_mcpt with 200 permutations."""
+    s = mcpt.walk_forward_scores(hourly(spark, sf_dir), _grid(spark), "ma_crossover", _perms(spark, N_WALK_FORWARD), TRAIN, TEST)
+    return rounded(s.select("symbol", "perm_id", "score", "original_score"), 5)
+
+
 @query()
 def mcpt_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1000 permutations by numpy's generator, with fixed parameters, and their statistics."""
