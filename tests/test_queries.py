@@ -70,3 +70,26 @@ def test_full_reoptimisation_against_brute_force(spark, sf_dir):
     for i in (0, 7, 499):
         assert rows.score[i] == pytest.approx(max(score(permuted_arrays(a, i)["close"], *p) for p in grid), abs=1e-4)
     assert catalog.QUERIES["mcpt_pvalue_corrected_full"](spark, sf_dir).toPandas().p_value.between(1 / 1001 - 1e-6, 1).all()
+
+
+def test_feature_windows_of_all_features(spark, sf_dir):
+    import numpy as np
+
+    from tidemark.operators import folds
+    from tidemark.queries.base import hourly
+
+    pack = folds.indicator_pack(hourly(spark, sf_dir)).toPandas().sort_values(["symbol", "bar_idx"])
+    full = catalog.QUERIES["feature_windows_full"](spark, sf_dir).toPandas().set_index(["symbol", "bar_idx"])
+    got = {(r.symbol, r.bar_idx): np.array(r.features) for r in folds.feature_windows(folds.indicator_pack(hourly(spark, sf_dir)), 24).collect()}
+    n = 0
+    for symbol, g in pack.groupby("symbol"):
+        every = [*folds.FEATURES, "sma_5", "sma_10", "sma_20"]
+        g = g.set_index("bar_idx")[every].astype(float).ffill().dropna()
+        for i in range(24, len(g)):
+            x = g.iloc[i - 24 : i][list(folds.FEATURES)].to_numpy()
+            span = np.ptp(x, axis=0)
+            want, key = (x - x.min(axis=0)) / np.where(span > 0, span, 1), (symbol, g.index[i])
+            assert got[key].shape == (24, 12) and np.allclose(got[key], want, atol=1e-6)
+            assert np.allclose(full.loc[key, list(folds.FEATURES)].astype(float), want.sum(axis=0), atol=2e-4)
+            n += 1
+    assert n and len(got) == len(full) == n

@@ -6,9 +6,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, windows
 from ..schema import VALUES
 from .strategies import STRATEGIES
 
@@ -81,3 +82,28 @@ def custom_signals(bars: DataFrame, f: Callable[..., pd.Series], params: dict |
 
     old = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in bars.schema.fields)
     return bars.groupBy(*keys).applyInPandas(run, f"{old}, signal int")
+
+
+#: What a model of the next bar sees of indicator_pack().
+FEATURES = ("open", "high", "low", "close", "volume", "rsi", "macd", "macd_signal", "bb_upper", "bb_lower", "obv", "atr")
+
+
+def feature_windows(pack: DataFrame, look_back: int, columns: Sequence[str] = FEATURES, needed: Sequence[str] = ("sma_5", "sma_10", "sma_20")) -> DataFrame:
+    """symbol, bar_idx and features: look_back arrays of columns from the rows before, scaled to 0..1 within the window.
+
+    Gaps in columns and needed are filled forward, rows that stay incomplete are dropped, and windows count the rows that
+    are left. A column that is constant within a window is 0 there.
+    """
+    w = windows.series()
+    every = (*columns, *needed)
+    filled = pack.select("symbol", "bar_idx", *(windows.ffill(c, w).alias(c) for c in every)).dropna(subset=list(every))
+    f = w.rowsBetween(-look_back, -1)
+    held = filled.select("symbol", "bar_idx", *(F.collect_list(c).over(f).alias(c) for c in columns)).filter(F.size(columns[0]) == look_back)
+
+    def scaled(c: str) -> Column:
+        lo, hi = F.array_min(c), F.array_max(c)
+        return F.transform(c, lambda x: F.when(hi > lo, (x - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(F.lit(0.0))).alias(c)
+
+    held = held.select("symbol", "bar_idx", *map(scaled, columns))
+    rows = F.transform(F.sequence(F.lit(1), F.lit(look_back)), lambda i: F.array(*(F.element_at(c, i) for c in columns)))
+    return held.select("symbol", "bar_idx", rows.alias("features"))

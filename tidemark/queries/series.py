@@ -321,6 +321,14 @@ def feature_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.select("symbol", "bar_idx", F.size("xs").cast("long").alias("n"), F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x).alias("scaled_sum")), 4)
 
 
+@query()
+def feature_windows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scaled windows of all features of a model's input; a sum per feature stands for its column."""
+    made = folds.feature_windows(folds.indicator_pack(hourly(spark, sf_dir)), _L)
+    total = lambda k: F.aggregate("features", F.lit(0.0), lambda a, x: a + x[k])
+    return rounded(made.select("symbol", "bar_idx", F.size("features").cast("long").alias("n"), *(total(k).alias(c) for k, c in enumerate(folds.FEATURES))), 4)
+
+
 @query(f"WITH {H} SELECT symbol, bar_idx, {r(f'100000 * close / first_value(close) OVER ({W})', 'buy_hold')} FROM bars")
 def buy_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hourly(spark, sf_dir).select("symbol", "bar_idx", (F.lit(100_000.0) * F.col("close") / F.first("close").over(X.series())).alias("buy_hold")))
