@@ -34,14 +34,23 @@ def test_windows_of_one_series_share_an_exchange(spark, sf_dir, capsys):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("name,n", [("signal_shuffle", 1000), ("walk_forward_mcpt", 200)])
-def test_full_permutation_tests_go_on_from_the_checked_ones(name, n, spark, sf_dir):
-    sized = sf_dir.replace("0.001", "0.01") if name.startswith("walk") else sf_dir  # windows take 250 bars
-    few, full = (catalog.QUERIES[x](spark, sized).toPandas() for x in (name, f"{name}_full"))
-    assert len(few) and (full.groupby("symbol").perm_id.nunique() == n).all() and len(full) == n * few.symbol.nunique()
+def test_full_signal_shuffle_goes_on_from_the_checked_one(spark, sf_dir):
+    few, full = (catalog.QUERIES[x](spark, sf_dir).toPandas() for x in ("signal_shuffle", "signal_shuffle_full"))
+    assert len(few) and (full.groupby("symbol").perm_id.nunique() == 1000).all() and len(full) == 1000 * few.symbol.nunique()
     assert same(rows_of(full[full.perm_id.isin(few.perm_id)]), rows_of(few))
 
 
+def test_full_walk_forward_goes_on_from_few(spark, sf_dir):
+    from tidemark.plans import mcpt
+    from tidemark.queries import plans
+    from tidemark.queries.base import hourly
+
+    bars = hourly(spark, sf_dir).filter("symbol = 'click'").cache()
+    few, full = (mcpt.walk_forward_scores(bars, plans._grid(spark), "ma_crossover", plans._perms(spark, n), 100, 40).toPandas() for n in (4, plans.N_WALK_FORWARD))
+    assert len(few) == 4 and sorted(full.perm_id) == list(range(200))
+    assert same(rows_of(full[full.perm_id < 4]), rows_of(few))
+
+
 def test_full_reoptimisation_against_brute_force(spark, sf_dir):
     import numpy as np
     import pandas as pd
