@@ -6,25 +6,64 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 _OWN = "spark.tidemark.scratch"
+_open: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    Only where it names none, as in tests, a temporary folder of this machine is made, and goes with the process.
+    Only where it names none and the master is local, as in tests, a temporary folder of this machine is made,
+    and goes with the process. On a cluster executors could not see such a folder, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set(_OWN, folder)
     return folder.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is there goes with the scope that is open, else with the driver."""
+    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    held = _open.get()
+    if held is not None:
+        held.append(path)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that scratch() named."""
+    for p in paths:
+        if "/tidemark-" in p:
+            fs, at = _hadoop(spark, p)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """All scratch paths that are made inside are deleted at the end: results must be written or collected before."""
+    token = _open.set([])
+    try:
+        yield
+    finally:
+        held = _open.get() or []
+        _open.reset(token)
+        delete(spark, *held)
