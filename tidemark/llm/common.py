@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch
+from ..sources.scratch import delete, scratch
 
-#: Names that the operators give to helper columns; input columns of these names are never touched.
-FILE, ROW = "__file", "__row"
+#: The columns of located(): the input's row as a struct, and where the row is.
+INPUT, FILE, ROW = "__input", "__file", "__row"
+_PLAIN = {"Project", "Filter", "SubqueryAlias"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -21,29 +23,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Delete scratch tables (or folders) of this module that nothing will read again."""
-    jvm = spark.sparkContext._jvm
     for t in tables:
-        paths = {t} if isinstance(t, str) else {f.rsplit("/", 1)[0] for f in t.inputFiles()}
-        for p in paths:
-            if "/tidemark-" in p:
-                path = jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, *({t} if isinstance(t, str) else {f.rsplit("/", 1)[0] for f in t.inputFiles()}))
+
+
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether each row of docs is one row of a file and always the same: files, chosen and filtered by fixed expressions."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _PLAIN and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with FILE and ROW, which tell rows apart (even equal ones) and stay the same when a task is run again.
+    """INPUT (all columns of docs as a struct), FILE and ROW, which tell rows apart (even equal ones) and stay the same
+    when a task is run again.
 
-    Rows that don't come straight from files are written to the shared folder first.
+    The struct keeps the input's columns, whatever their names, apart from all others; column pruning sees through
+    it. Rows that don't come straight from files are written to the shared folder first.
     """
-    if {FILE, ROW} <= set(docs.columns):
-        return docs
-    try:
-        meta = docs.metadataColumn("_metadata")
-        out = docs.select("*", meta["file_path"].alias(FILE), meta["row_index"].alias(ROW))
-        out.schema  # noqa: B018  resolves the metadata column now
-        return out
-    except AnalysisException:
-        return located(written(docs, "rows"))
+    if _rows_of_files(docs):
+        try:
+            meta = docs.metadataColumn("_metadata")
+            every = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+            out = docs.select(every.alias(INPUT), meta["file_path"].alias(FILE), meta["row_index"].alias(ROW))
+            out.schema  # noqa: B018  resolves the metadata column now
+            return out
+        except AnalysisException:
+            pass
+    return located(written(docs, "rows"))
+
+
+def of_input(name: str) -> Column:
+    """A column of the input of located()."""
+    return F.col(INPUT).getField(name)
+
+
+def input_rows(rows: DataFrame) -> DataFrame:
+    """The input's columns of rows that still have INPUT."""
+    return rows.select(F.col(f"{INPUT}.*"))
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -54,6 +72,23 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return out.drop(*[f"__r_{k}" for k in keys]) if how not in ("left_semi", "left_anti") else out
 
 
+def in_order(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows as a written table with __at: the place of each row (from 0) in order among the rows with its values of by.
+
+    The rows are sorted in ranges of the whole order, however they fall on the values of by, and their places in a
+    range are moved on by the counts of the ranges before: no task holds more than its range, and one table of a
+    row per range and value is ordered in tasks of one value each. order must tell all rows apart.
+    """
+    index = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    ranged = written(ranged.withColumn("__part", F.shiftright(index, 33)).withColumn("__at", index.bitwiseAND(F.lit((1 << 33) - 1))), name)
+    parts = ranged.groupBy("__part", *by).agg(F.min("__at").alias("__from"), F.count(F.lit(1)).alias("__n"))
+    ahead = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0)) - F.col("__from")).drop("__from", "__n")
+    out = null_safe(ranged, parts, ["__part", *by])
+    return out.withColumn("__at", F.col("__at") + F.col("__ahead")).drop("__part", "__ahead")
+
+
 def uniform(*parts: Column) -> Column:
     """A fixed number in [0, 1) in steps of 2**-20 for each value of parts, alike in any engine that has md5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 5), 16, 10).cast("long") / F.lit(1048576.0)

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for each node of links (a, b) that has a link to another.
 
-    Each round points every neighbour at the least node seen next to it; the depth of the trees falls by half
-    at least, so the number of rounds grows with the logarithm of a component's size. Each round is a written
-    table. Loops and repeated links are allowed; no links give no rows.
+    Each round points every neighbour at the least node seen next to it, until a round changes nothing, so the
+    result is always whole; the depth of the trees falls by half at least, so the number of rounds grows with the
+    logarithm of a component's size. Each round is a written table. Loops and repeated links are allowed; no
+    links give no rows.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = common.written(e, "links")
     state = None
-    for _ in range(rounds):
+    while True:
         # each side of a join is a written table, so the engine can split the rows of a node with very many links
         spark = e.sparkSession
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
