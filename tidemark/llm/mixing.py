@@ -3,8 +3,8 @@
 Each document of a source has the same expected number of copies, target / source size. The documents of a
 source stand in one fixed order (by size, so that what is taken comes close to the target), their expected
 copies are summed up to each document, one random offset per source is added, and a document is emitted once
-for each whole number that the sum crosses at it. The prefix sums are made in two levels: within segments of
-a bounded number of rows, and over the segments' totals; no source is ordered in one task.
+for each whole number that the sum crosses at it. As all steps of a source are equal, the prefix sums come from
+places in one order of all rows, which is made in ranges and their totals; no source is ordered in one task.
 """
 
 from __future__ import annotations
@@ -20,11 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 
 
-def size_class(size: str) -> str:
-    """SQL for a class of sizes: four to each power of two, each size below 8 its own."""
-    return f"CASE WHEN {size} < 8 THEN {size} ELSE 4 * length(bin({size})) + shiftright({size}, length(bin({size})) - 3) - 8 END"
-
-
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """source, source_size, target from one row per source with source and source_size.
 
@@ -47,39 +42,35 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return ranked.select("source", "source_size", F.least("cap", F.coalesce(first * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, segment_rows: int = 4096) -> DataFrame:
-    """One row per row of docs: the id column, size, source_size, target, copies, taken, and FILE and ROW.
-
-    size is the number of words (null text: 0). A null source is a source of its own. A source whose texts
-    are all empty has target 0 and takes no copies. Equal rows each take their own place in the order. The
-    result depends on the rows and the seed only. Other columns, whatever their names, are ignored.
-    """
-    picked = [F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")]
-    rows = docs.select(*picked, FILE, ROW) if {FILE, ROW} <= set(docs.columns) else common.located(docs.select(*picked))
-    rows = common.written(rows.withColumn("class", F.expr(size_class("size")).cast("int")), "mix-sizes")
-    strata = rows.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    sources = targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights)
-    strata = strata.withColumn("parts", F.ceil(F.col("n") / F.lit(segment_rows)))
-    salt = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("__id"), F.lit("part"))), 1, 8), 16, 10).cast("long")
-    placed = common.null_safe(rows, strata.select("source", "class", "parts"), ["source", "class"]).withColumn("part", salt % F.col("parts"))
-    segments = placed.groupBy("source", "class", "part").agg(F.count(F.lit(1)).alias("n"))
-    ahead = W.partitionBy("source").orderBy("class", "part").rowsBetween(W.unboundedPreceding, -1)
-    segments = segments.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+def _mixed(rows: DataFrame, id_col: str, text_col: str, source_col: str, share: float, most: float, weights: tuple[int, ...], seed: int) -> DataFrame:
+    """mix() of located rows, with __id, FILE and ROW."""
+    size = F.coalesce(F.regexp_count(common.of_input(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = common.written(rows.select(common.of_input(id_col).alias("__id"), common.of_input(source_col).alias("source"), size.alias("size"), FILE, ROW), "mix-sizes")
+    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = common.uniform(F.lit(seed), F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    sources = sources.withColumn("per", per).withColumn("offset", offset)
-    segments = common.null_safe(segments, sources, ["source"])
-    inside = W.partitionBy("source", "class", "part").orderBy("size", "__id", FILE, ROW)
-    ranked = placed.withColumn("rank", F.row_number().over(inside))
-    both = common.null_safe(ranked, segments, ["source", "class", "part"]).withColumn("rank", F.col("rank") + F.col("ahead"))
-    copies = F.floor(F.col("offset") + F.col("per") * F.col("rank")) - F.floor(F.col("offset") + F.col("per") * (F.col("rank") - 1))
+    sources = common.written(sources.withColumn("per", per).withColumn("offset", offset), "mix-sources")
+    placed = common.null_safe(common.in_order(rows, ["source"], ["size", "__id", FILE, ROW], "mix-order"), sources, ["source"])
+    sum_to = lambda n: F.floor(F.col("offset") + F.col("per") * n)
+    copies = sum_to(F.col("__at") + 1) - sum_to(F.col("__at"))
     copies = F.least(copies, F.ceil("per")).cast("long")  # a sum's last bit never makes a copy too many
-    return both.select(F.col("__id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), FILE, ROW)
+    return placed.select("__id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), FILE, ROW)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """One row per row of docs: the id column, size, source_size, target, copies, taken.
+
+    size is the number of words (null or empty text: 0), counted over the whole text. A null source is a source of
+    its own. A source whose texts are all empty has target 0 and takes no copies. Equal rows, and rows with equal or
+    null ids, each take their own place in the order. An empty table gives no rows. The result depends on the rows,
+    their files and the seed only. Other columns, whatever their names, are ignored.
+    """
+    return _mixed(common.located(docs), id_col, text_col, source_col, share, most, weights, seed).withColumnRenamed("__id", id_col).drop(FILE, ROW)
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as mix says, with all their columns."""
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """The rows of docs, each as often as mix says, with all their columns; nulls, ties and empty tables as there."""
     rows = common.located(docs)
-    dealt = mix(rows, **options).select("copies", FILE, ROW).filter("copies > 0").withColumnRenamed("copies", "__copies")
+    dealt = _mixed(rows, id_col, text_col, source_col, share, most, weights, seed).select("copies", FILE, ROW).filter("copies > 0")
     out = rows.join(dealt, [FILE, ROW])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in rows.columns if c not in (FILE, ROW)])
+    return common.input_rows(out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

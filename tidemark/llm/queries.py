@@ -47,13 +47,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH RECURSIVE sized AS (
+WITH sized AS (
   SELECT doc_id, source, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS size
   FROM documents
-), classed AS (
-  SELECT *, CASE WHEN size < 8 THEN size ELSE 4 * length(bin(size)) + (size >> (length(bin(size)) - 3)::INT) - 8 END AS class FROM sized
 ), sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM classed GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), given AS (
   SELECT *, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap FROM sources
 ), ranked AS (
@@ -67,10 +65,8 @@ WITH RECURSIVE sized AS (
 ), aims AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS per,
          ('0x' || substr(md5('7:' || CASE WHEN source IS NULL THEN 'n' ELSE 's' END || ':' || coalesce(source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS off FROM goals
-), parted AS (
-  SELECT *, ('0x' || substr(md5('7:' || doc_id || ':part'), 1, 8))::BIGINT % CAST(ceil(count(*) OVER (PARTITION BY source, class) / 4096.0) AS BIGINT) AS part FROM classed
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, part, size, doc_id) AS rank FROM parted
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS rank FROM sized
 )
 SELECT p.doc_id, p.size, a.source_size, a.target,
        CAST(least(floor(a.off + a.per * p.rank) - floor(a.off + a.per * (p.rank - 1)), ceil(a.per)) AS BIGINT) * p.size AS taken
