@@ -110,7 +110,7 @@ def test_sharding_laws(spark, sf_dir, texts):
 
 
 def test_sharding_edge_cases(spark):
-    out = sharding.shuffle_into_shards(docs(spark), 4, block_rows=1)
+    out = sharding.shuffle_into_shards(docs(spark).repartition(7), 4, group=2)
     assert out.count() == len(TEXTS) and set(docs(spark).columns) <= set(out.columns)
     assert sharding.shuffle_into_shards(docs(spark, []), 4).count() == 0
 
@@ -167,7 +167,7 @@ def test_targets_pour_over(spark):
 
 
 def test_mixing_splits_hot_sources_alike(spark, small):
-    a = mixing.mix(small, segment_rows=4).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.max("size").alias("most"), F.sum("copies").alias("n"), F.count("*").alias("rows")).collect()
+    a = mixing.mix(small.repartition(7)).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.max("size").alias("most"), F.sum("copies").alias("n"), F.count("*").alias("rows")).collect()
     assert all(abs(r.t - r.target) <= 2 * r.most and abs(r.n - r.rows * r.target / r.source_size) <= 1 for r in a)
 
 

@@ -2,10 +2,15 @@
 
 Each shingle's weight is its count. For every shingle, a Poisson process runs on each dyadic interval of
 weights (0, 1], (1, 2], (2, 4], ... that its weight reaches; each point carries a time, a component of the
-signature and, in the last interval, a weight below which it counts: the interval is split only as far as the
-points that came need it. A component keeps its earliest point, so two bags agree in a component with the
-probability of their weighted Jaccard similarity. Points later than the last component's first are never
-made.
+signature and, in the last interval, a weight below which it counts: a point's weight is drawn as a whole, which
+has the same law as splitting the interval below it in halves. A component keeps its earliest point, so two bags
+agree in a component with the probability of their weighted Jaccard similarity. Points later than the last
+component's first are never made.
+
+Texts that share a band are candidates. In each bucket, signatures tell which of its members may be similar; large
+buckets are cut into smaller ones by further components first. What these pairs connect is a group, whose pairs
+are verified by multiset overlap: each block of a group against itself and its first block, then only what is
+not in the group's main class against the rest. Pairs that others already connect need no check.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Times the standard error of the estimated similarity that a pair may lie below LEAST and still be verified.
 MARGIN = 4.5
+#: Members of a bucket that one task compares by signatures, and the further bands that cut larger buckets.
+MEMBERS, CUTS, CUT_ROWS = 2048, 12, 2
 #: About the bytes of text in a block of a group whose members are compared.
 BLOCK_BYTES = 3 << 20
 #: Bits of a shingle's hash within its text, beside the bits for the text's place in a piece.
@@ -115,75 +122,157 @@ def _copies(value: np.ndarray) -> np.ndarray:
     return np.sort(np.where(nth == 0, value, mix(value + nth.astype(_U) * _U(0xD6E8FEB86659FD93))))
 
 
-def links_within(texts: pa.Array, side: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
-    """Pairs of rows that span the graph of all pairs whose overlap is at least least.
+def floor_of(least: float, margin: float | None) -> float:
+    """The estimate below which a pair is passed over; none is where margin is None."""
+    return -1.0 if margin is None else least - margin * np.sqrt(least * (1 - least) / (BANDS * ROWS))
 
-    Pairs whose signatures tell that they are well below are passed over, and so are those that other pairs
-    already connect. Where side has two values, only pairs across them are compared.
+
+def alike_classes(sign: np.ndarray, floor: float) -> np.ndarray:
+    """For each row of 16-bit signatures, the first row that pairs with estimates of floor or more connect it with."""
+    n = len(sign)
+    label, left = np.arange(n), np.arange(n)
+    while len(left):
+        seed, left = left[0], left[1:]
+        todo = [seed]
+        while todo and len(left):
+            near = (sign[left] == sign[todo.pop()]).mean(axis=1) >= floor
+            label[left[near]] = seed
+            todo += left[near].tolist()
+            left = left[~near]
+    return label
+
+
+def links_within(texts: pa.Array, sign: np.ndarray, side: np.ndarray, label: np.ndarray, compare: str, least: float = LEAST, floor: float = -1.0) -> list[tuple[int, int]]:
+    """Pairs of rows that, with the labels that are known, span the graph of all pairs whose overlap is at least least.
+
+    Pairs whose signatures estimate less than floor are passed over, and so are those that others (or equal labels)
+    already connect. side is 0 or 1; compare says which pairs count: "all", "not 0-0" or "0-1".
     """
     n = len(texts)
-    sign = np.zeros((n, BANDS * ROWS), dtype=np.uint16)
     bag: list[np.ndarray] = [np.zeros(0, dtype=_U)] * n
     for at, data, offsets in words.pieces(texts):
         word, text, _, _ = words.hash_words(data, offsets)
         rows = len(offsets) - 1
-        sign[at : at + rows] = signatures(*bags(word, text), rows) >> _U(48)
         value, owner = words.shingles(word, text, SHINGLE)
         ends = np.searchsorted(owner, np.arange(rows + 1))
         for i in range(rows):
             bag[at + i] = _copies(value[ends[i] : ends[i + 1]])
     size = np.array([len(b) for b in bag])
-    floor = least - MARGIN * np.sqrt(least * (1 - least) / sign.shape[1])
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    two = side.min() != side.max()
+    label = np.unique(label, return_inverse=True)[1]
     found: list[tuple[int, int]] = []
+    place = np.arange(n)
     for i in np.argsort(size, kind="stable")[::-1].tolist():
         if not size[i]:
             continue
-        own = root(i)
-        roots = np.array([root(j) for j in range(n)]) if n <= 64 else None
-        may = (np.minimum(size, size[i]) >= least * np.maximum(size, size[i])) & (size > 0)
-        if two:
+        may = (label != label[i]) & (size >= least * size[i]) & ((size < size[i]) | ((size == size[i]) & (place < i)))  # each pair once
+        if compare == "0-1" or compare == "not 0-0" and side[i] == 0:
             may &= side != side[i]
-        if roots is not None:
-            may &= roots != own
         near = np.flatnonzero(may)
-        near = near[(size[near] < size[i]) | ((size[near] == size[i]) & (near < i))]  # each pair once
         if not len(near):
             continue
         alike = (sign[near] == sign[i]).mean(axis=1)
         order = np.argsort(-alike, kind="stable")
-        for j, s in zip(near[order].tolist(), alike[order].tolist(), strict=True):
-            if s < floor:
-                break
-            a, b = root(i), root(j)
-            if a != b and overlap(bag[i], bag[j]) >= least:
-                parent[a] = b
+        near = near[order][alike[order] >= floor]
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            if overlap(bag[i], bag[j]) >= least:
                 found.append((i, j))
+                label[label == label[j]] = label[i]
+                near = near[label[near] != label[i]]
     return found
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id column, class_id, class_size, kept, and FILE and ROW.
+def _bucket_links(pairs: DataFrame, signs: DataFrame, floor: float) -> DataFrame:
+    """Links (a, b) of nodes that connect what may be similar in the buckets of pairs (key, node); signs has node, sign."""
 
-    Documents are in one class when a chain of pairs connects them, each pair with equal texts or with a
-    weighted Jaccard similarity of their bags of five-word shingles of at least 0.8. Texts of less than five
-    words have no shingles and link only with equal texts; a null text counts as empty. class_id is the least
-    id of the class (null only if all are), and of the rows with that id the first by file and place is kept.
-    A pair of similarity 0.8 is missed with a probability of 6e-5, more similar ones with less. An empty table
-    gives no rows; other columns, whatever their names, are ignored.
-    """
-    picked = [F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")]
-    rows = docs.select(*picked, FILE, ROW) if {FILE, ROW} <= set(docs.columns) else common.located(docs.select(*picked))
-    node = F.substring(F.unhex(F.sha2(F.col("__text"), 256)), 1, 16)
-    rows = rows.withColumn("node", node)
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for members in b.column(0):
+                nodes = [m["node"].as_py() for m in members.values]
+                label = alike_classes(np.frombuffer(b"".join(m["sign"].as_py() for m in members.values), dtype=np.uint16).reshape(len(nodes), -1), floor)
+                at = np.flatnonzero(label != np.arange(len(nodes)))
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in at], pa.binary()), pa.array([nodes[i] for i in label[at]], pa.binary())], names=["a", "b"])
+
+    sized = lambda p: p.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+    def star(p: DataFrame) -> DataFrame:
+        return p.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+    held = common.written(pairs.join(sized(pairs), "key"), "near-buckets")
+    if floor < 0:
+        return star(held)
+    signs = common.maybe_in(signs, "node", held.select("node"))
+    small, large = held.filter(F.col("n") <= MEMBERS).select("key", "node"), held.filter(F.col("n") > MEMBERS)
+    out = None
+    if not large.isEmpty():  # cut by further components, which similar texts share somewhere
+        cut = F.transform(
+            F.sequence(F.lit(0), F.lit(CUTS - 1)),
+            lambda i: F.xxhash64("key", i, F.substring("sign", (F.pmod(F.xxhash64("key", i), F.lit(BANDS * ROWS // CUT_ROWS)) * (2 * CUT_ROWS) + 1).cast("int"), F.lit(2 * CUT_ROWS))),
+        )
+        cuts = large.select("key", "node").join(signs, "node").select("node", F.explode(F.array_distinct(cut)).alias("key"))
+        cuts = common.written(cuts.join(sized(cuts), "key"), "near-cuts")
+        small = small.unionByName(cuts.filter(F.col("n") <= MEMBERS).select("key", "node"))
+        out = star(cuts.filter(F.col("n") > MEMBERS))
+    members = small.join(signs, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sign")).alias("members"))
+    found = members.select("members").mapInArrow(linked, "a binary, b binary")
+    return found if out is None else out.unionByName(found)
+
+
+def _compared(dealt: DataFrame, compare: str, least: float, floor: float) -> DataFrame:
+    """Links (a, b) within the rows of each (root, i, j) of dealt."""
+
+    def run(table: pa.Table) -> pa.Table:
+        text = table.column("__text").combine_chunks()
+        text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
+        nodes = table.column("node").to_pylist()
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), dtype=np.uint16).reshape(len(nodes), -1)
+        side = table.column("side").to_numpy()
+        label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
+        alone = compare != "0-1" and side.min() == side.max()
+        found = links_within(text, sign, side, label, "all" if alone else compare, least, floor)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
+def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float, floor: float) -> DataFrame:
+    """Links (a, b) that span all verified pairs within the groups (node, root)."""
+    placed = once.select("node", "size", "sign").join(groups, "node")
+    sizes = common.written(placed.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 512) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes")
+    placed = placed.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    texts = common.maybe_in(rows.select("node", "__text"), "node", groups.select("node")).groupBy("node").agg(F.first("__text").alias("__text"))
+    placed = common.written(placed.join(texts, "node"), "near-placed")
+
+    # Each block against itself and the group's first block: a group of copies of one text is one class then.
+    first = placed.withColumn("j", F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
+    first = first.withColumn("j", F.explode("j")).select("root", F.lit(0).alias("i"), "j", (F.col("own") != 0).cast("int").alias("side"), "node", "sign", F.col("node").alias("label"), "__text")
+    links = common.written(_compared(first.repartition("root", "i", "j"), "not 0-0", least, floor), "near-links")
+    wide = placed.filter("blocks > 1")
+    if wide.isEmpty():
+        return links
+
+    # In groups of several blocks, what is not in the largest class meets the blocks that it has not met.
+    label = components(links)
+    wide = wide.join(label.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    wide = common.written(wide, "near-wide")
+    main = wide.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    wide = wide.join(main, "root")
+    rest = wide.filter("label <> main")
+    if rest.isEmpty():
+        return links
+    parts = rest.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 512) / F.lit(BLOCK_BYTES)).cast("int").alias("parts"))
+    rest = rest.join(parts, "root").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
+    rest = rest.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    every = wide.join(parts, "root").filter("own > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["root", "i", "j", "side", "node", "sign", "label", "__text"]
+    dealt = rest.withColumn("side", F.lit(0)).select(columns).unionByName(every.withColumn("side", F.lit(1)).withColumn("j", F.col("own")).select(columns))
+    return links.unionByName(_compared(dealt.repartition("root", "i", "j"), "0-1", least, floor))
+
+
+def _classes(rows: DataFrame, kind: str, least: float, margin: float | None) -> DataFrame:
+    """__id, class_id, class_size, kept, FILE and ROW of rows with __id, __text, FILE and ROW."""
+    floor = floor_of(least, margin)
+    rows = rows.withColumn("node", F.substring(F.unhex(F.sha2(F.col("__text"), 256)), 1, 16))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,54 +281,52 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 n = len(offsets) - 1
                 bag = bags(word, text)
                 has = np.bincount(bag[1], minlength=n) > 0
-                keys = band_keys(signatures(*bag, n)).view(np.int64)
+                sign = signatures(*bag, n)
+                keys, short = band_keys(sign).view(np.int64), (sign >> _U(48)).astype(np.uint16)
                 keep = [keys[i].tolist() if has[i] else [] for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[1:]), pa.array(np.diff(offsets)), pa.array(keep, pa.list_(pa.int64()))], names=["node", "__id", FILE, ROW, "size", "bands"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[1:]), pa.array(np.diff(offsets)), pa.array(keep, pa.list_(pa.int64())), pa.array([short[i].tobytes() if has[i] else b"" for i in range(n)], pa.binary())], names=["node", "__id", FILE, ROW, "size", "bands", "sign"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    sketch = rows.select("__text", "node", "__id", FILE, ROW).mapInArrow(signed, f"node binary, __id {kind}, {FILE} string, {ROW} long, size long, bands array<long>")
+    sketch = rows.select("__text", "node", "__id", FILE, ROW).mapInArrow(signed, f"node binary, __id {kind}, {FILE} string, {ROW} long, size long, bands array<long>, sign binary")
     sketch = common.written(sketch, "near-bands")
-
-    # Groups: texts that share a band are connected through the least text of the band's bucket.
-    once = sketch.groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"))  # equal texts have equal bands
-    pairs = once.select("node", F.explode("bands").alias("key"))
-    buckets = pairs.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = pairs.join(buckets, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = common.written(components(shared), "near-groups")
-
-    # Members are compared within their group, a block of bounded size against itself and each other block. The
-    # blocks of a group are dealt out to different tasks.
-    placed = once.select("node", "size").join(groups, "node")
-    sizes = common.written(placed.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 64) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes")
-    placed = placed.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    placed = common.written(placed, "near-placed")
-    texts = common.maybe_in(rows.select("node", "__text"), "node", placed.select("node")).groupBy("node").agg(F.first("__text").alias("__text"))
-    dealt = texts.join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "__text")
-    dealt = dealt.repartition("root", "i", "j")
-
-    def compared(table: pa.Table) -> pa.Table:
-        side = table.column("own").to_numpy()
-        text = table.column("__text").combine_chunks()
-        text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-        nodes = table.column("node").to_pylist()
-        found = links_within(text, side)
-        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
-
-    links = dealt.groupBy("root", "i", "j").applyInArrow(compared, "a binary, b binary")
-    classes = common.written(components(links), "near-classes")
+    # equal texts have equal bands; a text without shingles has none
+    once = sketch.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("sign").alias("sign"))
+    once = common.written(once, "near-once")
+    groups = common.written(components(_bucket_links(once.select("node", F.explode("bands").alias("key")), once.select("node", "sign"), floor)), "near-groups")
+    classes = common.written(components(_verified(groups, once, rows, least, floor)), "near-classes")
     named = sketch.select("node", "__id", FILE, ROW).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = common.written(named, "near-named")
-    common.discard(docs.sparkSession, sketch, groups, sizes, placed, classes)
+    common.discard(rows.sparkSession, sketch, once, groups, classes)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", FILE, ROW)).alias("best"), F.count(F.lit(1)).alias("n"))
     best = common.written(best, "near-best")  # so that the join below can split a class with very many rows
     out = named.join(best, "root")
     kept = (F.col(FILE) == F.col(f"best.{FILE}")) & (F.col(ROW) == F.col(f"best.{ROW}"))
-    return out.select(F.col("__id").alias(id_col), F.col("best.__id").alias("class_id"), F.col("n").alias("class_size"), kept.alias("kept"), FILE, ROW)
+    return out.select("__id", F.col("best.__id").alias("class_id"), F.col("n").alias("class_size"), kept.alias("kept"), FILE, ROW)
+
+
+def _picked(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select(common.of_input(id_col).alias("__id"), F.coalesce(common.of_input(text_col), F.lit("")).alias("__text"), FILE, ROW)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, margin: float | None = MARGIN) -> DataFrame:
+    """One row per row of docs: the id column, class_id, class_size, kept.
+
+    Documents are in one class when a chain of pairs connects them, each pair with equal texts or with a
+    weighted Jaccard similarity of their bags of five-word shingles of at least least. Texts of less than five
+    words have no shingles and link only with equal texts; a null text counts as empty. Long texts are taken whole.
+    class_id is the least id of the class (null only if all are), and of the rows with that id the first by file and
+    place is kept. A pair of similarity 0.8 is missed with a probability of 6e-5, more similar ones with less; of
+    these, an estimate margin standard errors too low makes 4e-6, and margin None none. An empty table gives no
+    rows; other columns, whatever their names, are ignored.
+    """
+    out = _classes(_picked(common.located(docs), id_col, text_col), docs.schema[id_col].dataType.simpleString(), least, margin)
+    return out.withColumnRenamed("__id", id_col).drop(FILE, ROW)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class of near-duplicates; all columns stay as they are."""
+    """docs with one row of each class of near-duplicates; all columns, of any name, stay as they are.
+
+    Nulls, empty and long texts, ties and repeated rows as in near_dedup; an empty table stays empty.
+    """
     rows = common.located(docs)
-    dropped = near_dedup(rows, id_col, text_col).filter("NOT kept").select(FILE, ROW)
-    return rows.join(dropped, [FILE, ROW], "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns if c not in (FILE, ROW)])
+    dropped = _classes(_picked(rows, id_col, text_col), docs.schema[id_col].dataType.simpleString(), LEAST, MARGIN).filter("NOT kept").select(FILE, ROW)
+    return common.input_rows(rows.join(dropped, [FILE, ROW], "left_anti"))
