@@ -5,8 +5,9 @@ equal anchors at equal places. Only windows whose anchor occurs more than once i
 contexts (the words of the windows that share an anchor occurrence) are dealt out by anchor into shards; each
 shard builds a compressed FM-index of its contexts, in the order of documents and places, and streams the
 contexts through it: the rows of a window's match begin with its earliest occurrence. A window is removed
-unless it is that occurrence. Contexts of an anchor with very many occurrences are cut into single windows
-that are dealt out by their own hash, so that no shard gets all documents that share a passage.
+unless it is that occurrence. Contexts of an anchor with very many occurrences are cut into single windows; equal
+ones of these are combined before the exchange, so a passage that very many documents share comes down to one
+context per window, and no shard gets more than its words and the contexts of one anchor that is not so frequent.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WINDOW, ANCHOR = 20, 8
 HOT = 1000
 #: About the words in one index.
 SHARD_WORDS = 1 << 20
-_ORDER_BITS, _PLACE_BITS = _U(28), _U((1 << 28) - 1)
+_PLACE_BITS = _U((1 << 28) - 1)
 
 
 def _minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,21 +70,17 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _index_shard(key: np.ndarray, bodies: list[bytes], doc: np.ndarray, tie: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+def _index_shard(bodies: list[bytes], doc: np.ndarray, tie: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """For each context, bits of the windows that occur nowhere earlier in the contexts.
 
     Of equal contexts only the earliest is indexed and streamed: all windows of the others occur in it.
     """
-    order = np.lexsort((at, tie, doc))
-    seen: set[bytes] = set()
-    fresh = []
-    for i in order.tolist():
-        if bodies[i] not in seen:
-            seen.add(bodies[i])
-            fresh.append(i)
-    order = np.array(fresh, dtype=np.int64)
-    queries = np.frombuffer(b"".join([bodies[i] for i in fresh]), dtype=np.uint32).astype(np.int64) + 1
-    lengths = np.array([len(bodies[i]) // 4 for i in fresh], dtype=np.int64)
+    first_of: dict[bytes, int] = {}
+    for i in np.lexsort((at, tie, doc)).tolist():
+        first_of.setdefault(bodies[i], i)
+    order = np.array(list(first_of.values()), dtype=np.int64)
+    queries = np.frombuffer(b"".join([bodies[i] for i in order.tolist()]), dtype=np.uint32).astype(np.int64) + 1
+    lengths = np.array([len(bodies[i]) // 4 for i in order.tolist()], dtype=np.int64)
     ends = np.cumsum(lengths)
     joined = np.zeros(len(queries) + len(order), dtype=np.int64)  # a 0 after each context
     owner = np.repeat(np.arange(len(order)), lengths)
@@ -97,7 +94,7 @@ def _index_shard(key: np.ndarray, bodies: list[bytes], doc: np.ndarray, tie: np.
     offset = np.arange(len(queries)) - np.repeat(ends - lengths, lengths)
     mask = np.zeros(len(order), dtype=np.int64)
     np.bitwise_or.at(mask, owner[first], np.int64(1) << offset[first])
-    out = np.zeros(len(key), dtype=np.int64)
+    out = np.zeros(len(bodies), dtype=np.int64)
     out[order] = mask
     return out
 
@@ -109,12 +106,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words of its document covers it that also starts earlier: in a document of a smaller id or before in the
     same one. Windows are judged on the input. Ids are whole numbers; a null id comes before all others, and
     rows with the same id have a fixed order among them. Null texts have no words; texts of less than 20 words
-    lose none. An empty table gives no rows; other columns, whatever their names, are ignored. spans are the
+    lose none. Long texts are hashed in pieces and taken whole. An empty table gives no rows; other columns, whatever their names, are ignored. spans are the
     first and last removed words (counted from 0) of each removed run.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = common.located(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    rows = common.located(docs).select(common.of_input(id_col).alias("id"), F.coalesce(common.of_input(text_col), F.lit("")).alias("text"), FILE, ROW)
     doc = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
     unique = rows.groupBy(doc.alias("doc")).count().filter("count > 1").isEmpty()
     rows = rows.withColumn("doc", doc).withColumn("tie", F.lit(0).cast("long") if unique else F.xxhash64(FILE, ROW))
@@ -149,6 +146,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 chosen, hot = (_chosen(b.column(c), row, len(offsets) - 1, begins) for c in (3, 4))
                 use, is_hot = np.isin(place, chosen), np.isin(place, hot)
                 key, first, last, is_hot = key[use], first[use], last[use], is_hot[use]
+                cold_rows = len(key)
                 if is_hot.any():  # single windows, each with a key of its own
                     n = (last - first + 1)[is_hot]
                     starts = np.repeat(first[is_hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -156,6 +154,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     for i in range(window):
                         own = own * _U(0xD1342543DE82EF95) + word[starts + i]
                     key = np.concatenate((key[~is_hot], mix(own)))
+                    cold_rows = int((~is_hot).sum())
                     first, last = np.concatenate((first[~is_hot], starts)), np.concatenate((last[~is_hot], starts))
                 if not len(key):
                     continue
@@ -172,18 +171,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 parts = [raw[4 * edge[i] : 4 * edge[i + 1]] for i in keep.tolist()]
                 owner = text[first[keep]] + row
                 at = first[keep] - begins[text[first[keep]]]
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(doc_[owner]), pa.array(tie[owner]), pa.array(at.astype(np.int32)), pa.array(parts, pa.binary())], names=["key", "doc", "tie", "at", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(doc_[owner]), pa.array(tie[owner]), pa.array(at.astype(np.int32)), pa.array(parts, pa.binary()), pa.array(keep >= cold_rows)], names=["key", "doc", "tie", "at", "body", "hot"])
 
     dealt = marked.filter("__maybe").select("text", "doc", "tie").join(cands, ["doc", "tie"]).select("text", "doc", "tie", "places", "hot")
-    context_rows = common.written(dealt.mapInArrow(contexts, "key long, doc long, tie long, at int, body binary"), "contexts")
+    context_rows = common.written(dealt.mapInArrow(contexts, "key long, doc long, tie long, at int, body binary, hot boolean"), "contexts")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
         def flush(part: pa.Table) -> pa.RecordBatch:
-            key, doc_, tie, at = (part.column(c).to_numpy() for c in ("key", "doc", "tie", "at"))
-            mask = _index_shard(key, part.column("body").to_pylist(), doc_, tie, at, window)
+            doc_, tie, at = (part.column(c).to_numpy() for c in ("doc", "tie", "at"))
+            mask = _index_shard(part.column("body").to_pylist(), doc_, tie, at, window)
             some = mask != 0
             return pa.RecordBatch.from_arrays([pa.array(doc_[some]), pa.array(tie[some]), pa.array(at[some].astype(np.int32)), pa.array(mask[some])], names=["doc", "tie", "at", "mask"])
 
@@ -203,8 +202,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield flush(pa.Table.from_batches(held))
 
+    # Of a frequent anchor's equal windows the earliest stays; other anchors have HOT contexts at most.
+    cold, hot = context_rows.filter("NOT hot"), context_rows.filter("hot")
+    earliest = hot.groupBy("key", "body").agg(F.min(F.struct("doc", "tie", "at")).alias("first")).select("key", "first.*", "body")
+    earliest = cold.select("key", "doc", "tie", "at", "body").unionByName(earliest)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = context_rows.repartition(parts, "key").sortWithinPartitions("key")
+    shards = earliest.repartition(parts, "key").sortWithinPartitions("key")
     firsts = shards.mapInArrow(indexed, "doc long, tie long, at int, mask long")
     firsts = firsts.groupBy("doc", "tie").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
     firsts = common.written(cands.drop("hot").join(firsts, ["doc", "tie"], "left"), "firsts")
