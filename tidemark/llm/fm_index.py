@@ -2,7 +2,8 @@
 
 The text's rotations are sorted to a fixed depth (ties by place), which is enough for searches of at most that
 depth. The last column is held as a wavelet matrix: one bit vector per bit of a symbol, with counts of ones
-per 64 bits. All operations work on many searches at once.
+per 64 bits; runs of rows that agree in all but the last number are bits too, and places take 32 bits. All
+operations work on many searches at once.
 """
 
 from __future__ import annotations
@@ -32,6 +33,13 @@ def _ahead(values: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _ranked(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits in words of 64, and the ones before each word."""
+    packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+    words = np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8 + 8), dtype=_U)
+    return words, np.concatenate(([0], np.cumsum(np.bitwise_count(words)))).astype(np.int64)
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence of numbers from 0 to size - 1."""
 
@@ -41,10 +49,9 @@ class WaveletMatrix:
         self.words, self.counts, self.zeros = [], [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (sequence >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            words = np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8 + 8), dtype=_U)
+            words, counts = _ranked(bit)
             self.words.append(words)
-            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words)))).astype(np.int64))
+            self.counts.append(counts)
             self.zeros.append(n - int(bit.sum()))
             sequence = np.concatenate((sequence[bit == 0], sequence[bit == 1]))
         self.base = self.down(np.zeros(size, dtype=np.int64), np.arange(size))
@@ -83,11 +90,12 @@ class FmIndex:
             if done + step <= depth:
                 full = _dense(full * (n + 1) + _ahead(ranks[step] + 1, done))
                 done += step
-        self.order = np.argsort(full, kind="stable")
+        order = np.argsort(full, kind="stable")
+        self.order = order.astype(np.int32) if n < 1 << 31 else order
         self.symbols = len(self.alphabet)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbol, minlength=self.symbols))))
         self.last = WaveletMatrix(symbol[self.order - 1], self.symbols)
-        # rows that agree in depth - 1 numbers are neighbours: start and end of each row's run of them
+        # rows that agree in depth - 1 numbers are neighbours: a bit where a run of them starts
         same = np.ones(n, dtype=bool)
         done = 0
         for step in sorted(ranks, reverse=True):
@@ -96,10 +104,14 @@ class FmIndex:
                 same[1:] &= r[1:] == r[:-1]
                 done += step
         same[:1] = False
-        starts = np.flatnonzero(~same)
-        run = np.cumsum(~same) - 1
-        self.short_start = starts[run]
-        self.short_end = np.append(starts[1:], n)[run]
+        self.run_words, self.run_counts = _ranked(~same)
+        self.run_starts = np.append(np.flatnonzero(~same), n).astype(self.order.dtype)
+
+    def shortened(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the rows that agree with each row in depth - 1 numbers."""
+        word = row >> 6
+        run = self.run_counts[word] + np.bitwise_count(self.run_words[word] & ((_U(2) << (row & 63).astype(_U)) - _U(1))) - 1
+        return self.run_starts[run].astype(np.int64), self.run_starts[run + 1].astype(np.int64)
 
     def encode(self, numbers: np.ndarray) -> np.ndarray:
         """Symbols of numbers, -1 for those that the text does not have."""
@@ -133,7 +145,7 @@ class FmIndex:
             if len(fast):
                 row = low[fast]
                 sym = symbol[at[fast]]
-                a, b = self.short_start[row], self.short_end[row]
+                a, b = self.shortened(row)
                 known = sym >= 0
                 lo, hi = np.zeros(len(fast), dtype=np.int64), np.zeros(len(fast), dtype=np.int64)
                 lo[known], hi[known] = self.extend(a[known], b[known], sym[known])
