@@ -23,8 +23,10 @@ from .components import components
 
 #: Leading principal directions that are kept; the first GRID of them make the order.
 LEADING, GRID = 16, 6
-#: Rows of a block and of a tile's side, more where the blocks would be more than MOST_BLOCKS.
-BLOCK_ROWS, TILE_ROWS, MOST_BLOCKS = 2048, 8192, 2048
+#: Rows of a block and about those of a tile's side.
+BLOCK_ROWS, TILE_ROWS = 2048, 8192
+#: Blocks under a node of the tree of intervals, a power of two.
+FAN = 16
 #: Rows of the intervals at which the recursion within a tile ends.
 LEAF_ROWS = 512
 #: Numbers in the sample that the directions are taken from; they steer the order and never the result.
@@ -142,14 +144,29 @@ def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def checked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(good, offsets, values) of a column of lists: which are vectors that may link, and the flat numbers."""
+    column = column.cast(pa.large_list(column.type.value_type))
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = column.values
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64 if flat.type == pa.float64() else np.float32)  # nulls become NaN
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(values))))
+    some = np.concatenate(([0], np.cumsum(values != 0)))
+    lo, hi = offsets[:-1], offsets[1:]
+    good = (hi > lo) & (bad[hi] == bad[lo]) & (some[hi] > some[lo])
+    if column.null_count:
+        good &= column.is_valid().to_numpy(zero_copy_only=False)
+    return good, offsets, values
+
+
 def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
     """One row per row of vectors: the id column, n_links, component_id, kept.
 
     All vectors of one length are compared with each other; vectors of different lengths don't link, nor do
     those that are null, empty, zero or hold a null or non-finite component: they have no links and are their
-    own component. Equal vectors are compared once for all of them but count as links of each other.
-    component_id is the least id that links reach. Other columns, whatever their names, are ignored; an empty
-    table gives no rows.
+    own component. Equal vectors (rows with equal ids too) are compared once for all of them but count as links of
+    each other. component_id is the least id that links reach, and the rows with that id are kept. Other columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -157,10 +174,12 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [v.as_py() for v in b.column(1)]
-            raw = [None if unit(v) is None else np.array(v, dtype=kept).tobytes() for v in values]
+            good, offsets, values = checked(b.column(1))
+            values = (values + kept.type(0)).astype(kept)  # no negative zeros
+            raw = [values[i:j].tobytes() if g else None for g, i, j in zip(good.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             nodes = [None if r is None else hashlib.sha256(r).digest()[:16] for r in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array([None if r is None else len(v) for r, v in zip(raw, values, strict=True)], pa.int32()), pa.array(raw, pa.binary())], names=["id", "node", "dims", "raw"])
+            dims = pa.array(np.diff(offsets).astype(np.int32), mask=~good)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), dims, pa.array(raw, pa.binary())], names=["id", "node", "dims", "raw"])
 
     rows = vectors.selectExpr(f"`{id_col}` AS id", f"`{vector_col}` AS v").mapInArrow(keyed, f"id {kind}, node binary, dims int, raw binary")
     rows = common.written(rows, "ego-vectors")
@@ -183,6 +202,44 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def _pairs_of_blocks(boxes: DataFrame, width: float, side: int) -> DataFrame:
+    """a, b (a <= b): the runs of side blocks that may hold vectors within width of each other.
+
+    boxes has block, low and high. The recursion over pairs of intervals runs level by level on a tree over the
+    sequence of blocks, FAN to a node: the pairs of nodes of a level whose boxes are near each other give the pairs
+    of their children to look at. Every level is a written table, the driver sees the number of levels.
+    """
+    spark = boxes.sparkSession
+    level = boxes.select(F.floor(F.col("block") / side).alias("at"), "low", "high")
+    tree = []
+    dims = len(boxes.select("low").first()["low"])
+
+    def merged(rows: DataFrame) -> DataFrame:
+        ends = [f(F.get("low" if f is F.min else "high", F.lit(i))).alias(f"{'l' if f is F.min else 'h'}{i}") for f in (F.min, F.max) for i in range(dims)]
+        out = rows.groupBy("at").agg(*ends)
+        return out.select("at", F.array(*[f"l{i}" for i in range(dims)]).alias("low"), F.array(*[f"h{i}" for i in range(dims)]).alias("high"))
+
+    level = common.written(merged(level), "ego-level")
+    tree.append(level)
+    while level.count() > 1:
+        level = common.written(merged(level.withColumn("at", F.floor(F.col("at") / FAN))), "ego-level")
+        tree.append(level)
+    pairs = common.written(tree[-1].select(F.col("at").alias("a"), F.col("at").alias("b")), "ego-pairs")
+    gap = F.aggregate(
+        F.arrays_zip("la", "ha", "lb", "hb"), F.lit(0.0),
+        lambda s, x: s + F.pow(F.greatest(F.lit(0.0), x["la"] - x["hb"], x["lb"] - x["ha"]), F.lit(2.0)),
+    )
+    for level in reversed(tree[:-1]):
+        child = F.sequence(F.lit(0), F.lit(FAN - 1))
+        pairs = pairs.select((F.col("a") * FAN).alias("a"), (F.col("b") * FAN).alias("b")).withColumn("i", F.explode(child)).withColumn("j", F.explode(child))
+        pairs = pairs.select((F.col("a") + F.col("i")).alias("a"), (F.col("b") + F.col("j")).alias("b")).filter("a <= b")
+        left = level.select(F.col("at").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
+        right = level.select(F.col("at").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+        pairs = common.written(pairs.join(left, "a").join(right, "b").filter(gap <= width * width + 1e-6).select("a", "b"), "ego-pairs")
+    common.discard(spark, *tree)
+    return pairs
+
+
 def _joined(nodes: DataFrame, dims: int, n: int, least: float, kept: np.dtype) -> DataFrame:
     """node, root (connected with it by links), links (rows that it links with) from distinct vectors of one length."""
     spark = nodes.sparkSession
@@ -201,33 +258,30 @@ def _joined(nodes: DataFrame, dims: int, n: int, least: float, kept: np.dtype) -
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(cell[:, i]) for i in range(grid))], names=["node", "n", "raw", *cells])
 
     ordered = nodes.select("node", "n", "raw").mapInArrow(placed, "node binary, n long, raw binary, " + ", ".join(f"{c} int" for c in cells))
-    block_rows = max(BLOCK_ROWS, math.ceil(n / MOST_BLOCKS))
-    ordered = ordered.repartitionByRange(max(1, math.ceil(n / block_rows)), *cells, "node").sortWithinPartitions(*cells, "node").withColumn("block", F.spark_partition_id())
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if len(b)]
-        if parts:
-            t = pa.Table.from_batches(parts)
-            raw = b"".join(t.column("raw").to_pylist())
-            p = units(np.frombuffer(raw, dtype=kept).reshape(-1, dims)) @ axes.value
-            yield pa.RecordBatch.from_pydict({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "rows": pa.array([len(p)], pa.int64()), "low": [p.min(axis=0).tolist()], "high": [p.max(axis=0).tolist()], "nodes": pa.array([b"".join(t.column("node").to_pylist())], pa.binary()), "counts": [t.column("n").to_pylist()], "raw": pa.array([raw], pa.binary())})
-
-    blocks = common.written(ordered.mapInArrow(packed, "block int, rows long, low array<double>, high array<double>, nodes binary, counts array<long>, raw binary"), "ego-blocks")
-    boxes = sorted(blocks.select("block", "rows", "low", "high").collect())  # MOST_BLOCKS rows, or the cluster's partitions
-    plan = tiles([r["rows"] for r in boxes], np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes]), width, max(TILE_ROWS, block_rows))
-    ids = [r["block"] for r in boxes]
-    sides = [(t, s, ids[k]) for t, (i, j, a, b) in enumerate(plan) for s, lo, hi in ((0, i, j), (1, a, b)) if s == 0 or (i, j) != (a, b) for k in range(lo, hi)]
-    dealt = blocks.drop("low", "high").join(spark.createDataFrame(sides, "tile long, side int, block int"), "block")
+    placed_at = common.in_order(ordered, [], [*cells, "node"], "ego-order").withColumn("block", F.floor(F.col("__at") / BLOCK_ROWS))
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__at")
+        raw = b"".join(table.column("raw").to_pylist())
+        p = units(np.frombuffer(raw, dtype=kept).reshape(-1, dims)) @ axes.value
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "low": [p.min(axis=0).tolist()], "high": [p.max(axis=0).tolist()], "nodes": pa.array([b"".join(table.column("node").to_pylist())], pa.binary()), "counts": [table.column("n").to_pylist()], "raw": pa.array([raw], pa.binary())})
+
+    blocks = placed_at.select("block", "__at", "node", "n", "raw").groupBy("block").applyInArrow(packed, "block long, low array<double>, high array<double>, nodes binary, counts array<long>, raw binary")
+    blocks = common.written(blocks, "ego-blocks")
+    side = max(1, TILE_ROWS // BLOCK_ROWS)
+    tile = _pairs_of_blocks(blocks.select("block", "low", "high"), width, side)
+    sides = tile.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("run")).unionByName(tile.filter("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("run")))
+    dealt = blocks.drop("low", "high").withColumn("run", F.floor(F.col("block") / side)).join(sides, "run")
 
     def compared(table: pa.Table) -> pa.Table:
-        def side(s: int) -> tuple[list[bytes], np.ndarray, np.ndarray | None]:
+        def side_of(s: int) -> tuple[list[bytes], np.ndarray, np.ndarray | None]:
             mine = [r for r in table.select(["side", "block", "nodes", "counts", "raw"]).to_pylist() if r["side"] == s]
             mine.sort(key=lambda r: r["block"])
             nodes_ = [r["nodes"][k : k + 16] for r in mine for k in range(0, len(r["nodes"]), 16)]
             return nodes_, np.array([c for r in mine for c in r["counts"]], dtype=np.int64), units(np.frombuffer(b"".join(r["raw"] for r in mine), dtype=kept).reshape(-1, dims)) if mine else None
 
-        na, ca, a = side(0)
-        nb, cb, b = side(1)
+        na, ca, a = side_of(0)
+        nb, cb, b = side_of(1)
         names, counts = na + nb, np.concatenate((ca, cb))
         shift = 0 if b is None else len(a)
         label, links = np.arange(len(names)), np.zeros(len(names), dtype=np.int64)
@@ -239,4 +293,4 @@ def _joined(nodes: DataFrame, dims: int, n: int, least: float, kept: np.dtype) -
         at = np.flatnonzero(links)
         return pa.table({"node": pa.array([names[k] for k in at], pa.binary()), "root": pa.array([names[label[k]] for k in at], pa.binary()), "links": pa.array(links[at], pa.int64())})
 
-    return dealt.groupBy("tile").applyInArrow(compared, "node binary, root binary, links long")
+    return dealt.groupBy("a", "b").applyInArrow(compared, "node binary, root binary, links long")
