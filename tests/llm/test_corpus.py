@@ -293,6 +293,45 @@ def test_articles_in_parts_stay_whole():
         assert tag_paths.main_text(f"<ul><li><a>Menu</a></ul><{tag}>{''.join(p)}{refs}</{tag}>") == "\n\n".join([*para, "Reference one", "Reference two"])
 
 
+def test_names_count_as_whole_words():
+    p = "<p>First para, long enough to be content. Yes it is.</p>"
+    kept = "<div class=commentary><p>One, two.</p></div><section id=side-effects><p>Three, four.</p></section><p class=related-work>Five, six.</p><div class='ad-hoc share-of-votes'>Seven.</div>"
+    gone = "<div class='post-comments'><p>Reader, so.</p></div><div class='share-buttons'>Share, now.</div><div id=cookie-notice>We use, all.</div><div class=ad-slot>Buy, now.</div><ul class='related posts'><li>More, here.</ul>"
+    want = "First para, long enough to be content. Yes it is.\n\nOne, two.\n\nThree, four.\n\nFive, six.\n\nSeven."
+    assert tag_paths.main_text(f"<article>{p}{kept}{gone}</article>") == want
+    assert tag_paths.main_text(f"<div>{p}{kept}{gone}</div>") == want
+
+
+ARTICLE = ["Heading of it", "First para, long enough to be content. Yes it is, and more.", "A short one.", "Third para, with marks, and words; and an end to it all."]
+TEMPLATES = [
+    "<body><nav><a>Home</a></nav><article>{a}</article><footer>All, rights.</footer></body>",
+    "<body><header>Site, name.</header><main>{a}</main><aside><p>See, also.</p></aside></body>",
+    "<div id=page><div id=nav-bar><a>x</a></div><div id=content>{a}</div><div id=footer>Imprint, all.</div></div>",
+    "<div class=wrap><ul class=menu><li><a>One</a><li><a>Two</a></ul><div class=entry>{a}</div><div class=comments><p>Nice, so.</p></div></div>",
+    "<table><tr><td class=sidebar><a>x</a><a>y</a><td>{a}</table>",
+    "<center><div class=banner>Buy, now.</div><div class=text>{a}</div><form><p>Sign, up.</p></form></center>",
+    "<main><div class=breadcrumbs><a>Home</a></div><article class=post>{a}<div class='share-buttons'>Share, it.</div></article></main>",
+    "<section><div role=navigation><a>x</a></div><section>{a}</section><div role=contentinfo>Imprint, all.</div></section>",
+    "<body class=has-sidebar><div class=content-area>{a}</div><div class=widget-area>Follow, us.</div></body>",
+    "<body><script>var p = '<p>no</p>';</script><div>{a}</div><style>p {{}}</style><div class='cookie-banner'>We use, cookies.</div></body>",
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_templates_against_the_article(template):
+    inner = f"<h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{x}</p>" for x in ARTICLE[1:])
+    assert tag_paths.main_text(template.format(a=inner)) == "\n\n".join(ARTICLE)
+
+
+def test_deep_pages_take_little_time():
+    import time
+
+    for page in ("<div>x" * 10_000, "<section><span><li>x" * 10_000, "<div><p>x</i></b></section>" * 10_000, "<blockquote><p>a, b." * 10_000):
+        at = time.perf_counter()
+        tag_paths.main_text(page)
+        assert time.perf_counter() - at < 2
+
+
 def test_pages_edge_cases(spark):
     cases = [None, "", "no tags < here", "<p", "<!-- only", "<script>x", "<div>" * 3000 + "deep" + "</div>" * 3000, "<p a='>'>x<p>y", "<table><tr><td>c1<td>c2</table>", "<article></article>", "<p>" + "long words. " * 50_000 + "</p>", '<p class="' + "x" * 100_000]
     rows = [(i, "u", h, "t", 5) for i, h in enumerate(cases)] + [(None, None, "<p>x</p>", "t", 1)] * 2
@@ -305,9 +344,9 @@ def test_pages_edge_cases(spark):
 
 
 def test_ratios_prefer_prose():
-    found = tag_paths.blocks("<ul><li>one<li>two<li>three</ul><p>A long sentence, with marks, and more. And another, too.</p>")
+    found, _ = tag_paths.blocks("<ul><li>one<li>two<li>three</ul><p>A long sentence, with marks, and more. And another, too.</p>")
     values = tag_paths.ratios(found)
-    assert [b.path.rsplit("/", 1)[-1] for b in found] == ["li", "li", "li", "p"] and values[-1] == max(values)
+    assert [b.at.tag for b in found] == ["li", "li", "li", "p"] and len({b.path for b in found}) == 2 and values[-1] == max(values)
 
 
 # substring dedup

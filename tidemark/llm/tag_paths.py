@@ -2,9 +2,10 @@
 
 Every block of text hangs on a root-to-leaf path of tags. Per path, the length of text and the punctuation are
 set against the number of blocks on it; both ratios are fused, smoothed over the blocks in page order, and
-thresholded. The blocks above the threshold tell which container holds the article: the article or main element
-around most of them, or else the container around all. The blocks of that container make the text. Regions whose tags or names say that they are menus, notices, adverts, forms or
-comments take no part.
+thresholded. The paths above the threshold select the content node: the article or main element around most of what
+they hold, or else the container around all of it. What the contract names as no part of an article (menus,
+headers, footers, sidebars, notices, adverts, forms, comments) is known by its tags, roles and whole words of its
+names, and neither counts for the node nor comes with it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,18 +42,27 @@ BOILER_TAGS = set("nav footer aside form button select dialog template svg canva
 #: Tags of furniture that can stand around a whole page; the others never hold its text.
 WRAPPERS = {"aside", "form", "object", "fieldset"}
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-BOILER_NAMES = set("ad ads adbox adslot banner nav navbar menu side footer foot masthead modal overlay popup share sharing social login signin signup register search pagination pager toolbar widget skip copyright disqus reply respond replies gdpr consent privacy notice alert toast".split())
-BOILER_STEMS = ("advert", "sponsor", "promo", "comment", "cookie", "sidebar", "navig", "breadcrumb", "newslet", "subscri", "related", "recommend", "footer", "paywall", "discuss", "taboola", "outbrain")
+# Words of names that say that an element is no part of an article. MARKS do in any name that holds
+# them; SIGNS only where the whole name is made of MARKS, SIGNS and FILLERS ("share-buttons", not "share-of-votes").
+MARKS = set("nav navbar navigation sidebar footer masthead breadcrumb breadcrumbs advert adverts advertisement advertisements advertising adslot adbox sponsored comments cookie cookies gdpr newsletter pagination pager disqus taboola outbrain paywall".split())
+SIGNS = set("ad ads banner menu side foot header modal overlay popup share sharing social login signin signup register subscribe search toolbar widget skip copyright comment reply replies respond consent privacy notice alert toast promo promoted sponsor related recommended recommendations discussion".split())
+FILLERS = set("area bar block body bottom box button buttons col column container content form global group head holder icon icons id inner input items left link links list main module msg more news outer page panel policy posts primary right row secondary section site slot stories strip title to top tools unit wrap wrapper articles thread".split())
+#: Words that say that an element stands around others of the name ("has-sidebar").
+AROUND = set("has with no without".split())
 
 
 class Element:
-    """An open or closed element: its tag, parent, and whether its tag or names say that it is page furniture."""
+    """An open or closed element: its tag, parent, path, and whether its tag or names say that it is page furniture.
 
-    __slots__ = ("tag", "parent", "flag", "never", "article", "depth")
+    Elements are numbered as they open, so those within one are the numbers from its own to its last.
+    """
+
+    __slots__ = ("tag", "parent", "flag", "never", "article", "at", "last", "path", "home", "weight")
 
-    def __init__(self, tag: str, parent: Element | None, attributes: str):
-        self.tag, self.parent = tag, parent
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, parent: Element | None, attributes: str, at: int, path: int):
+        self.tag, self.parent, self.at, self.last, self.path = tag, parent, at, at, path
+        self.weight = 0.0
+        self.home: Element | None = self if tag in REGIONS else parent.home if parent else None
         self.article = bool(parent and parent.article) or tag in ("article", "main")
         self.never = bool(parent and parent.never) or tag in BOILER_TAGS - WRAPPERS
         self.flag = tag in WRAPPERS or tag == "header" and not self.article
@@ -77,28 +88,36 @@ def furniture(attributes: str, in_article: bool) -> bool:
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "role" and value.lower() in BOILER_ROLES:
             return True
-        if key in ("class", "id"):
-            for name in _NAME.findall(value):
-                name = name.lower()
-                if name in BOILER_NAMES or name.startswith(BOILER_STEMS) or name == "header" and not in_article:
-                    return True
+        if key in ("class", "id") and any(_named(name, in_article) for name in value.split()):
+            return True
     return False
 
 
+def _named(name: str, in_article: bool) -> bool:
+    """Whether one name says so, by its whole words."""
+    parts = {w.lower() for w in _NAME.findall(name) if not w.isdigit()}
+    if parts & AROUND:
+        return False
+    signs = parts & SIGNS - ({"header"} if in_article else set())
+    return bool(parts & MARKS) or bool(signs) and parts <= MARKS | SIGNS | FILLERS
+
+
 class Block:
     """A run of text that no block-level tag breaks."""
 
     __slots__ = ("at", "text", "linked", "path")
 
-    def __init__(self, at: Element, text: str, linked: int, path: str):
+    def __init__(self, at: Element, text: str, linked: int, path: int):
         self.at, self.text, self.linked, self.path = at, text, linked, path
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page in page order, with references decoded and white space folded."""
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The blocks of text of a page in page order, with references decoded and white space folded, and its elements."""
     out: list[Block] = []
-    root = Element("html", None, "")
-    stack = [root]
+    paths: dict[tuple[int, str], int] = {}  # a path is its parent's path and a tag
+    root = Element("html", None, "", 0, 0)
+    elements, stack = [root], [root]
+    opened: dict[str, int] = {"html": 1}
     parts: list[str] = []
     linked, deepest = 0, root
     links = 0
@@ -109,22 +128,25 @@ def blocks(page: str) -> list[Block]:
             joined = "".join(parts)
             text = _SPACES.sub(" ", html.unescape(joined) if "&" in joined else joined).strip()
             if text:
-                names, e = [], deepest
-                while e:
-                    names.append(e.tag)
-                    e = e.parent
                 holder = deepest
                 while holder.tag in INLINE and holder.parent:
                     holder = holder.parent
-                out.append(Block(holder, text, linked, "/".join(reversed(names))))
+                out.append(Block(holder, text, linked, deepest.path))
         parts, linked, deepest = [], 0, stack[-1]
 
+    def close(k: int) -> None:
+        nonlocal links
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+            links -= e.tag == "a"
+        del stack[k:]
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece:
-            if not parts or not deepest.depth:
+            if not parts or deepest is root:
                 deepest = stack[-1]
             parts.append(piece)
             if links:
@@ -142,10 +164,9 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
-                    links -= sum(e.tag == "a" for e in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
@@ -157,29 +178,34 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else n
             continue
         ended, scope = ENDS.get(tag, _P if tag in ENDS_P else None), SCOPES.get(tag, CONTAINERS)
-        if ended:
+        if ended and any(opened.get(t) for t in ended):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ended:
-                    links -= sum(e.tag == "a" for e in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in scope:
                     break
         if tag in VOID or attributes and attributes.rstrip().endswith("/") and tag not in CONTAINERS:
             continue
-        stack.append(Element(tag, stack[-1], attributes))
+        path = paths.setdefault((stack[-1].path, tag), len(paths) + 1)
+        stack.append(Element(tag, stack[-1], attributes, len(elements), path))
+        elements.append(stack[-1])
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
         if not parts:
             deepest = stack[-1]
     flush()
-    return out
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.last = max(e.parent.last, e.last)
+    return out, elements
 
 
 def ratios(found: list[Block]) -> list[float]:
     """For each block, its path's fused ratio of text and punctuation to blocks, smoothed in page order."""
-    length: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, int] = {}
+    length: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
     for b in found:
         length[b.path] = length.get(b.path, 0) + len(b.text) - min(len(b.text), b.linked)
         marks[b.path] = marks.get(b.path, 0) + len(_PUNCTUATION.findall(b.text))
@@ -197,69 +223,91 @@ def _up(e: Element | None) -> Iterator[Element]:
         e = e.parent
 
 
-def candidates(found: list[Block]) -> list[Block]:
+def _weigh(elements: list[Element], weights: list[tuple[Block, float]]) -> float:
+    """Set each element's weight to that of the blocks within it; their sum."""
+    for e in elements:
+        e.weight = 0.0
+    for b, w in weights:
+        b.at.weight += w
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.weight += e.weight
+    return elements[0].weight
+
+
+def candidates(seen: list[Block], elements: list[Element]) -> set[Block]:
     """The blocks that no furniture holds.
 
     The name of a wrapper doesn't count where it holds the page's article or main elements, or most of the text of the
     page or of the article around it; and no name does where they would leave nothing.
     """
-    seen = [b for b in found if not b.at.never]
-    weight: dict[Element, int] = {}
-    total = 0
-    for b in seen:
-        w = len(b.text) - min(len(b.text), b.linked)
-        total += w
-        for e in _up(b.at):
-            weight[e] = weight.get(e, 0) + w
-    articles = {e: sum(x.flag for x in _up(e)) for e, w in weight.items() if e.tag in ("article", "main") and w}
-    least = [e for e, n in articles.items() if n == min(articles.values())]
-    told = bool(least) and 10 * sum(weight[e] for e in least) >= total  # by more than a comment or a teaser
-    lifted = {x for e in least for x in _up(e)} if told else set()
-    for e, w in weight.items():
-        if e.flag and e not in lifted:
-            around = next((x for x in _up(e) if x in least), None) if told else None
-            if (around or not told) and 2 * w > (weight[around] if around else total):
-                lifted.add(e)
-    return [b for b in seen if not any(e.flag and e not in lifted for e in _up(b.at))] or seen
+    total = _weigh(elements, [(b, len(b.text) - min(len(b.text), b.linked)) for b in seen])
+    flags = [0] * len(elements)
+    for e in elements:
+        flags[e.at] = e.flag + (flags[e.parent.at] if e.parent else 0)
+    articles = {e: flags[e.at] for e in elements if e.tag in ("article", "main") and e.weight}
+    fewest = min(articles.values(), default=0)
+    least = {e for e, n in articles.items() if n == fewest}
+    told = bool(least) and 10 * sum(e.weight for e in least) >= total  # by more than a comment or a teaser
+    lifted = [False] * len(elements)
+    if told:
+        for e in least:
+            lifted[e.at] = True
+        for e in reversed(elements):
+            if e.parent and lifted[e.at]:
+                lifted[e.parent.at] = True
+    around: list[Element | None] = [None] * len(elements)
+    held = [False] * len(elements)
+    for e in elements:
+        around[e.at] = e if told and e in least else around[e.parent.at] if e.parent else None
+        if e.flag and e.weight and not lifted[e.at]:
+            home = around[e.at]
+            lifted[e.at] = bool(home or not told) and 2 * e.weight > (home.weight if home else total)
+        held[e.at] = e.flag and not lifted[e.at] or bool(e.parent) and held[e.parent.at]
+    return {b for b in seen if not held[b.at.at]} or set(seen)
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page: its blocks joined by an empty line; empty where there is none."""
-    found = candidates(blocks(page or ""))
-    if not found:
+    """The article of a page: its blocks joined by an empty line; empty where there is none.
+
+    Ratios and threshold come from all blocks that are shown. The paths above the threshold choose the content node,
+    the container that holds what they select; blocks of furniture, by the tags and names of the contract's list, never
+    count for it nor come with it. Short blocks of the content node (headings, list items) come with it.
+    """
+    found, elements = blocks(page or "")
+    seen = [b for b in found if not b.at.never]
+    if not seen:
         return ""
-    values = ratios(found)
+    values = ratios(seen)
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     least = max(0.0, min(mean, max(values) - spread / 2))
-    weight: dict[Element, float] = {}
-    total = 0.0
-    for b, v in zip(found, values, strict=True):
-        if v >= least:
-            w = len(b.text) - min(len(b.text), b.linked) + 1
-            total += w
-            e: Element | None = b.at
-            while e:
-                weight[e] = weight.get(e, 0.0) + w
-                e = e.parent
-    held = [e for e, w in weight.items() if w >= 0.6 * total and e.tag in REGIONS]
-    core = region = max(held, key=lambda e: e.depth, default=None)
-    e = region
-    while e:  # an article or main element around it is the whole article
+    fine = candidates(seen, elements)
+    chosen = {b for b, v in zip(seen, values, strict=True) if v >= least and b in fine}
+    if not chosen:  # only furniture passes: the best of the rest do
+        best = max(v for b, v in zip(seen, values, strict=True) if b in fine)
+        chosen = {b for b, v in zip(seen, values, strict=True) if b in fine and 2 * v >= best}
+    found = [b for b in seen if b in fine]
+    total = _weigh(elements, [(b, len(b.text) - min(len(b.text), b.linked) + 1) for b in chosen])
+    depth = [0] * len(elements)
+    for e in elements[1:]:
+        depth[e.at] = depth[e.parent.at] + 1
+    deepest = lambda among: max(among, key=lambda e: (depth[e.at], -e.at), default=None)
+    core = region = deepest(e for e in elements if e.weight >= 0.6 * total and e.tag in REGIONS)
+    for e in _up(region):  # an article or main element around it is the whole article
         if e.tag in ("article", "main"):
             region = e
             if e.tag == "article":
                 break
-        e = e.parent
     if region and region.tag not in ("article", "main"):
         core = region
-        region = max((e for e, w in weight.items() if e.tag in REGIONS and w >= total - 1e-9), key=lambda e: e.depth, default=None)
+        region = deepest(e for e in elements if e.tag in REGIONS and e.weight >= total - 1e-9)
         beside = _beside(region, found)
         if region and region.tag not in ("body", "html"):
             region = _with_heading(region, found)
     else:
         core, beside = region, set()
-    passing = [i for i, v in enumerate(values) if v >= least]
+    passing = [i for i, b in enumerate(found) if b in chosen]
     inner = core is not None and core.tag not in ("body", "html")
     out = []
     for i, b in enumerate(found):
@@ -273,24 +321,20 @@ def main_text(page: str | None) -> str:
 def _beside(region: Element | None, found: list[Block]) -> set[Block]:
     """The paragraphs and headings that stand beside the region in the container around it, and are no links."""
     around = next((e for e in _up(region.parent) if e.tag in CONTAINERS), None) if region else None
-    home = lambda b: next((e for e in _up(b.at) if e.tag in REGIONS), None)
-    return {b for b in found if around and b.at.tag in PROSE and 2 * b.linked < len(b.text) and home(b) is around}
+    return {b for b in found if around and b.at.tag in PROSE and 2 * b.linked < len(b.text) and b.at.home is around}
 
 
-def _within(e: Element | None, region: Element) -> bool:
-    while e and e.depth >= region.depth:
-        if e is region:
-            return True
-        e = e.parent
-    return False
+def _within(e: Element, region: Element) -> bool:
+    return region.at <= e.at <= region.last
 
 
 def _with_heading(region: Element, found: list[Block]) -> Element:
     """The nearest container that adds nothing but headings to the region, or the region."""
+    others = sorted(b.at.at for b in found if b.at.tag not in ("h1", "h2", "h3") and not _within(b.at, region))
     up = region.parent
     while up and up.tag in CONTAINERS and up.tag not in ("body", "html"):
-        more = [b for b in found if _within(b.at, up) and not _within(b.at, region)]
-        if not all(b.at.tag in ("h1", "h2", "h3") for b in more):
+        at = bisect_left(others, up.at)
+        if at < len(others) and others[at] <= up.last:
             break
         region, up = up, up.parent
     return region
@@ -304,8 +348,9 @@ def _link_list(b: Block) -> bool:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The id and url columns, text and n_chars (code points) for each row of pages.
 
-    A null or empty page, and one without an article, has an empty text. Repeated rows are extracted each; an
-    empty table gives no rows; other columns, whatever their names, are ignored.
+    A null or empty page, and one without an article, has an empty text. Very long and very deep pages are taken
+    whole, in time that grows with their length. Repeated rows are extracted each; an empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
