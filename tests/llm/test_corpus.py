@@ -465,12 +465,14 @@ def test_addresses_stay_in_their_space():
 
 
 def test_collisions_are_resolved(spark):
-    rows = [("person", f"f Name{i}") for i in range(3000)]
+    rows = [("family", f"Name{i}") for i in range(3000)] + [("given", f"f Given{i}") for i in range(300)]
     first = [surrogates.surrogate(b"k", k, e) for k, e in rows]
-    assert len(set(first)) < len(first)  # family names are limited
-    late = {r.entity: r.attempt for r in surrogates.attempts(spark.createDataFrame(rows, "kind string, entity string"), b"k").collect()}
-    made = [surrogates.surrogate(b"k", k, e, late.get(e, 0)) for k, e in rows]
+    assert len(set(first)) < len(first)  # names are limited
+    rows.append(("family", first[0]))  # a name that another one would get
+    late = {(r.kind, r.entity): r.attempt for r in surrogates.attempts(spark.createDataFrame(rows, "kind string, entity string"), b"k").collect()}
+    made = [(k, surrogates.surrogate(b"k", k, e, late.get((k, e), 0))) for k, e in rows]
     assert late and len(set(made)) == len(made)
+    assert not {n for k, n in made if k == "family"} & {e for k, e in rows if k == "family"}
 
 
 def test_long_secrets_go_whole():
@@ -511,11 +513,60 @@ def test_persons_are_one_in_all_mentions(spark):
 
 
 def test_many_persons_share_no_name(spark):
-    rows = spark.range(250_000).select(F.lit("person").alias("kind"), F.concat(F.when(F.col("id") % 2 == 0, "m").otherwise("f"), F.lit(" Имя"), "id").alias("entity"))
+    rows = spark.range(250_000).select(F.lit("family").alias("kind"), F.concat(F.lit("Имя"), "id").alias("entity"))
     late = {r.entity: r.attempt for r in surrogates.attempts(rows, b"k").collect()}
-    made = [surrogates.surrogate(b"k", "person", r.entity, late.get(r.entity, 0))[2:] for r in rows.collect()]
-    assert len(set(made)) == len(made)  # as they are written, whatever the gender
-    assert len({surrogates._family(b"k", f"person:{a}:0", f"N{i}") for a in (12, 30) for i in range(500)}) == 1000
+    made = [surrogates.surrogate(b"k", "family", r.entity, late.get(r.entity, 0)) for r in rows.collect()]
+    assert len(set(made)) == len(made)
+    assert len({surrogates._family(b"k", f"family:{a}:0", f"N{i}") for a in (12, 30) for i in range(500)}) == 1000
+
+
+def test_names_stay_shared_and_told_apart(spark):
+    given = [f"Given{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    rows = [(i, f"Mr {g} Smith met Mrs {g} Brown. Mr Smith left.", "s") for i, g in enumerate(given)]
+    got = {r.doc_id: r.text for r in surrogates.surrogate_texts(docs(spark, rows), b"k").collect()}
+    said = [re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+)\. Mr (\w+) left\.", got[i]).groups() for i in range(100)]
+    assert len({x[0] for x in said}) == 100 and len({x[1] for x in said}) == len({x[3] for x in said}) == 1
+    assert all(x[1] == x[4] for x in said) and not {n for x in said for n in x} & {"Smith", "Brown", *given}
+
+
+def test_more_kinds():
+    of = lambda k, e: surrogates.surrogate(b"k", k, e)
+    for text, secret in (
+        ("password: correcthorsebatterystaple", "correcthorse"), ("api_key=ABCDEFGHIJKLMNOP", "ABCDEFGH"), ("x sk-abcdEFGH1234ijklMNOP5678 y", "abcdEFGH"), ("ghp_16C7e42F292c6912E7710c838347Ae178B4a", "16C7e42F"),
+        ("date of birth: 1984-03-17.", "1984-03-17"), ("born 17.03.1984,", "17.03.1984"), ("lives at 221 Baker Street, x", "221 Baker"), ("Kim Lee and Mr Kim Lee", "Kim"),
+    ):
+        new, n = surrogates.replaced(text, of)
+        assert n >= 1 and secret not in new and len(re.findall(r"\W", new)) == len(re.findall(r"\W", text))
+    assert re.fullmatch(r"date of birth: (19[89]\d|199\d)-(0[1-9]|1[0-2])-[0-2]\d\.", surrogates.replaced("date of birth: 1984-03-17.", of)[0])
+
+
+def test_long_runs_take_little_time():
+    import time
+
+    for text in ("x" * 1_000_000 + " a@b.com", "x" * 1_000_000 + "@y.com", "a@" + "y" * 1_000_000, "a@" * 100_000, "Mr A" + "1" * 1_000_000, "token=" + "." * 500_000, "A1" * 300_000, "1 " * 50_000, "1-" * 50_000, "Dr " * 20_000):
+        at = time.perf_counter()
+        surrogates.replaced(text, lambda k, e: surrogates.surrogate(b"k", k, e))
+        assert time.perf_counter() - at < 2, text[:20]
+
+
+def _brute_mentions(texts):
+    """Planted kinds by patterns of their own, over whole texts."""
+    return {i: re.findall(r"[\w.+-]+@mail\d+\.example\.com|\+1 \(\d{3}\) 555-\d{4}|AKIA[A-Z0-9]{16}", t) for i, t in texts}
+
+
+def test_all_else_stays_as_it_is(spark, sf_dir, texts):
+    got = {r.doc_id: (r.text, r.n_entities) for r in Q.op8_pii_surrogates(spark, sf_dir).collect()}
+    plain = 0
+    for i, t in texts:
+        spans = [(a, b) for a, b, _, _ in surrogates.mentions(t)]
+        assert got[i][1] == len(spans) >= len(_brute_mentions([(i, t)])[i])
+        at, left = 0, []
+        for a, b in spans:
+            left.append(t[at:a])
+            at = b
+        assert re.fullmatch("(?s).+?".join(map(re.escape, [*left, t[at:]])), got[i][0])  # only mentions have changed
+        plain += not spans
+    assert plain > len(texts) / 2
 
 
 @settings(max_examples=50, deadline=None)
@@ -532,11 +583,11 @@ def test_full_formats_share_nothing():
 def test_surrogates_edge_cases(spark):
     rows = [(1, "x@y.com and x@y.com", "s"), (1, "x@y.com and x@y.com", "s"), (None, "Z@Y.COM", "s"), (3, None, "s"), (4, "", "s"), (5, LONG + " 8.8.8.8", "s")]
     df = docs(spark, rows).withColumnRenamed("kept", "n_entities")
-    got = surrogates.surrogate_texts(df).collect()
+    got = surrogates.surrogate_texts(df, b"k").collect()
     assert sorted((r.doc_id or 0, r.n_entities) for r in got) == [(0, 1), (1, 2), (1, 2), (3, 0), (4, 0), (5, 1)]
     assert {r.doc_id: r.text for r in got}[3] is None
     assert all("x@y.com" not in (r.text or "") for r in got)
-    assert surrogates.surrogate_texts(docs(spark, [])).count() == 0
+    assert surrogates.surrogate_texts(docs(spark, []), b"k").count() == 0
 
 
 def test_no_planted_data_is_left(spark, sf_dir, texts):

@@ -124,8 +124,13 @@ FROM split s LEFT JOIN marks m ON s.doc_id = m.doc_id
 """
 
 
+#: The key of the query where the session has none in spark.tidemark.pii.key: for invented test tables only.
+TEST_KEY = "for invented test tables only"
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.surrogate_texts(_table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.tidemark.pii.key", TEST_KEY)
+    return surrogates.surrogate_texts(_table(spark, sf_dir, "documents"), key.encode())
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

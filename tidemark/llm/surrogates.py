@@ -4,14 +4,16 @@ An entity is brought to one form (digits of a number, lower case of an address),
 all strings of its format maps to another: the same entity gets the same surrogate wherever and however it is
 written, and different entities of a format get different ones. Card numbers and IBANs keep valid check
 digits, addresses stay in their space, capitals, script and separators stay where the mention has them.
-Persons get names of the same gender and script, which a limited stock can make collide; so the surrogates of
-all distinct entities of the corpus are compared, and whatever shares one with another entity gets the next.
+Persons get names of the same gender and script, each of their names one of its own, so that who shares a name
+still does; a limited stock can make names collide, so the surrogates of all distinct entities and names of the
+corpus are compared with each other and with the entities themselves, and whatever shares one gets the next.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -46,13 +48,16 @@ LOWER, DIGITS, HEX, BASE32 = "abcdefghijklmnopqrstuvwxyz", "0123456789", "012345
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"[^\W\d_a-zа-я]\w*[^\W\d_]"
 PATTERNS: list[tuple[str, re.Pattern]] = [
-    ("email", re.compile(r"[\w.+%-]*\w@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}(?![\w@])")),
+    ("email", re.compile(r"@")),  # the address is read from here to both sides, see _address
+    ("token", re.compile(r"(?<![A-Za-z0-9])(gh[pousr]_|github_pat_|sk-|xox[abprs]-|AIza)([A-Za-z0-9_-]{16,})")),
     ("key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("secret", re.compile(r"""(?i)(?<!\w)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_.-]{12,}[A-Za-z0-9+/_-])""")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ip", re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)")),
     ("ip6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")),
+    ("birth", re.compile(r"(?i)(?<!\w)(?:born(?: on)?|date of birth|birth ?date|dob|geboren(?: am)?|née? le|naissance)\s{0,3}[:=]?\s{0,3}(\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\w)")),
+    ("street", re.compile(r"(?<![\w.,])(\d{1,5} [A-Z][a-z]{2,20})(?= (?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Lane|Drive|Boulevard|Blvd\.|Court)(?!\w))")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")),
     ("person", re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))})\.?[ ](?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})")),
@@ -69,7 +74,8 @@ _TITLE = re.compile("|".join(sorted({t[:2] for g in TITLES.values() for t in g})
 _HINTS: dict[str, Callable[[str, bool], object]] = {
     "email": lambda t, digit: "@" in t,
     "key": lambda t, digit: "AKIA" in t or "ASIA" in t,
-    "secret": lambda t, digit: digit and ("=" in t or ":" in t),
+    "token": lambda t, digit: "gh" in t or "sk-" in t or "xox" in t or "AIza" in t,
+    "secret": lambda t, digit: "=" in t or ":" in t,
     "ip6": lambda t, digit: ":" in t,
     "person": lambda t, digit: _TITLE.search(t),
 }
@@ -86,6 +92,20 @@ _CAPITALS = re.compile(rf"(?<!\w){_NAME}(?!\w)(?:[ -]{_NAME}(?!\w))*")
 _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 
 
+_LOCAL = re.compile(r"[\w.+%-]{0,63}\w\Z")
+_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}(?![\w@])")
+
+
+def _address(text: str, at: int) -> tuple[str, int, int] | None:
+    """The address around the sign at a place: at most 64 characters before it and 255 behind, as the standards have it."""
+    before = _LOCAL.search(text[max(0, at - 64) : at])
+    behind = _DOMAIN.match(text[at + 1 : at + 258])
+    if not before or not behind:
+        return None
+    local = before.group().lstrip("._%+-")
+    return f"{local}@{behind.group()}".lower(), at - len(local), at + 1 + behind.end()
+
+
 def luhn(digits: str) -> int:
     """The check digit that makes digits plus it valid."""
     total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
@@ -209,14 +229,47 @@ def _family(key: bytes, tweak: str, name: str) -> str:
     return "".join(parts).capitalize()
 
 
+def _given(key: bytes, tweak: str, gender: str, name: str) -> str:
+    """A given name of the gender and script: of the stock at the first attempt, then made of syllables, longer each time."""
+    stock, attempt = GIVEN[script(name), gender], int(tweak.split(":")[1])
+    if not attempt:
+        return stock[_draw(key, tweak, gender, name) % len(stock)]
+    ends = {"latin": {"f": "a", "m": "o", "n": "i"}, "cyrillic": {"f": "а", "m": "", "n": "и"}}
+    return _family(key, tweak, f"{gender} {name}").removesuffix("a").removesuffix("а") + ends[script(name)][gender]
+
+
+def _birth(key: bytes, tweak: str, iso: str) -> str:
+    """Another day within the same twenty years."""
+    year, month, day = map(int, iso.split("-"))
+    first = year - year % 20
+    n = permuted(key, f"{tweak}:{first}", ((year - first) * 12 + month - 1) * 31 + day - 1, 20 * 12 * 31)
+    while n % 31 > 27:  # days that all months have
+        n = permuted(key, f"{tweak}:{first}", n, 20 * 12 * 31)
+    return f"{first + n // 372:04d}-{n % 372 // 31 + 1:02d}-{n % 31 + 1:02d}"
+
+
+def names_of(entity: str) -> list[tuple[str, str]]:
+    """(kind, entity) of each name of a person: given names with the gender, and the family name."""
+    gender, *names = entity.split(" ")
+    return [*(("given", f"{gender} {n}") for n in names[:-1]), ("family", names[-1])]
+
+
+def person(entity: str, of: Callable[[str, str], str]) -> str:
+    """A person named by the surrogates of their names, so all who share a name still do."""
+    return " ".join([entity[0], *(of(k, e) for k, e in names_of(entity))])
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """The entity that stands for entity; attempt 0 unless others share its surrogate."""
-    for extra in range(64):
-        tweak = f"{kind}:{attempt}:{extra}"
-        out = _surrogate(key, kind, entity, tweak)
-        if out != entity:
-            break
-    return out
+    """What stands for entity, never entity itself; attempt 0 unless others share its surrogate.
+
+    A person is named by the surrogates of their names; of a text without a letter or digit nothing can be changed.
+    """
+    extra = 0
+    while True:
+        out = _surrogate(key, kind, entity, f"{kind}:{attempt}:{extra}")
+        if out != entity or not any(c.isalnum() for c in entity):
+            return out
+        extra += 1
 
 
 def _surrogate(key: bytes, kind: str, entity: str, tweak: str) -> str:
@@ -242,18 +295,39 @@ def _surrogate(key: bytes, kind: str, entity: str, tweak: str) -> str:
     if kind == "phone":  # country code and, in its plan, the group after the area stay
         head, body = entity.split(":")
         return f"{head}:{permuted_text(key, tweak, body, [DIGITS] * len(body))}"
-    if kind == "person":
-        gender, *names = entity.split(" ")
-        first = [GIVEN[script(n), gender][_draw(key, tweak, gender, n) % len(GIVEN[script(n), gender])] for n in names[:-1]]
-        return " ".join([gender, *first, _family(key, tweak, names[-1])])
+    if kind == "person":  # "gender name name ..." by the names' own surrogates
+        return person(entity, lambda k, e: surrogate(key, k, e))
+    if kind == "family":
+        return _family(key, tweak, entity)
+    if kind == "given":
+        return _given(key, tweak, *entity.split(" "))
+    if kind == "birth":
+        return _birth(key, tweak, entity)
+    if kind == "street":
+        number, name = entity.split(" ")
+        return f"{permuted_text(key, tweak, number, ['123456789', *[DIGITS] * (len(number) - 1)] if number[0] != '0' else [DIGITS] * len(number))} {_family(key, tweak, name)}"
+    if kind == "token":
+        head = next(h for h in ("github_pat_", "aiza", "sk-", entity[:5] if entity.startswith("xox") else entity[:4]) if entity.startswith(h))
+        return head + _kept(key, tweak, entity[len(head) :])
     return permuted_text(key, tweak, entity, [DIGITS] * len(entity))
 
 
-def _checks(kind: str, plain: str) -> bool:
-    """Whether a card number or IBAN without separators has a length that can be and valid check digits."""
-    if kind == "card":
-        return 13 <= len(plain) <= 19 and len(set(plain)) > 1 and str(luhn(plain[:-1])) == plain[-1]
-    return 15 <= len(plain) <= 34 and mod97(plain[4:] + plain[:4]) == 1
+def _card(said: str, start: int) -> tuple[str, int, int] | None:
+    """The longest run of whole groups of said that has 13 to 19 digits with a valid check digit."""
+    digits, end = "", 0
+    plain, twice = [0, 0], [0, 0]  # sums of the digits at even and odd places, as they are and doubled
+    for i, c in enumerate(said):
+        if c in " -":
+            continue
+        d, odd = int(c), len(digits) % 2
+        plain[odd] += d
+        twice[odd] += 2 * d - 9 if d > 4 else 2 * d
+        digits += c
+        odd = len(digits) % 2
+        if 13 <= len(digits) <= 19 and (i + 1 == len(said) or said[i + 1] in " -") and (twice[odd] + plain[1 - odd]) % 10 == 0:
+            end = i + 1
+    entity = re.sub("[ -]", "", said[:end])
+    return (entity, start, start + end) if len(set(entity)) > 1 else None
 
 
 def _found(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[str, int, int]]:
@@ -272,17 +346,27 @@ def _entity(kind: str, m: re.Match) -> tuple[str, int, int] | None:
     start, end = (m.span(1) if kind == "secret" else m.span("name") if kind == "person" else m.span())
     said = m.string[start:end]
     if kind == "email":
-        local = said.rsplit("@", 1)[0]
-        strip = len(local) - len(local.lstrip("._%+-"))
-        return said[strip:].lower(), start + strip, end
-    if kind in ("card", "iban"):
+        return _address(m.string, m.start())
+    if kind == "birth":
+        parts = re.split("[-./]", m.group(1))
+        year, month, day = parts if len(parts[0]) == 4 else (parts[2], parts[1], parts[0])
+        if int(month) > 12:  # month first
+            month, day = day, month
+        fine = 1 <= int(month) <= 12 and 1 <= int(day) <= 31
+        return (f"{year}-{month}-{day}", *m.span(1)) if fine else None
+    if kind == "street":
+        return m.group(1), *m.span(1)
+    if kind == "token":
+        return m.group().lower(), start, end
+    if kind == "card":
+        return _card(said, start)
+    if kind == "iban":
         ends = [len(said), *(i for i in range(len(said) - 1, 0, -1) if said[i] in " -")]
         parts = [(re.sub("[ -]", "", said[:i]), start, start + i) for i in ends]
-        if kind == "iban":  # the length of the country first
-            parts.sort(key=lambda x: len(x[0]) != IBAN_LENGTHS.get(said[:2]))
-        return next((x for x in parts if _checks(kind, x[0])), None)
+        parts.sort(key=lambda x: len(x[0]) != IBAN_LENGTHS.get(said[:2]))  # the length of the country first
+        return next((x for x in parts if 15 <= len(x[0]) <= 34 and mod97(x[0][4:] + x[0][:4]) == 1), None)
     if kind == "secret":
-        return (said.lower(), start, end) if any(c.isdigit() for c in said) else None
+        return (said.lower(), start, end) if any(c.isdigit() for c in said) or len(said) >= 16 else None
     if kind == "phone":
         digits = re.sub(r"\D", "", said)
         head = re.match(r"\+\d{1,3}(?=\D)|\+\d", said)
@@ -312,7 +396,12 @@ def _as_said(kind: str, new: str, said: str, entity: str) -> str:
         names = new.split(" ")[1:][at : at + len(part)]
         new = "".join(n + s for n, s in zip(names, [*seps, ""], strict=True))
         return new.upper() if said.isupper() and len(said) > 1 else new
-    if kind in ("email", "secret", "ip6") and len(new) == len(said):
+    elif kind == "birth":
+        year, month, day = new.split("-")
+        if "-" not in said:
+            sep = said[2]
+            new = sep.join((month, day, year) if said[:2] == entity[5:7] and said[:2] != said[3:5] else (day, month, year))
+    if kind in ("email", "secret", "token", "ip6") and len(new) == len(said):
         new = "".join(n.upper() if c.isupper() else n for n, c in zip(new, said, strict=True))
     return new
 
@@ -320,14 +409,20 @@ def _as_said(kind: str, new: str, said: str, entity: str) -> str:
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of what stands for a person or their property, in order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
+    starts: list[int] = []
     digit = bool(_DIGIT.search(text)) or not text.isascii() and bool(_ANY_DIGIT.search(text))
     for kind, pattern in PATTERNS:
         if not _HINTS.get(kind, _digits)(text, digit):
             continue
+        more: list[tuple[int, int, str, str]] = []
         for entity, start, end in _found(kind, pattern, text):
-            if all(end <= a or start >= b for a, b, _, _ in found):
-                found.append((start, end, kind, entity))
-    return _with_untitled(text, sorted(found)) if any(f[2] == "person" for f in found) else sorted(found)
+            i = bisect_left(starts, end)  # the last one found before that starts ahead of its end
+            if not (i and found[i - 1][1] > start or more and more[-1][1] > start):
+                more.append((start, end, kind, entity))
+        if more:
+            found = sorted(found + more)
+            starts = [f[0] for f in found]
+    return _with_untitled(text, found) if any(f[2] == "person" for f in found) else found
 
 
 def _gender(genders: set[str]) -> str:
@@ -395,34 +490,46 @@ def _cached(key: bytes, kind: str, entity: str, attempt: int) -> str:
     return surrogate(key, kind, entity, attempt)
 
 
+#: Attempts in which a surrogate that is an entity of the texts itself is passed over; formats may be used up.
+AVOID = 16
+
+
 def attempts(entities: DataFrame, key: bytes) -> DataFrame:
-    """kind, entity, attempt of those entities (kind, entity) whose first surrogates others share.
+    """kind, entity, attempt of those entities (kind, entity) whose first surrogates others share or the texts hold.
 
     Of the entities that share a surrogate, the least keeps it and the others take their next, until all
-    surrogates differ as they are written. Permutations share none, and the stock of names grows with the attempts,
-    so this ends. Only the entities are compared, in a table of one row each.
+    surrogates differ as they are written; those that stand in the texts as entities are passed over AVOID
+    times. Permutations share none, and the stock of names grows with the attempts, so this ends. Only the entities
+    are compared, in a table of one row each.
     """
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_cached(key, k, e, a)[2 if k == "person" else 0 :] for k, e, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            out = [_cached(key, k, e, a) for k, e, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["kind", "entity", "attempt", "new"])
 
+    written_as = F.when(F.col("kind") == "given", F.expr("substr(entity, 3)")).otherwise(F.col("entity"))
+    real = common.written(entities.select("kind", written_as.alias("new"), F.lit(True).alias("real")).distinct(), "pii-real")
     table = common.written(entities.withColumn("attempt", F.lit(0)), "pii-entities")
     while True:
         new = common.written(table.select("kind", "entity", "attempt").mapInArrow(named, "kind string, entity string, attempt int, new string"), "pii-surrogates")
-        first = new.groupBy("kind", "new").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if first.isEmpty():
+        first = new.groupBy("kind", "new").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n"))
+        first = first.join(real, ["kind", "new"], "left").filter("n > 1 OR real AND first.attempt < " + str(AVOID))
+        late = new.join(first, ["kind", "new"]).filter(f"entity <> first.entity OR real AND attempt < {AVOID}").select("kind", "entity", F.lit(1).alias("late"))
+        late = common.written(late, "pii-late")
+        if late.isEmpty():
             break
-        late = new.join(first, ["kind", "new"]).filter("entity <> first.entity").select("kind", "entity", F.lit(1).alias("late"))
-        table = common.written(new.drop("new").join(late, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("late", F.lit(0))).alias("attempt")), "pii-entities")
+        before, table = table, common.written(new.drop("new").join(late, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("late", F.lit(0))).alias("attempt")), "pii-entities")
+        common.discard(table.sparkSession, before, new, late)
+    common.discard(table.sparkSession, real, new, late)
     return table.filter("attempt > 0")
 
 
 def _otherwise(entities: DataFrame, key: bytes) -> DataFrame:
-    """kind, entity, meant, attempt of the entities of texts that are not replaced by their own first surrogates.
+    """kind, entity, of, meant, attempt: what the texts' entities need that are not replaced by their own first surrogates.
 
-    meant is a person with the gender that the titles of all texts tell.
+    Where of is the kind, meant is a person with the gender that the titles of all texts tell, and attempt that of any
+    other entity; else they are a name of the person and its attempt.
     """
     person = F.col("kind") == "person"
     entities = common.written(entities.withColumn("name", F.when(person, F.expr("substr(entity, 3)")).otherwise(F.col("entity"))), "pii-named")
@@ -430,22 +537,49 @@ def _otherwise(entities: DataFrame, key: bytes) -> DataFrame:
     by = entities.groupBy("kind", "name").agg(told("m").alias("m"), told("f").alias("f"))
     gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
     by = common.written(by.select("kind", "name", F.when(person, F.concat_ws(" ", gender, "name")).otherwise(F.col("name")).alias("meant")), "pii-meant")
-    late = attempts(by.select("kind", F.col("meant").alias("entity")), key).withColumnRenamed("entity", "meant")
-    every = entities.join(by, ["kind", "name"]).join(late, ["kind", "meant"], "left")
-    return every.select("kind", "entity", "meant", F.coalesce("attempt", F.lit(0)).alias("attempt")).filter("entity <> meant OR attempt > 0")
+    # persons are told apart by their names, each of which has a surrogate of its own
+    names = F.split(F.expr("substr(meant, 3)"), " ")
+    given = by.filter(person).select(F.lit("given").alias("kind"), F.explode(F.transform(F.slice(names, 1, F.size(names) - 1), lambda n: F.concat_ws(" ", F.substring("meant", 1, 1), n))).alias("entity"))
+    family = by.filter(person).select(F.lit("family").alias("kind"), F.element_at(names, -1).alias("entity"))
+    parts = by.filter(~person).select("kind", F.col("meant").alias("entity")).unionByName(given).unionByName(family).distinct()
+    late = common.written(attempts(parts, key), "pii-attempts")
+    every = entities.join(by, ["kind", "name"]).join(late.withColumnRenamed("entity", "meant"), ["kind", "meant"], "left")
+    own = every.select("kind", "entity", "meant", F.coalesce("attempt", F.lit(0)).alias("attempt")).filter("entity <> meant OR attempt > 0")
+    # what the names of a person need comes with the person
+    persons = by.filter(person).select("meant", F.explode(F.array_union(F.transform(F.slice(names, 1, F.size(names) - 1), lambda n: F.struct(F.lit("given").alias("kind"), F.concat_ws(" ", F.substring("meant", 1, 1), n).alias("entity"))), F.array(F.struct(F.lit("family").alias("kind"), F.element_at(names, -1).alias("entity"))))).alias("part")).select("meant", "part.*")
+    needed = persons.join(late, ["kind", "entity"]).select("meant", F.col("kind").alias("part_kind"), F.col("entity").alias("part"), "attempt")
+    said = every.filter(person).select("entity", "meant")
+    more = said.join(needed, "meant").select(F.lit("person").alias("kind"), "entity", F.col("part_kind").alias("of"), F.col("part").alias("meant"), "attempt")
+    return own.withColumn("of", F.col("kind")).unionByName(more)
+
+
+def _needs(rows: list[dict]) -> tuple[dict, dict]:
+    """What _otherwise tells for one text: (kind, entity) to (meant, attempt), and names to their attempts."""
+    own = {(x["kind"], x["entity"]): (x["meant"], x["attempt"]) for x in rows if x["of"] == x["kind"]}
+    return own, {(x["of"], x["meant"]): x["attempt"] for x in rows if x["of"] != x["kind"]}
+
+
+def _meant(key: bytes, kind: str, entity: str, own: dict, names: dict) -> str:
+    """The surrogate of an entity of a text."""
+    entity, attempt = own.get((kind, entity), (entity, 0))
+    if kind == "person":
+        return person(entity, lambda k, e: _cached(key, k, e, names.get((k, e), 0)))
+    return _cached(key, kind, entity, attempt)
 
 
-def surrogate_texts(docs: DataFrame, key: bytes = b"a key of the data's owner", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, n_entities and text (with surrogates; unchanged where nothing is found) for each row of docs.
 
-    A null text stays null and has no entities. Repeated rows are treated alike; an empty table gives no rows;
-    other columns, whatever their names, are ignored. Addresses, phone, card, account, social security and IP
-    numbers, keys and passwords behind their names, and persons behind a title are found, with all other
-    mentions in the same text of their names or parts of them; numbers of card
-    length without a valid check digit are left alone.
+    key is the secret of the data's owner: who has it can tell what stands for what. A null text stays null and has
+    no entities. Repeated rows are treated alike; an empty table gives no rows; other columns, whatever their names,
+    are ignored. Addresses, phone, card, account, social security and IP numbers, keys, access tokens and passwords
+    behind their names, dates of birth and numbers of streets behind or before the words for them, and persons behind
+    a title are found, with all other mentions in the same text of their names or parts of them; numbers of card length
+    without a valid check digit are left alone. Long texts are taken whole: each pattern reads a text once, and what
+    an address is has the lengths of the standards.
     """
     kind_of = docs.schema[id_col].dataType.simpleString()
-    rows = common.located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = common.located(docs).select(common.of_input(id_col).alias("id"), common.of_input(text_col).alias("text"), FILE, ROW)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -462,14 +596,14 @@ def surrogate_texts(docs: DataFrame, key: bytes = b"a key of the data's owner",
         for b in batches:
             for at in range(0, len(b), 64):
                 part = b.slice(at, 64)
-                more = [{(x["kind"], x["entity"]): (x["meant"], x["attempt"]) for x in r or ()} for r in part.column(2).to_pylist()] if part.num_columns > 2 else [{}] * len(part)
-                out = [(None, 0) if t.as_py() is None else replaced(t.as_py(), lambda k, e, m=m: _cached(key, k, *m.get((k, e), (e, 0)))) for t, m in zip(part.column(1), more, strict=True)]
+                more = [_needs(r or ()) for r in part.column(2).to_pylist()] if part.num_columns > 2 else [({}, {})] * len(part)
+                out = [(None, 0) if t.as_py() is None else replaced(t.as_py(), lambda k, e, m=m: _meant(key, k, e, *m)) for t, m in zip(part.column(1), more, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in out], pa.int64()), pa.array([t for t, _ in out], pa.string())], names=["id", "n_entities", "text"])
 
     schema = f"id {kind_of}, n_entities long, text string"
     if plain:
         out = rows.select("id", "text").mapInArrow(renamed, schema)
     else:
-        per_row = held.join(others, ["kind", "entity"]).groupBy(FILE, ROW).agg(F.collect_list(F.struct("kind", "entity", "meant", "attempt")).alias("more"))
+        per_row = held.join(others, ["kind", "entity"]).groupBy(FILE, ROW).agg(F.collect_set(F.struct("kind", "entity", "of", "meant", "attempt")).alias("more"))
         out = rows.join(per_row, [FILE, ROW], "left").select("id", "text", "more").mapInArrow(renamed, schema)
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
