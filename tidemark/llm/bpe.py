@@ -51,11 +51,26 @@ class Memo(dict):
         return got
 
 
+def _check(data: dict) -> None:
+    """ValueError where a tokenizer's file asks for another normalisation, split or merging than is done here."""
+    model, steps, cuts = data["model"], (data.get("normalizer") or {}).get("normalizers"), (data.get("pre_tokenizer") or {}).get("pretokenizers")
+    fields = {
+        "normalizer": [x["type"] for x in steps or []] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " ",
+        "pre_tokenizer": [x["type"] for x in cuts or []] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"],
+        "model": model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in data["added_tokens"]),
+        "decoder": data.get("decoder") is None,
+    }
+    if wrong := [k for k, fine in fields.items() if not fine]:
+        raise ValueError(f"a tokenizer of another kind: {', '.join(wrong)}")
+
+
 class WordBpe:
     """A tokenizer of words from a tokenizers JSON: NFC, one space for white space, lower case, words that end in a mark."""
 
     def __init__(self, spec: str, cache_words: int = 120_000):
         data = json.loads(spec)
+        _check(data)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -170,7 +185,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     A null text is empty and has no tokens. Rows that repeat are encoded each; an empty table gives no rows;
     other columns, whatever their names, are ignored. The driver reads the tokenizer's file and broadcasts it
-    (a vocabulary of fixed size), so executors need no copy. Texts pass in small batches.
+    (a vocabulary of fixed size), so executors need no copy. Texts pass whole, in small batches. A tokenizer of
+    another kind is an error.
     """
     import hashlib
 
