@@ -131,13 +131,30 @@ def test_hypergeometric_by_inversion(monkeypatch):
     assert got.min() >= 0 and got.max() <= 20
 
 
-def test_shuffle_is_uniform(spark):
-    base = spark.range(6).coalesce(1)
-    firsts = Counter()
-    rows = docs(spark, [(i, "t", "s") for i in range(6)])
-    for seed in range(60):
-        firsts[sharding.shuffle_into_shards(rows.select("doc_id"), 2, seed).filter("shard = 0 AND slot = 0").first().doc_id] += 1
-    assert base.count() == 6 and len(firsts) >= 5 and max(firsts.values()) < 30
+def test_matrix_shuffle_is_uniform():
+    """The law of the whole shuffle, as the operator does it, against a plain one: where each item goes, by chi-square."""
+    sizes, shards, runs = [3, 5, 2], [4, 3, 3], 6000
+    place, pairs = np.zeros((10, 3)), Counter()
+    for seed in range(runs):
+        rng = np.random.default_rng(seed)
+        matrix = sharding.communication_matrix(sizes, shards, (seed, 1))
+        at, of = 0, np.zeros(10, dtype=int)
+        for n, line in zip(sizes, matrix, strict=True):
+            of[at + rng.permutation(n)] = np.repeat(range(3), line)
+            at += n
+        place[range(10), of] += 1
+        pairs[of[0], of[9]] += 1
+    want = runs * np.array(shards) / 10
+    assert (((place - want) ** 2 / want).sum(axis=1) < 13.8).all()  # two degrees of freedom, 0.001
+    joint = {(a, b): runs * shards[a] * (shards[b] - (a == b)) / 90 for a in range(3) for b in range(3)}
+    assert sum((pairs[k] - e) ** 2 / e for k, e in joint.items()) < 26.1  # eight
+
+
+def test_sharding_draws_by_the_matrix(spark):
+    rows = spark.range(60).repartition(5)
+    got = [sharding.shuffle_into_shards(rows, 3, seed, group=2).collect() for seed in range(4)]
+    assert all(Counter(r.shard for r in g) == {0: 20, 1: 20, 2: 20} and sorted(r.id for r in g) == list(range(60)) for g in got)
+    assert len({tuple(r.id for r in sorted(g, key=lambda r: (r.shard, r.slot))) for g in got}) == 4
 
 
 # mixing
@@ -564,7 +581,7 @@ def test_all_else_stays_as_it_is(spark, sf_dir, texts):
         for a, b in spans:
             left.append(t[at:a])
             at = b
-        assert re.fullmatch("(?s).+?".join(map(re.escape, [*left, t[at:]])), got[i][0])  # only mentions have changed
+        assert re.fullmatch(".+?".join(map(re.escape, [*left, t[at:]])), got[i][0], re.S)  # only mentions have changed
         plain += not spans
     assert plain > len(texts) / 2
 
@@ -700,6 +717,17 @@ def test_bpe_long_words_and_texts(spark, tokenizers, sf_dir, texts):
         assert got[i].decoded_sha256 == hashlib.sha256(tokenizers[1].decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_other_tokenizers_are_refused():
+    import json
+
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    for key, value in (("normalizer", None), ("pre_tokenizer", None), ("decoder", {"type": "ByteLevel"}), ("model", {**spec["model"], "byte_fallback": True})):
+        with pytest.raises(ValueError, match=key):
+            bpe.WordBpe(json.dumps({**spec, key: value}))
+
+
 def test_bpe_edge_cases(spark):
     import public_tokenizers
 
@@ -720,6 +748,61 @@ def test_queries_with_sql(name, spark, sf_dir, duck):
     assert same(rows_of(Q.QUERIES[name](spark, sf_dir).toPandas()), rows_of(duck.execute(Q.ORACLE_SQL[name]).df()))
 
 
+CLASHING = "__file __row __key __id __text __part __input __at __shard _metadata __copy copies taken".split()
+
+
+def test_clashing_columns_stay(spark, sf_dir, tmp_path):
+    """Extra columns with the helpers' names: right rows, and stages keep all columns."""
+    rows = [(i, "a b c d e f g" if i < 5 else f"text number {i} of its own kind, with words", "en", "s", 9, *["x"] * len(CLASHING)) for i in range(12)]
+    made = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *CLASHING])
+    made.write.parquet(str(tmp_path / "docs.parquet"))
+    for df in (made, spark.read.parquet(str(tmp_path / "docs.parquet"))):
+        assert exact_dedup.exact_dedup(df).filter("kept").count() == 8
+        assert near_dedup.near_dedup(df).filter("kept").count() == 8
+        assert sorted(r.n_removed for r in substring_dedup.substring_dedup(df).collect()) == [0] * 12
+        assert mixing.mix(df).agg(F.sum("taken"), F.sum("size")).first()[0] > 0
+        assert surrogates.surrogate_texts(df, b"k").count() == 12
+        out = sharding.shuffle_into_shards(df, 4)
+        assert set(out.columns) == {*df.columns, "shard", "slot"} and sorted((r.shard, r.slot) for r in out.select("shard", "slot").collect()) == [(s, i) for s in range(4) for i in range(3)]
+        for kept in (exact_dedup.keep_one(df), near_dedup.keep_one(df)):
+            assert kept.columns == df.columns and kept.count() == 8
+        copies = Counter(r.doc_id for r in mixing.mixed_rows(df).collect())
+        assert mixing.mixed_rows(df).columns == df.columns and copies == {r.doc_id: r.copies for r in mixing.mix(df).filter("copies > 0").collect()}
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 3)], *["x"] * len(CLASHING)) for i in range(6)], ["vec_id", "embedding", *CLASHING])
+    assert {r.vec_id: r.n_links for r in ego_join.near_embeddings(vectors).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+    page = spark.createDataFrame([(1, "u", "<p>x</p>", *["x"] * len(CLASHING))], ["page_id", "url", "html", *CLASHING])
+    assert tag_paths.extract(page).first().text == "x"
+
+
+def test_deliveries_share_one_state(spark, tmp_path):
+    state = str(tmp_path / "state")
+    one = docs(spark, [(1, "a", "s"), (2, "a", "s"), (3, "b", "s"), (9, "z", "s")])
+    two = docs(spark, [(4, "b", "s"), (5, "c", "s"), (0, "a", "s"), (6, None, "s")])
+    run = lambda d, name, **o: sorted(tuple(r)[:4] for r in exact_dedup.exact_dedup(d, state=state, delivery=name, **o).collect())
+    for bytes_, folder in ((32, "x"), (0, "y")):  # the second one: all digests collide, so bytes decide
+        state = str(tmp_path / folder)
+        assert run(one, "one", digest_bytes=bytes_) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (9, 9, 1, True)]
+        want = [(0, 2, 3, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True)]
+        # a try that failed behind the fingerprints, then the whole delivery, then the same one again
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(exact_dedup, "_run_stream", lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                run(two, "two", digest_bytes=bytes_)
+        assert run(two, "two", digest_bytes=bytes_) == want == run(two, "two", digest_bytes=bytes_)
+
+
+def test_shared_scopes_leave_nothing(spark):
+    import os
+
+    from tidemark.sources import scratch
+
+    folder = scratch.shared_folder(spark)
+    before = set(os.listdir(folder))
+    with scratch.scope(spark):
+        near_dedup.keep_one(docs(spark)).count()
+    assert set(os.listdir(folder)) <= before
+
+
 def test_pipeline_stages_against_brute_force(spark, sf_dir, small, tokenizers):
     at = small
     names = [n for n, _ in corpus_pipeline.STAGES]

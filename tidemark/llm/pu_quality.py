@@ -151,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most sample positives and sample unlabelled documents, picked by a hash of the id.
 
     Positives are the rows of labels that are 1 and not held out; unlabelled are documents that are not held
-    out, whatever their label. Labels that are null or of unknown documents don't count.
+    out, whatever their label. Labels that are null or of unknown documents don't count; of rows with equal ids one
+    is taken. Texts count whole; an empty table gives a model that scores everything 0.5.
     """
     order = F.xxhash64(F.lit(17), F.col("id"))
     train_side = ~F.coalesce(held_out("id"), F.lit(True))
@@ -163,9 +164,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t.as_py() or "").tolist() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["p", "u", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], names=["id", "p", "u", "x"])
 
-    rows = texts.select("text", "p", "u").mapInArrow(run, "p int, u boolean, x array<double>").collect()
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = texts.select("text", "id", "p", "u").mapInArrow(run, f"id {kind}, p int, u boolean, x array<double>")
+    rows = rows.groupBy("id").agg(F.min(F.struct("p", "u", "x")).alias("r")).select("r.*").collect()  # a row per id, 2 * sample at most
     positive = np.array([r["x"] for r in rows if r["p"]]).reshape(-1, N_FEATURES)
     unlabelled = np.array([r["x"] for r in rows if r["u"]]).reshape(-1, N_FEATURES)
     return train(positive, unlabelled)
@@ -184,7 +187,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def good_rows(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.7) -> DataFrame:
-    """The rows of docs whose score is at least least, with all their columns."""
+    """The rows of docs whose score is at least least, with all their columns, whatever their names.
+
+    A null text counts as empty; texts count whole; repeated rows are scored each; an empty table stays empty.
+    """
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
