@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Links that one task takes, and the number up to which a round is spread over as many tasks as that needs.
+TASK_LINKS, FEW_LINKS = 50_000, 1_000_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for each node of links (a, b) that has a link to another.
 
@@ -20,18 +24,27 @@ def components(links: DataFrame) -> DataFrame:
     e = common.written(e, "links")
     state = None
     while True:
-        # each side of a join is a written table, so the engine can split the rows of a node with very many links
-        spark = e.sparkSession
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = common.written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
-        before, e = e, common.written(small, "links")
-        common.discard(spark, before, least, large, low)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        spark, now = e.sparkSession, e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state or not now[0]:
             break
-        state = now
+        state, few = now, now[0] < FEW_LINKS
+        parts = now[0] // TASK_LINKS + 1
+
+        def by_u(df: DataFrame, few: bool = few, parts: int = parts) -> DataFrame:
+            return df.repartition(parts, "u") if few else df
+
+        def side(df: DataFrame, name: str, few: bool = few) -> DataFrame:
+            """One side of a join: with many links a written table, so that the engine can split a node's rows."""
+            return df if few else common.written(df, name)
+
+        both = by_u(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = by_u(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        large = common.written(large, "large")
+        near = by_u(large)
+        low = side(near.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = near.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
+        before, e = e, common.written(by_u(small).distinct(), "links")
+        common.discard(spark, before, large, *([] if few else [least, low]))
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

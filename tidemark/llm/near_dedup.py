@@ -105,12 +105,6 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return mix(out + np.arange(bands, dtype=_U))
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """The weighted Jaccard similarity of two sorted arrays of distinct (shingle, copy) hashes."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def _copies(value: np.ndarray) -> np.ndarray:
     """Sorted hashes that tell the copies of a repeated shingle apart."""
     value = np.sort(value)
@@ -159,6 +153,9 @@ def links_within(texts: pa.Array, sign: np.ndarray, side: np.ndarray, label: np.
             bag[at + i] = _copies(value[ends[i] : ends[i + 1]])
     size = np.array([len(b) for b in bag])
     label = np.unique(label, return_inverse=True)[1]
+    ends = np.cumsum(size)
+    number = np.unique(np.concatenate(bag), return_inverse=True)[1] if n else np.zeros(0, dtype=np.int64)
+    mine = np.zeros(len(number), dtype=bool)  # the numbers that the row at hand has
     found: list[tuple[int, int]] = []
     place = np.arange(n)
     for i in np.argsort(size, kind="stable")[::-1].tolist():
@@ -173,12 +170,20 @@ def links_within(texts: pa.Array, sign: np.ndarray, side: np.ndarray, label: np.
         alike = (sign[near] == sign[i]).mean(axis=1)
         order = np.argsort(-alike, kind="stable")
         near = near[order][alike[order] >= floor]
-        while len(near):
-            j, near = int(near[0]), near[1:]
-            if overlap(bag[i], bag[j]) >= least:
-                found.append((i, j))
-                label[label == label[j]] = label[i]
-                near = near[label[near] != label[i]]
+        own, step = number[ends[i] - size[i] : ends[i]], 1
+        mine[own] = True
+        while len(near):  # the likeliest first, then more and more at once
+            many = max(1, int(np.searchsorted(np.cumsum(size[near[:step]]), 1 << 20)))
+            some, near, step = near[:many], near[many:], min(512, 8 * step)
+            begin = np.cumsum(size[some]) - size[some]
+            at = np.arange(int(size[some].sum())) + np.repeat(ends[some] - size[some] - begin, size[some])
+            both = np.add.reduceat(mine[number[at]].astype(np.int64), begin)
+            for j in some[both >= least * (size[i] + size[some] - both)].tolist():
+                if label[j] != label[i]:
+                    found.append((i, j))
+                    label[label == label[j]] = label[i]
+            near = near[label[near] != label[i]]
+        mine[own] = False
     return found
 
 
@@ -236,7 +241,7 @@ def _compared(dealt: DataFrame, compare: str, least: float, floor: float) -> Dat
 
 
 def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float, floor: float) -> DataFrame:
-    """Links (a, b) that span all verified pairs within the groups (node, root)."""
+    """node and root of the classes that the verified pairs within the groups (node, root) make."""
     placed = once.select("node", "size", "sign").join(groups, "node")
     sizes = common.written(placed.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 512) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes")
     placed = placed.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -247,26 +252,27 @@ def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float,
     first = placed.withColumn("j", F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
     first = first.withColumn("j", F.explode("j")).select("root", F.lit(0).alias("i"), "j", (F.col("own") != 0).cast("int").alias("side"), "node", "sign", F.col("node").alias("label"), "__text")
     links = common.written(_compared(first.repartition("root", "i", "j"), "not 0-0", least, floor), "near-links")
+    label = common.written(components(links), "near-label")
     wide = placed.filter("blocks > 1")
     if wide.isEmpty():
-        return links
+        return label
 
     # In groups of several blocks, what is not in the largest class meets the blocks that it has not met.
-    label = components(links)
     wide = wide.join(label.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     wide = common.written(wide, "near-wide")
     main = wide.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     wide = wide.join(main, "root")
     rest = wide.filter("label <> main")
     if rest.isEmpty():
-        return links
+        return label
     parts = rest.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 512) / F.lit(BLOCK_BYTES)).cast("int").alias("parts"))
     rest = rest.join(parts, "root").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
     rest = rest.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
     every = wide.join(parts, "root").filter("own > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     columns = ["root", "i", "j", "side", "node", "sign", "label", "__text"]
     dealt = rest.withColumn("side", F.lit(0)).select(columns).unionByName(every.withColumn("side", F.lit(1)).withColumn("j", F.col("own")).select(columns))
-    return links.unionByName(_compared(dealt.repartition("root", "i", "j"), "0-1", least, floor))
+    more = common.written(_compared(dealt.repartition("root", "i", "j"), "0-1", least, floor), "near-links")
+    return label if more.isEmpty() else components(links.unionByName(more))
 
 
 def _classes(rows: DataFrame, kind: str, least: float, margin: float | None) -> DataFrame:
@@ -292,7 +298,7 @@ def _classes(rows: DataFrame, kind: str, least: float, margin: float | None) ->
     once = sketch.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("sign").alias("sign"))
     once = common.written(once, "near-once")
     groups = common.written(components(_bucket_links(once.select("node", F.explode("bands").alias("key")), once.select("node", "sign"), floor)), "near-groups")
-    classes = common.written(components(_verified(groups, once, rows, least, floor)), "near-classes")
+    classes = common.written(_verified(groups, once, rows, least, floor), "near-classes")
     named = sketch.select("node", "__id", FILE, ROW).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = common.written(named, "near-named")
     common.discard(rows.sparkSession, sketch, once, groups, classes)
