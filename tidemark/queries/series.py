@@ -70,13 +70,18 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, epoch_us(ts) // 1000 AS ts, 1000.0::DOUBLE + value AS open, 1000.0::DOUBLE + value + 1 AS high, 1000.0::DOUBLE + value - 1 AS low, 1000.0::DOUBLE + value AS close, 1.0::DOUBLE AS volume FROM events")
 def kline_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exchange pages with named fields, built from events and decoded by built-in functions."""
+    """Exchange pages of all shapes (named or positional, under result or data), built from events and decoded by built-in functions."""
     e = table(spark, sf_dir, "events")
     price = F.lit(1000.0) + F.col("value")
     text = lambda c: c.cast("string")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    row = F.struct(text(ms).alias("t"), text(price).alias("open"), text(price + 1).alias("h"), text(price - 1).alias("low"), text(price).alias("c"), F.lit("1").alias("vol"))
-    page = F.to_json(F.struct(F.lit(0).alias("retCode"), F.struct(F.array(row).alias("list")).alias("result")))
+    named = F.struct(text(ms).alias("t"), text(price).alias("open"), text(price + 1).alias("h"), text(price - 1).alias("low"), text(price).alias("c"), F.lit("1").alias("vol"))
+    placed = F.array(text(ms), text(price), text(price + 1), text(price - 1), text(price), F.lit("1"))
+    shapes = [
+        F.to_json(F.struct(F.lit(0).alias("retCode"), F.struct(F.array(named).alias("list")).alias("result"))), F.to_json(F.struct(F.array(named).alias("data"))),
+        F.to_json(F.struct(F.lit(0).alias("retCode"), F.struct(F.array(placed).alias("list")).alias("result"))), F.to_json(F.struct(F.array(placed).alias("data"))),
+    ]
+    page = F.element_at(F.array(*shapes), (F.col("event_id") % 4 + 1).cast("int"))
     return e.select("event_id", F.explode(klines.decode(page)).alias("c")).select("event_id", "c.*")
 
 
@@ -89,7 +94,7 @@ SELECT 'BTCUSDT' AS symbol, ts, round(price, 6) AS open, round(price + 2, 6) AS
 """)
 def rest_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exchange source over two years in yearly spans, offline."""
-    return rounded(klines.read(spark, symbol="BTCUSDT", interval="1h", start="2022-01-01", end="2024-01-01"))
+    return rounded(klines.read(spark, symbol="BTCUSDT", interval="1h", start="2022-01-01", end="2024-01-01", fetch="tidemark.sources.klines:offline"))
 
 
 @query("SELECT event_type AS symbol, ts, 1000 + value AS close FROM events WHERE event_id % 7 <> 0")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from functools import partial
 from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,10 +54,13 @@ def rows_of(payload: dict | list) -> list:
 
 
 def candle(row: dict | list) -> tuple[int, float, float, float, float, float] | None:
-    """(ms, open, high, low, close, volume) of a positional or named candle; None if a field is missing or no number."""
+    """(ms, open, high, low, close, volume) of a positional or named candle; None if a field is missing or no number.
+
+    A named candle without a volume has 0.
+    """
     try:
         if isinstance(row, dict):
-            row = [next(row[k] for k in names if row.get(k) is not None) for names in ALIASES.values()]
+            row = [next((row[k] for k in names if row.get(k) is not None), 0.0 if f == "volume" else None) for f, names in ALIASES.items()]
         return (int(float(row[0])), *(float(x) for x in row[1:6]))
     except (StopIteration, ValueError, TypeError, IndexError):
         return None
@@ -81,6 +88,24 @@ def pages(fetch: Callable[[str, str, int, int, int], dict | list], symbol: str,
         at = oldest - 1
 
 
+# The exchange's codes of intervals, and its page of candles.
+INTERVAL_CODES = {"1h": "60", "1d": "D"}
+ENDPOINT = "https://api.bybit.com/v5/market/kline"
+
+
+def http(symbol: str, interval: str, start: int, end: int, limit: int, endpoint: str = ENDPOINT, category: str = "linear", seconds: float = 15) -> dict | list:
+    """A page of candles from the exchange; a request that takes too long is a TimeoutError, which pages() tries again."""
+    asked = {"category": category, "symbol": symbol, "interval": INTERVAL_CODES[interval], "start": start, "end": end, "limit": limit}
+    request = urllib.request.Request(f"{endpoint}?{urllib.parse.urlencode(asked)}", headers={"User-Agent": "Mozilla/5.0"})
+    try:
+        with urllib.request.urlopen(request, timeout=seconds) as got:
+            return json.loads(got.read().decode())
+    except urllib.error.URLError as e:
+        if isinstance(e.reason, TimeoutError):
+            raise TimeoutError(str(e)) from e
+        raise
+
+
 def offline(symbol: str, interval: str, start: int, end: int, limit: int) -> dict:
     """A page that an exchange could give, from a formula: for tests and machines without a network."""
     step = STEP_MS[interval]
@@ -101,21 +126,23 @@ class KlineReader(DataSourceReader):
         if self.interval not in STEP_MS:
             raise ValueError("interval must be 1h or 1d")
         self.start, self.end = to_millis(options["start"]), to_millis(options["end"])
-        self.fetch = options.get("fetch", "tidemark.sources.klines:offline")
-        self.limit = int(options.get("limit", 1000))
+        self.fetch = options.get("fetch", "tidemark.sources.klines:http")
+        self.limit, self.pause = int(options.get("limit", 1000)), float(options.get("pause", 0.15))
+        self.more = {k: options[k] for k in ("endpoint", "category") if options.get(k)}
 
     def partitions(self) -> list[Span]:
         return [Span(a, b) for a, b in chunks(self.start, self.end, CHUNK_DAYS[self.interval])]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         module, name = self.fetch.split(":")
-        fetch = getattr(import_module(module), name)
-        for ms, *values in pages(fetch, self.symbol, self.interval, partition.start, partition.end, self.limit):
+        fetch = partial(getattr(import_module(module), name), **self.more)
+        for ms, *values in pages(fetch, self.symbol, self.interval, partition.start, partition.end, self.limit, pause=self.pause):
             yield self.symbol, datetime.fromtimestamp(ms / 1000, UTC).replace(tzinfo=None), *values
 
 
 class KlineSource(DataSource):
-    """spark.read.format("klines") with options symbol, interval, start, end, limit, and fetch ("module:function")."""
+    """spark.read.format("klines") with options symbol, interval, start, end, limit, endpoint, category, pause (seconds
+    before another try), and fetch ("module:function"; the exchange's own page where it is not given)."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,11 +163,26 @@ def read(spark: SparkSession, **options: object) -> DataFrame:
 
 
 def decode(payload: Column) -> Column:
-    """An array of candles from a JSON page column with named fields, by built-in functions."""
-    fields = sorted({a for names in ALIASES.values() for a in names})
-    kind = "struct<retCode:int,result:struct<list:array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>>>"
-    one = lambda r: F.struct(*[F.coalesce(*[r[a] for a in names]).try_cast("long" if k == "ts" else "double").alias(k) for k, names in ALIASES.items()])
-    return F.transform(F.from_json(payload, kind)["result"]["list"], one)
+    """An array of candles from a JSON page column, by built-in functions, as rows_of() and candle() take them.
+
+    Candles are named or positional, at the top, under data or list, or under these in result; those with a missing
+    field are left out, a named one without a volume has 0, and a code other than 0 is an error.
+    """
+    inner = "list:array<string>,data:array<string>"
+    page = F.from_json(payload, f"struct<retCode:string,retMsg:string,{inner},result:struct<{inner}>>")
+    rows = F.coalesce(page["result"]["list"], page["result"]["data"], page["data"], page["list"], F.from_json(payload, "array<string>"))
+    refused = F.coalesce(page["retCode"], F.lit("0")) != "0"
+    rows = F.when(refused, F.raise_error(F.concat(F.lit("the exchange says "), F.coalesce(page["retMsg"], F.lit(""))))).otherwise(rows)
+    names = "struct<" + ",".join(f"{f}:string" for f in sorted({a for x in ALIASES.values() for a in x})) + ">"
+
+    def one(row: Column) -> Column:
+        named, placed = F.from_json(row, names), F.from_json(row, "array<string>")
+        field = lambda i, k: F.when(row.startswith("["), F.get(placed, F.lit(i))).otherwise(F.coalesce(*[named[a] for a in ALIASES[k]], *([F.lit("0")] if k == "volume" else [])))
+        number = lambda i, k: field(i, k).try_cast("double").cast("long") if k == "ts" else field(i, k).try_cast("double")
+        return F.struct(*[number(i, k).alias(k) for i, k in enumerate(ALIASES)])
+
+    whole = lambda c: F.forall(F.array(*[c[k].isNotNull() for k in ALIASES]), lambda x: x)
+    return F.filter(F.transform(rows, one), whole)
 
 
 def as_json(rows: list[dict]) -> str:
