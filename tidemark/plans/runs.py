@@ -19,6 +19,8 @@ from ..operators.permutation import permuted_arrays
 from ..operators.strategies import STRATEGIES
 from ..schema import VALUES
 
+#: Windows and parameters of a batch of a series' own runs.
+WINDOWS, PARAMS = 4, 256
 METRIC_SCHEMA = ", ".join(f"{m} double" for m in METRICS)
 
 
@@ -83,8 +85,9 @@ def window_runs(bars: DataFrame, runs: DataFrame, strategy: str, cost: float, pe
     schema = f"window_id int, param_id int, {METRIC_SCHEMA}, error string"
     if not chosen:
         return evaluate(bars, runs, one, schema, 64, "window_id")
-    # runs of their own for each series
-    own = runs.groupBy("symbol").agg(F.collect_list(F.struct(*[c for c in runs.columns if c != "symbol"])).alias("runs"))
+    # runs of their own for each series, in batches of a few windows and of parameters
+    batch = F.struct(F.floor(F.col("window_id") / WINDOWS), F.floor(F.col("param_id") / PARAMS))
+    own = runs.groupBy("symbol", batch.alias("__b")).agg(F.collect_list(F.struct(*[c for c in runs.columns if c != "symbol"])).alias("runs"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +97,8 @@ def window_runs(bars: DataFrame, runs: DataFrame, strategy: str, cost: float, pe
                 cache: dict = {}
                 yield pd.DataFrame([(row.symbol, *r) for x in row.runs for r in one(arrays, x, cache)], columns=["symbol", *names])
 
-    return pack(bars).join(own, "symbol").select("symbol", *VALUES, "runs").mapInPandas(run, f"symbol string, {schema}")
+    tasks = pack(bars).join(own, "symbol").withColumn("__t", F.xxhash64("symbol", "__b")).repartition(F.col("__t"))
+    return tasks.select("symbol", *VALUES, "runs").mapInPandas(run, f"symbol string, {schema}")
 
 
 def permutation_runs(bars: DataFrame, seeds: DataFrame, strategy: str, params: list[dict[str, float]], metric: str, cost: float, periods: float, start: int = 0, mode: str = "both", reconstruction: str = "gap_only") -> DataFrame:

@@ -11,14 +11,17 @@ from ..operators.backtest import FEE, SLIPPAGE
 from . import grid, runs
 
 
-def windows(bars: DataFrame, train: int, test: int, step: int | None = None) -> DataFrame:
-    """window_id and half-open ranges of bar_idx: every start that leaves train + test bars, per series."""
+def windows(bars: DataFrame, train: int, test: int, step: int | None = None, offset: int = 0, least_test: int | None = None) -> DataFrame:
+    """window_id and half-open ranges of bar_idx: every start from offset on that leaves train + test bars, per series.
+
+    With least_test, the test slice may be cut at the series' end if it has so many bars.
+    """
     step = step or test
     if min(train, test, step) <= 0:
         raise ValueError("train, test and step must be above 0")
-    counts = bars.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n")).filter(F.col("n") >= train + test)
-    starts = counts.select("symbol", F.posexplode(F.sequence(F.lit(0), F.col("n") - (train + test), F.lit(step))).alias("window_id", "train_start"))
-    return starts.select("symbol", "window_id", "train_start", (F.col("train_start") + train).alias("train_end"), (F.col("train_start") + train).alias("test_start"), (F.col("train_start") + train + test).alias("test_end"))
+    counts = bars.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n")).filter(F.col("n") >= offset + train + (least_test or test))
+    starts = counts.select("symbol", "n", F.posexplode(F.sequence(F.lit(offset), F.col("n") - (train + (least_test or test)), F.lit(step))).alias("window_id", "train_start"))
+    return starts.select("symbol", "window_id", "train_start", (F.col("train_start") + train).alias("train_end"), (F.col("train_start") + train).alias("test_start"), F.least(F.col("train_start") + train + test, F.col("n")).alias("test_end"))
 
 
 def members(bars: DataFrame, train: int, test: int, step: int | None = None) -> DataFrame:
@@ -37,14 +40,14 @@ def analyse(bars: DataFrame, params: DataFrame, strategy: str, train: int, test:
     """One row per (symbol, window_id): the best parameters on the train bars, is_* there and oos_* on the test bars."""
     spans = windows(bars, train, test, step)
     chosen = grid.mapped(params)
-    every = spans.crossJoin(F.broadcast(chosen))  # a row per window and combination
+    every = spans.crossJoin(chosen)  # a row per window and combination
     trained = runs.window_runs(bars, every.select("symbol", "window_id", "param_id", "params", F.col("train_start").alias("low"), F.col("train_end").alias("high")), strategy, cost, periods)
     best = grid.best(grid.ranked(trained, by, ("symbol", "window_id"))).filter("error IS NULL")
     inside = best.select("symbol", "window_id", "param_id", *[F.col(m).alias(f"is_{m}") for m in METRICS])
-    tests = inside.join(spans, ["symbol", "window_id"]).join(F.broadcast(chosen), "param_id")
+    tests = inside.join(spans, ["symbol", "window_id"]).join(chosen, "param_id")
     outside = runs.window_runs(bars, tests.select("symbol", "window_id", "param_id", "params", F.col("test_start").alias("low"), F.col("test_end").alias("high")), strategy, cost, periods)
     outside = outside.select("symbol", "window_id", *[F.col(m).alias(f"oos_{m}") for m in METRICS], F.col("error").alias("oos_error"))
-    return inside.join(outside, ["symbol", "window_id"]).join(F.broadcast(params.drop("error")), "param_id")
+    return inside.join(outside, ["symbol", "window_id"]).join(params.drop("error"), "param_id")
 
 
 def summary(results: DataFrame) -> DataFrame:
