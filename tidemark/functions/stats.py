@@ -28,7 +28,7 @@ def histogram(df: DataFrame, value: str, bins: int | Column, by: tuple[str, ...]
     count = bins if isinstance(bins, Column) else F.lit(bins)
     ends = df.groupBy(*by).agg(F.min(value).alias("a"), F.max(value).alias("b"), F.count(value).alias("total"), F.max(count).alias("k") if not isinstance(bins, Column) else count.alias("k"))
     ends = ends.withColumn("k", F.when(F.col("a") == F.col("b"), 1).otherwise(F.col("k")))
-    both = df.join(F.broadcast(ends), list(by)) if by else df.crossJoin(F.broadcast(ends))  # a row per group
+    both = df.join(ends, list(by)) if by else df.crossJoin(ends)  # a row per group
     width = (F.col("b") - F.col("a")) / F.col("k")
     place = F.when(F.col("a") == F.col("b"), 0).otherwise(F.least(F.floor((F.col(value) - F.col("a")) / F.nullif(width, F.lit(0.0))), F.col("k") - 1)).cast("int")
     counted = both.filter(F.col(value).isNotNull()).withColumn("bin", place).groupBy(*by, "bin", "a", "b", "k", "total").agg(F.count(F.lit(1)).alias("n"))

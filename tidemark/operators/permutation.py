@@ -42,11 +42,12 @@ def permute(bars: DataFrame, permutations: DataFrame, start: int = 0, mode: str
     still = every.filter(~(moves & active)).select("symbol", "perm_id", "bar_idx", "ts", *VALUES)
     part = every.filter(moves & active)
     own = ("symbol", "perm_id")
-    at = lambda tag: F.row_number().over(W.partitionBy(*own).orderBy(_order(tag), "bar_idx")) - 1 + start
-    gaps = part.select(*own, (at("gap") if mode != "intraday" else F.col("bar_idx")).alias("bar_idx"), F.col("r_o").alias("g"))
-    inner = part.select(*own, (at("intraday") if mode != "gap" else F.col("bar_idx")).alias("bar_idx"), F.col("r_h").alias("h"), F.col("r_l").alias("l"), F.col("r_c").alias("c"))
-    base = part.select(*own, "bar_idx", "ts", "volume", F.when(F.col("bar_idx") == start, F.ln(F.coalesce(F.col("anchor"), F.col("open")))).alias("base"))
-    both = base.join(gaps, [*own, "bar_idx"]).join(inner, [*own, "bar_idx"])
+    # one grouped pass: the bars in their order, the gaps and the moves in theirs, and all three side by side again
+    ordered = lambda tag, moved, *values: F.array_sort(F.collect_list(F.struct((_order(tag) if moved else F.lit("")).alias("by"), "bar_idx", *values)))
+    base = F.when(F.col("bar_idx") == start, F.ln(F.coalesce(F.col("anchor"), F.col("open")))).alias("base")
+    sides = part.groupBy(*own).agg(ordered("bar", False, "ts", "volume", base).alias("a"), ordered("gap", mode != "intraday", "r_o").alias("b"), ordered("intraday", mode != "gap", "r_h", "r_l", "r_c").alias("c"))
+    rows = sides.select(*own, F.explode(F.arrays_zip("a", "b", "c")).alias("x"))
+    both = rows.select(*own, *[F.col(f"x.a.{c}").alias(c) for c in ("bar_idx", "ts", "volume", "base")], F.col("x.b.r_o").alias("g"), *[F.col(f"x.c.r_{c}").alias(c) for c in "hlc"])
     w = series(own)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     opened = F.first("base", ignorenulls=True).over(run) + F.sum("g").over(run)

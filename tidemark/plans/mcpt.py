@@ -19,7 +19,7 @@ def scores(bars: DataFrame, signals: Callable[..., DataFrame], permutations: Dat
     moved = permutation.permute(bars, permutations, start, mode, reconstruction)
     own = ("symbol", "perm_id")
     tried = backtest.run(signals(moved, keys=own), own, cost, periods).select(*own, F.col(metric).alias("score"))
-    return tried.join(F.broadcast(original), "symbol")  # a row per series
+    return tried.join(original, "symbol")  # a row per series
 
 
 def signal_scores(signals: DataFrame, permutations: DataFrame, metric: str = "profit_factor", cost: float = backtest.FEE + backtest.SLIPPAGE, periods: float = 252) -> DataFrame:
@@ -27,7 +27,7 @@ def signal_scores(signals: DataFrame, permutations: DataFrame, metric: str = "pr
     original = backtest.run(signals, ("symbol",), cost, periods).select("symbol", F.col(metric).alias("original_score"))
     own = ("symbol", "perm_id")
     tried = backtest.run(permutation.shuffle_signals(signals, permutations), own, cost, periods).select(*own, F.col(metric).alias("score"))
-    return tried.join(F.broadcast(original), "symbol")
+    return tried.join(original, "symbol")
 
 
 def numpy_scores(bars: DataFrame, strategy: str, params: list[dict[str, float]], n: int, metric: str = "profit_factor", start: int = 0, mode: str = "both", reconstruction: str = "gap_only", cost: float = backtest.FEE + backtest.SLIPPAGE, periods: float = 252) -> DataFrame:
@@ -37,7 +37,7 @@ def numpy_scores(bars: DataFrame, strategy: str, params: list[dict[str, float]],
     table = spark.createDataFrame([(i, {k: float(v) for k, v in p.items()}) for i, p in enumerate(params)], "param_id int, params map<string,double>")
     original = runs.grid_runs(bars, table, strategy, cost, periods).groupBy("symbol").agg(F.max(metric).alias("original_score"))
     tried = runs.permutation_runs(bars, seeds, strategy, params, metric, cost, periods, start, mode, reconstruction)
-    return tried.join(F.broadcast(original), "symbol")
+    return tried.join(original, "symbol")
 
 
 def statistics(scored: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def walk_forward_scores(bars: DataFrame, params: DataFrame, strategy: str, permu
     each = done.groupBy("symbol").agg(F.avg(F.when(F.col(f"oos_{by}") < float("inf"), F.col(f"oos_{by}"))).alias("score"))
     each = each.select(F.split("symbol", "\x1f")[0].alias("symbol"), F.split("symbol", "\x1f")[1].cast("long").alias("perm_id"), "score")
     original = each.filter("perm_id < 0").select("symbol", F.col("score").alias("original_score"))
-    return each.filter("perm_id >= 0").join(F.broadcast(original), "symbol")
+    return each.filter("perm_id >= 0").join(original, "symbol")
 
 
 __all__ = ["grid", "numpy_scores", "reoptimised", "scores", "signal_scores", "statistics", "walk_forward_scores"]
