@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,7 +71,7 @@ def search(bars: DataFrame, params: DataFrame, strategy: str, by: str | Column =
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     made = runs.grid_runs(bars, mapped(params), strategy, cost, periods)
-    return ranked(made.join(F.broadcast(params.drop("error")), "param_id"), by, ("symbol",), drawdown_sense)
+    return ranked(made.join(params.drop("error"), "param_id"), by, ("symbol",), drawdown_sense)
 
 
 def quick_optimise(bars: DataFrame, strategy: str, values: Mapping[str, Sequence[float]], by: str | Column = "sharpe_ratio") -> DataFrame:
@@ -125,3 +126,27 @@ def top(results: DataFrame, n: int, names: Sequence[str]) -> DataFrame:
 def random_search(params: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n combinations by a hash of the seed: a stand-in for a tuner's draws."""
     return params.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("param_id"))), "param_id").limit(n)
+
+
+def successive_halving(bars: DataFrame, params: DataFrame, strategy: str, shares: Sequence[float] = (0.25, 0.5, 1.0), keep: float = 1 / 3, by: str | Column = "sharpe_ratio") -> DataFrame:
+    """search() of the combinations that last through the rungs: each rung runs on a longer share of each series' bars,
+    and the keep best of its combinations (one at least, by their mean objective over the series) go on to the next."""
+    n = F.count(F.lit(1)).over(W.partitionBy("symbol"))
+    sized = bars.withColumn("__n", n)
+    for i, share in enumerate(shares):
+        done = search(sized.filter(F.col("bar_idx") < F.col("__n") * share).drop("__n"), params, strategy, by)
+        if i + 1 < len(shares):
+            mean = done.filter("error IS NULL").groupBy("param_id").agg(F.avg("objective").alias("__o"))
+            best_ = mean.orderBy(F.col("__o").desc_nulls_last(), "param_id").limit(max(1, int(mean.count() * keep)))
+            params = params.join(best_.select("param_id"), "param_id", "left_semi")
+    return done
+
+
+def speed_up(bars: DataFrame, params: DataFrame, strategy: str, tasks: Sequence[int] = (1, 2, 4, 8)) -> list[tuple[int, float, float]]:
+    """(tasks, seconds, speed-up against the first) of one search with its last stage in so many tasks."""
+    out = []
+    for n in tasks:
+        at = time.perf_counter()
+        search(bars, params, strategy).coalesce(n).write.format("noop").mode("overwrite").save()
+        out.append((n, time.perf_counter() - at))
+    return [(n, s, out[0][1] / s) for n, s in out]

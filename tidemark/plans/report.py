@@ -23,6 +23,35 @@ def walkforward_curves(combined: DataFrame) -> DataFrame:
     return combined.withColumn("drawdown", top_drawdown("equity", series()))
 
 
+def checked_scores(scored: DataFrame, p_value: str | None = None) -> DataFrame:
+    """scored as it is; ValueError where it has no rows, a score that is null, NaN or infinite, or a p-value outside [0, 1]."""
+    value = F.col("score")
+    wrong = F.count(F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 1))
+    p = F.col(p_value) if p_value else F.lit(0.0)
+    n, bad, out = scored.agg(F.count(F.lit(1)), wrong, F.count(F.when(p.isNull() | F.isnan(p) | (p < 0) | (p > 1), 1))).first()
+    if not n or bad or out:
+        raise ValueError(f"{n} scores, of which {bad} are no finite numbers, and {out} p-values outside 0 to 1")
+    return scored
+
+
+def save_all(path: str, signals: DataFrame | None = None, grid: DataFrame | None = None, params: tuple[str, ...] = (), scores: DataFrame | None = None, combined: DataFrame | None = None) -> list[str]:
+    """Write the tables behind all reports of a run under path, those whose input is given, and return their names."""
+    from . import grid as grids
+
+    made = {}
+    if signals is not None:
+        made["backtest"] = backtest_curves(signals)
+    if grid is not None:
+        made |= {f"optimization_{p}": grids.profile(grid, p) for p in params} | {"optimization_final": grids.final_values(grid)}
+    if scores is not None:
+        made["mcpt"] = score_distribution(checked_scores(scores))
+    if combined is not None:
+        made["walkforward"] = walkforward_curves(combined)
+    for name, df in made.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return list(made)
+
+
 def score_distribution(scored: DataFrame, bins: int = 50) -> DataFrame:
     """A histogram of finite permutation scores per series."""
     return stats.histogram(scored.filter(F.abs("score") < float("inf")), "score", bins, ("symbol",))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sqlite3
+from collections.abc import Callable, Iterator
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.bars import date_range
 from ..schema import BARS, VALUES, cleaned
@@ -73,3 +76,71 @@ def save_run(path: str, **tables: DataFrame) -> None:
         else:
             flat = [c for c, t in df.dtypes if not t.startswith(("array", "struct", "map"))]
             df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def save_backtest(path: str, metrics: DataFrame, curve: DataFrame) -> None:
+    """The files of a back-test: backtest_summary, equity_curve, returns and backtest_data (bars with signals)."""
+    save_run(path, summary=metrics)
+    for name, values in {"equity_curve": ("equity",), "returns": ("ret",), "backtest_data": ("close", "signal", "ret", "equity")}.items():
+        save_run(path, **{name: curve.select("symbol", "ts", *values)})
+
+
+def save_optimisation(path: str, results: DataFrame) -> None:
+    """The files of a grid: the best run of each series as summary, and optimization_results with all runs."""
+    save_run(f"{path}/optimization", summary=results.filter("rank = 1"), optimization_results=results)
+
+
+def save_permutations(path: str, statistics: DataFrame, scores: DataFrame) -> None:
+    """The files of a permutation test: its statistics as summary, and permutation_scores."""
+    save_run(f"{path}/mcpt", summary=statistics, permutation_scores=scores)
+
+
+def save_walkforward(path: str, summary: DataFrame, results: DataFrame, windows: DataFrame, params: DataFrame) -> None:
+    """The files of a walk-forward: its roll-up as summary, walkforward_results, windows, and window_params with the parameters that were best."""
+    chosen = results.select("symbol", "window_id", "param_id").join(params, "param_id")
+    save_run(f"{path}/walkforward", summary=summary, walkforward_results=results, windows=windows, window_params=chosen)
+
+
+class _Rows(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.table, self.parts = options["path"], options["table"].replace('"', '""'), int(options.get("partitions", 8))
+
+    def _rows(self, sql: str, *values: int) -> list[tuple]:
+        with closing(sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)) as db:
+            return db.execute(sql, values).fetchall()
+
+    def partitions(self) -> list[_Rows]:
+        low, high = self._rows(f'SELECT min(rowid), max(rowid) FROM "{self.table}"')[0]
+        if low is None:
+            return [_Rows(0, 0)]
+        step = -(-(high - low + 1) // self.parts)
+        return [_Rows(at, min(at + step, high + 1)) for at in range(low, high + 1, step)]
+
+    def read(self, partition: _Rows) -> Iterator[tuple]:
+        yield from self._rows(f'SELECT CAST(timestamp AS TEXT), open, high, low, close, volume FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', partition.low, partition.high)
+
+
+class SqliteSource(DataSource):
+    """spark.read.format("sqlite_bars") with options path (a file that executors see), table and partitions."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_bars"
+
+    def schema(self) -> str:
+        return "timestamp string, open double, high double, low double, close double, volume double"
+
+    def reader(self, schema) -> SqliteReader:
+        return SqliteReader(self.options)
+
+
+def scan_sqlite(spark: SparkSession, path: str, table: str, symbol: str, partitions: int = 8) -> DataFrame:
+    """Bars of a table of an SQLite file, read by ranges of row numbers."""
+    spark.dataSource.register(SqliteSource)
+    raw = spark.read.format("sqlite_bars").options(path=path, table=table, partitions=str(partitions)).load()
+    return cleaned(raw.select(F.lit(symbol).alias("symbol"), F.expr("try_to_timestamp(timestamp)").cast("timestamp_ntz").alias("ts"), *VALUES))
