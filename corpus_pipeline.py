@@ -8,17 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, common, exact_dedup, mixing, near_dedup, pu_quality
+from tidemark.llm import bpe, exact_dedup, mixing, near_dedup, pu_quality
+from tidemark.sources.scratch import delete, scope, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.7 or more; it learns from the labels in sf_dir."""
+    """Documents that the classifier scores at 0.7 or more; it learns from the labels in sf_dir.
+
+    As in all stages: null and empty texts are texts of no words, long ones count whole, rows that repeat are rows of
+    their own, an empty table stays empty, and further columns of any name pass through.
+    """
     model = pu_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return pu_quality.good_rows(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts (null as empty), the row with the largest doc_id, the last by file and place among equal ones."""
     return exact_dedup.keep_one(docs)
 
 
@@ -52,8 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents of sf_dir, each but the last written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the table documents of sf_dir, each but the last written to the shared folder and read again.
+
+    What a stage leaves in the shared folder goes when its result is written, and that goes when the next one is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        with scope(spark):
+            done = stage(spark, docs, sf_dir)
+            done.write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(done.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
