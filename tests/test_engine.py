@@ -314,7 +314,7 @@ def test_klines(spark):
         return klines.offline(*a)
 
     assert len(list(klines.pages(slow, "X", "1h", 0, 10 * 3_600_000, 4))) == 11
-    df = klines.read(spark, symbol="X", interval="1d", start="2010-01-01", end="2018-01-01")
+    df = klines.read(spark, symbol="X", interval="1d", start="2010-01-01", end="2018-01-01", fetch="tidemark.sources.klines:offline")
     assert df.count() == df.select("ts").distinct().count() == 2923
 
 
@@ -370,3 +370,78 @@ def test_numpy_permutation_test(spark):
     assert r.n_permutations == 20 and 0 <= r.p_value <= 1 and s.filter("score IS NULL").count() == 0
     bad = mcpt.numpy_scores(b, "ma_crossover", [{"short": 9, "long": 2}], 3)
     assert {x.score for x in bad.collect()} == {-math.inf}
+
+
+def test_klines_over_http(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Page(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            body = json.dumps(klines.offline(q["symbol"], {"60": "1h", "D": "1d"}[q["interval"]], int(q["start"]), int(q["end"]), int(q["limit"]))).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        asked = {"symbol": "X", "interval": "1d", "start": "2020-01-01", "end": "2020-03-01", "limit": 7}
+        got = klines.read(spark, endpoint=f"http://127.0.0.1:{server.server_port}/kline", **asked)
+        want = klines.read(spark, fetch="tidemark.sources.klines:offline", **asked)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 61
+    finally:
+        server.shutdown()
+
+
+def test_payload_shapes(spark):
+    pages = ['[["1","2","3","1","2","9"]]', '{"data": [{"t": 1, "o": 2, "h": 3, "l": 1, "c": 2}]}', '{"result": {"data": [["x"]]}}', '{"list": [["1","2","3","1","2","9"], {"start": "2", "o": "2"}]}']
+    got = spark.createDataFrame([(p,) for p in pages], "p string").select(klines.decode(F.col("p")).alias("c")).collect()
+    assert [[tuple(x) for x in r.c] for r in got] == [[(1, 2.0, 3.0, 1.0, 2.0, 9.0)], [(1, 2.0, 3.0, 1.0, 2.0, 0.0)], [], [(1, 2.0, 3.0, 1.0, 2.0, 9.0)]]
+    assert klines.candle({"t": 1, "o": 2, "h": 3, "l": 1, "c": 2}) == (1, 2.0, 3.0, 1.0, 2.0, 0.0)
+    with pytest.raises(Exception, match="the exchange says no"):
+        spark.createDataFrame([('{"retCode": 10, "retMsg": "no"}',)], "p string").select(klines.decode(F.col("p"))).collect()
+
+
+def test_files_of_runs(spark, sf_dir, tmp_path):
+    import sqlite3
+
+    from tidemark.operators import backtest, strategies
+    from tidemark.plans import grid, mcpt, report, walkforward
+    from tidemark.queries.base import hourly
+
+    bars = hourly(spark, sf_dir).filter("symbol = 'click'").cache()
+    signals, params = strategies.ma_crossover_frame(bars, 10, 30), grid.expand(spark, {"short": [5, 10], "long": [20, 30]})
+    found, scores = grid.search(bars, params, "ma_crossover"), mcpt.numpy_scores(bars, "ma_crossover", [{"short": 5.0, "long": 20.0}], 20)
+    walked = walkforward.analyse(bars, params, "ma_crossover", 100, 40)
+    path = str(tmp_path / "run")
+    files.save_backtest(path, backtest.run(signals), backtest.simulate(signals))
+    files.save_optimisation(path, found)
+    files.save_permutations(path, mcpt.statistics(scores), scores)
+    files.save_walkforward(path, walkforward.summary(walked), walked, walkforward.windows(bars, 100, 40), params)
+    rows = lambda name: spark.read.option("header", True).csv(f"{path}/{name}").count()
+    assert rows("backtest_data") == rows("returns") == rows("equity_curve") == bars.count()
+    assert rows("optimization/optimization_results") == 4 and rows("mcpt/permutation_scores") == 20 and rows("walkforward/window_params") == walked.count()
+    finite = scores.filter("abs(score) < double('inf')")
+    assert report.save_all(f"{path}/tables", signals, found, ("short",), finite) == ["backtest", "optimization_short", "optimization_final", "mcpt"]
+    for bad in ("NaN", "Infinity"):
+        with pytest.raises(ValueError, match="finite"):
+            report.checked_scores(scores.withColumn("score", F.lit(bad).cast("double")))
+    with pytest.raises(ValueError, match="p-values"):
+        report.checked_scores(finite.withColumn("p", F.lit(1.5)), "p")
+    db = sqlite3.connect(tmp_path / "bars.db")
+    db.execute("CREATE TABLE sol (timestamp TEXT, open REAL, high REAL, low REAL, close REAL, volume REAL)")
+    db.executemany("INSERT INTO sol VALUES (?, 1, 2, 0.5, 1.5, 3)", [(f"2024-01-{d:02d} 00:00:00",) for d in range(1, 31)])
+    db.commit()
+    db.close()
+    assert files.scan_sqlite(spark, str(tmp_path / "bars.db"), "sol", "SOL", 4).agg(F.count("*"), F.sum("close")).first()[:] == (30, 45.0)
+    assert grid.successive_halving(bars, params, "ma_crossover", keep=0.5).count() == 1 and [x[0] for x in grid.speed_up(bars, params, "ma_crossover", (1, 2))] == [1, 2]
+    n = bars.count()
+    cut = walkforward.windows(bars, 100, 40, offset=10, least_test=5).collect()
+    assert min(r.train_start for r in cut) == 10 and max(r.test_end for r in cut) == n and all(r.test_end - r.test_start >= 5 for r in cut)
