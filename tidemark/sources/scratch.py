@@ -13,6 +13,7 @@ from contextvars import ContextVar
 from pyspark.sql import SparkSession
 
 _OWN = "spark.tidemark.scratch"
+_folders: dict[str, str] = {}
 _open: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
@@ -37,14 +38,24 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder in the shared one; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        path = f"{shared_folder(spark)}/tidemark-{app}-{uuid.uuid4().hex}"
+        fs, at = _hadoop(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _folders[app] = path
+    return _folders[app]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; what is there goes with the scope that is open, else with the driver."""
-    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     held = _open.get()
     if held is not None:
         held.append(path)
-    fs, at = _hadoop(spark, path)
-    fs.deleteOnExit(at)
     return path
 
 
@@ -54,7 +65,6 @@ def delete(spark: SparkSession, *paths: str) -> None:
         if "/tidemark-" in p:
             fs, at = _hadoop(spark, p)
             fs.delete(at, True)
-            fs.cancelDeleteOnExit(at)
 
 
 @contextmanager
