@@ -796,7 +796,7 @@ def test_shared_scopes_leave_nothing(spark):
 
     from tidemark.sources import scratch
 
-    folder = scratch.shared_folder(spark)
+    folder = os.path.dirname(scratch.scratch(spark, "probe"))
     before = set(os.listdir(folder))
     with scratch.scope(spark):
         near_dedup.keep_one(docs(spark)).count()
