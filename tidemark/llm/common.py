@@ -12,10 +12,17 @@ from ..sources.scratch import delete, scratch
 #: The columns of located(): the input's row as a struct, and where the row is.
 INPUT, FILE, ROW = "__input", "__file", "__row"
 _PLAIN = {"Project", "Filter", "SubqueryAlias"}
+#: Rows to a file of a written table, where their number is known.
+FILE_ROWS = 50_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    most_rows says that df has no more rows than that: a small table then gets few files, not one for each partition.
+    """
+    if most_rows is not None:
+        df = df.coalesce(most_rows // FILE_ROWS + 1)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

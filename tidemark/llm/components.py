@@ -40,11 +40,11 @@ def components(links: DataFrame) -> DataFrame:
         both = by_u(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = by_u(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        large = common.written(large, "large")
+        large = common.written(large, "large", 2 * now[0] if few else None)
         near = by_u(large)
         low = side(near.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = near.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        before, e = e, common.written(by_u(small).distinct(), "links")
+        before, e = e, common.written(by_u(small).distinct(), "links", 2 * now[0] if few else None)
         common.discard(spark, before, large, *([] if few else [least, low]))
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

@@ -187,8 +187,11 @@ def links_within(texts: pa.Array, sign: np.ndarray, side: np.ndarray, label: np.
     return found
 
 
-def _bucket_links(pairs: DataFrame, signs: DataFrame, floor: float) -> DataFrame:
-    """Links (a, b) of nodes that connect what may be similar in the buckets of pairs (key, node); signs has node, sign."""
+def _bucket_links(pairs: DataFrame, signs: DataFrame, floor: float, most: int) -> DataFrame:
+    """Links (a, b) of nodes that connect what may be similar in the buckets of pairs (key, node).
+
+    signs has node and sign; there are no more than most nodes.
+    """
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +206,7 @@ def _bucket_links(pairs: DataFrame, signs: DataFrame, floor: float) -> DataFrame
     def star(p: DataFrame) -> DataFrame:
         return p.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
-    held = common.written(pairs.join(sized(pairs), "key"), "near-buckets")
+    held = common.written(pairs.join(sized(pairs), "key"), "near-buckets", BANDS * most)
     if floor < 0:
         return star(held)
     signs = common.maybe_in(signs, "node", held.select("node"))
@@ -240,10 +243,10 @@ def _compared(dealt: DataFrame, compare: str, least: float, floor: float) -> Dat
     return dealt.groupBy("root", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float, floor: float) -> DataFrame:
-    """node and root of the classes that the verified pairs within the groups (node, root) make."""
+def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float, floor: float, most: int) -> DataFrame:
+    """node and root of the classes that the verified pairs within the groups (node, root) make, of at most most nodes."""
     placed = once.select("node", "size", "sign").join(groups, "node")
-    sizes = common.written(placed.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 512) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes")
+    sizes = common.written(placed.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 512) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes", most)
     placed = placed.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = common.maybe_in(rows.select("node", "__text"), "node", groups.select("node")).groupBy("node").agg(F.first("__text").alias("__text"))
     placed = common.written(placed.join(texts, "node"), "near-placed")
@@ -252,7 +255,7 @@ def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float,
     first = placed.withColumn("j", F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
     first = first.withColumn("j", F.explode("j")).select("root", F.lit(0).alias("i"), "j", (F.col("own") != 0).cast("int").alias("side"), "node", "sign", F.col("node").alias("label"), "__text")
     links = common.written(_compared(first.repartition("root", "i", "j"), "not 0-0", least, floor), "near-links")
-    label = common.written(components(links), "near-label")
+    label = common.written(components(links), "near-label", most)
     wide = placed.filter("blocks > 1")
     if wide.isEmpty():
         return label
@@ -296,14 +299,15 @@ def _classes(rows: DataFrame, kind: str, least: float, margin: float | None) ->
     sketch = common.written(sketch, "near-bands")
     # equal texts have equal bands; a text without shingles has none
     once = sketch.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("sign").alias("sign"))
-    once = common.written(once, "near-once")
-    groups = common.written(components(_bucket_links(once.select("node", F.explode("bands").alias("key")), once.select("node", "sign"), floor)), "near-groups")
-    classes = common.written(_verified(groups, once, rows, least, floor), "near-classes")
+    most = sketch.count()
+    once = common.written(once, "near-once", most)
+    groups = common.written(components(_bucket_links(once.select("node", F.explode("bands").alias("key")), once.select("node", "sign"), floor, most)), "near-groups", most)
+    classes = common.written(_verified(groups, once, rows, least, floor, most), "near-classes", most)
     named = sketch.select("node", "__id", FILE, ROW).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = common.written(named, "near-named")
+    named = common.written(named, "near-named", most)
     common.discard(rows.sparkSession, sketch, once, groups, classes)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", FILE, ROW)).alias("best"), F.count(F.lit(1)).alias("n"))
-    best = common.written(best, "near-best")  # so that the join below can split a class with very many rows
+    best = common.written(best, "near-best", most)  # so that the join below can split a class with very many rows
     out = named.join(best, "root")
     kept = (F.col(FILE) == F.col(f"best.{FILE}")) & (F.col(ROW) == F.col(f"best.{ROW}"))
     return out.select("__id", F.col("best.__id").alias("class_id"), F.col("n").alias("class_size"), kept.alias("kept"), FILE, ROW)
