@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -707,6 +708,17 @@ def test_bpe_equals_the_library(tokenizers, text):
     _same_tokens(*tokenizers, text)
 
 
+def test_bpe_takes_every_character_as_the_library_does(tokenizers):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(every), 40_000):
+        _same_tokens(*tokenizers, " ".join(f":{c}a1{c}" for c in every[i : i + 40_000]))
+    _same_tokens(*tokenizers, ":\U0003d000")  # a letter since Unicode 18 only
+    marks = [c for c in every if unicodedata.combining(c)] + ["\U00011930", "\U00011935", "a", "\u0391", "\u1100", "\u1161"]
+    rng = np.random.default_rng(5)
+    for _ in range(20_000):
+        _same_tokens(*tokenizers, "".join(marks[k] for k in rng.integers(len(marks), size=5)) + "e" + "".join(marks[k] for k in rng.integers(len(marks), size=3)))
+
+
 def test_bpe_long_words_and_texts(spark, tokenizers, sf_dir, texts):
     for t in ("thing" * 2000, "ab" * 700 + "the" * 700, "x", "", LONG):
         _same_tokens(*tokenizers, t)

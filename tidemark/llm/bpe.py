@@ -15,14 +15,16 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from .unicode_tables import LATE_MARKS, LETTERS, LOWER, NUMBERS, SPACES
+
 NONE = 1 << 60
 LONG = 512
 #: Unicode white space. str.split() also splits at U+001C to U+001F, which are none.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile(f"[{SPACES}]+")
 _ODD = re.compile("[\x1c-\x1f]")
+_LATE_MARK = re.compile(f"([{LATE_MARKS}])")
 
 
 def _byte_letters() -> list[str]:
@@ -51,12 +53,25 @@ class Memo(dict):
         return got
 
 
+def _known(split: str | None) -> bool:
+    """Whether a pattern has no classes but letters, numbers and white space, each within brackets."""
+    plain = re.sub(r"\\p\{[LN]\}|\\s", "", "".join(re.findall(r"\[[^\]]*\]", split or "")))
+    return split is not None and "\\" not in plain + re.sub(r"\[[^\]]*\]", "", split)
+
+
+def _normal(text: str) -> str:
+    """NFC in which late marks neither move nor compose."""
+    if text.isascii():
+        return text
+    return "".join([unicodedata.normalize("NFC", x) for x in _LATE_MARK.split(text)])
+
+
 def _check(data: dict) -> None:
     """ValueError where a tokenizer's file asks for another normalisation, split or merging than is done here."""
     model, steps, cuts = data["model"], (data.get("normalizer") or {}).get("normalizers"), (data.get("pre_tokenizer") or {}).get("pretokenizers")
     fields = {
         "normalizer": [x["type"] for x in steps or []] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " ",
-        "pre_tokenizer": [x["type"] for x in cuts or []] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"],
+        "pre_tokenizer": [x["type"] for x in cuts or []] == ["Split", "ByteLevel"] and _known(cuts[0]["pattern"].get("Regex")) and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"],
         "model": model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
         "added_tokens": not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in data["added_tokens"]),
         "decoder": data.get("decoder") is None,
@@ -80,7 +95,7 @@ class WordBpe:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         split = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split, regex.V0)
+        self.split = re.compile(split.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS).replace(r"\s", SPACES))
         self.letters = _byte_letters()
         top = max([*self.vocab.values(), *self.special.values()]) + 1
         self.table = [b""] * top
@@ -146,7 +161,7 @@ class WordBpe:
             if norm[:-1].isalpha() and not norm[-1].isdigit():
                 return self.words[norm[:-1]] + self.words[norm[-1]]
         else:
-            norm = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # a sigma at a word's end too
+            norm = _normal(chunk).translate(LOWER).replace("Σ", "σ").lower()  # a sigma at a word's end too
         return b"".join(map(self.words.__getitem__, self.split.findall(norm)))
 
     def _plain(self, text: str) -> bytes:
