@@ -850,3 +850,46 @@ def test_pipeline_edge_cases(spark, sf_dir, rows):
         got.count()
         if name != corpus_pipeline.STAGES[-1][0]:
             assert got.columns == docs(spark).columns
+
+
+def _many_files(spark, folder, n=40):
+    """A table of documents in n files of a few rows."""
+    words_ = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(words_[i % 7 : i % 7 + 60]), "s") for i in range(4 * n)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n).write.parquet(folder)
+    return spark.read.option("maxPartitionBytes", "1k").parquet(folder)
+
+
+@pytest.fixture
+def wide_shuffles(spark):
+    """Many partitions of files and exchanges, which nothing takes together by itself."""
+    own = spark.newSession()
+    for k, v in {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1k"}.items():
+        own.conf.set(k, v)
+    return own
+
+
+def _files_of_tables(monkeypatch):
+    """The number of files of each scratch table from now on, by name."""
+    from tidemark.llm import common
+
+    files, written = defaultdict(list), common.written
+
+    def counted(df, name, *a, **b):
+        out = written(df, name, *a, **b)
+        files[name].append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    return files
+
+
+def test_exact_dedup_of_a_small_input_makes_few_files(wide_shuffles, tmp_path, monkeypatch):
+    table = _many_files(wide_shuffles, str(tmp_path / "docs"))
+    files = _files_of_tables(monkeypatch)
+    got = exact_dedup.exact_dedup(table)
+    assert got.filter("kept").count() == 7 and got.count() == 160
+    assert files["dedup-state"] and max(max(n) for n in files.values()) <= 8 and got.rdd.getNumPartitions() <= 8
+    exact_dedup.exact_dedup(table, state=str(tmp_path / "state")).count()
+    assert len(list((tmp_path / "state/prints/1").glob("part-*"))) <= 8
+    assert {p.name for p in (tmp_path / "state/state/state/0").iterdir() if p.name.isdigit()} >= {str(i) for i in range(48)}  # a state that stays has them all

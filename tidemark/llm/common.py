@@ -14,15 +14,31 @@ INPUT, FILE, ROW = "__input", "__file", "__row"
 _PLAIN = {"Project", "Filter", "SubqueryAlias"}
 #: Rows to a file of a written table, where their number is known.
 FILE_ROWS = 50_000
+#: Bytes of input files to a task, where each core has two tasks.
+TASK_BYTES = 64 << 20
 
 
-def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+def tasks(docs: DataFrame) -> int:
+    """Into how many tasks a pass over docs, or over what is made of it, goes: two for a core, more for large inputs.
+
+    Hadoop's local file system starts three child processes for a file that a task writes, so small inputs shall
+    not make a file of each of very many partitions.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1), 1 << 30)
+
+
+def written(df: DataFrame, name: str, most_rows: int | None = None, most_tasks: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
     most_rows says that df has no more rows than that: a small table then gets few files, not one for each partition.
+    most_tasks (see tasks) bounds the files whatever the rows; partitions are only taken together, never cut.
     """
+    bounds = [most_tasks] if most_tasks else []
     if most_rows is not None:
-        df = df.coalesce(most_rows // FILE_ROWS + 1)
+        bounds.append(most_rows // FILE_ROWS + 1)
+    if bounds:
+        df = df.coalesce(min(bounds))
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,7 +21,11 @@ _STREAM_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # a store that stays open holds native memory and, with its preallocated manifest, 4 MB of disk
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    # the default manager starts four child processes more for each file of a store on a local file system
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
 }
+#: Fingerprints to a store of a state that goes after the call.
+STORE_ROWS = 50_000
 
 
 def _summed(prints: DataFrame) -> DataFrame:
@@ -29,13 +33,18 @@ def _summed(prints: DataFrame) -> DataFrame:
     return prints.groupBy("digest").agg(F.max(F.struct("__id", FILE, ROW)).alias("__keep"), F.count(F.lit(1)).alias("__n"))
 
 
-def _run_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None) -> bool:
+def _run_stream(spark: SparkSession, folder: str, prints: DataFrame, files_per_batch: int | None, stays: bool) -> bool:
     """Take all fingerprints under folder that the state there has not seen; whether the state holds anything.
 
-    The stream runs in a session of its own, so its settings touch no other query.
+    The stream runs in a session of its own, so its settings touch no other query. A state that stays has as many
+    stores as there are shuffle partitions, for all deliveries to come; one of these prints only has what they need.
     """
-    own = spark.newSession()
-    for k, v in {**_STREAM_CONF, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+    own, schema = spark.newSession(), prints.schema
+    stores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not stays:  # nor does it need files of checksums, of which the engine writes one for each file of the state
+        own.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
+        stores = min(stores, max(spark.sparkContext.defaultParallelism, prints.count() // STORE_ROWS + 1))
+    for k, v in {**_STREAM_CONF, "spark.sql.shuffle.partitions": str(stores)}.items():
         own.conf.set(k, v)
     per_batch = files_per_batch or max(64, 4 * spark.sparkContext.defaultParallelism)
     source = own.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(f"{folder}/prints/*")
@@ -67,17 +76,18 @@ def _texts_at(places: DataFrame, text_col: str) -> DataFrame:
     return places.join(text, [FILE, ROW])
 
 
-def _classes(rows: DataFrame, text_col: str, digest_bytes: int, files_per_batch: int | None, folder: str, delivery: str) -> DataFrame:
+def _classes(rows: DataFrame, text_col: str, digest_bytes: int, files_per_batch: int | None, state_folder: str | None, delivery: str, most_tasks: int) -> DataFrame:
     """exact_dedup() of rows with __id, __text, FILE and ROW."""
     spark = rows.sparkSession
+    folder = (state_folder or common.scratch(spark, "dedup")).rstrip("/")
     rows = rows.withColumn("__sha", F.unhex(F.sha2(F.col("__text"), 256)))
     rows = rows.withColumn("digest", F.substring("__sha", 1, digest_bytes))
     path = f"{folder}/prints/{delivery}"
     if not _exists(spark, f"{path}/_SUCCESS"):  # else an earlier try came so far
-        rows.drop("__text").write.mode("overwrite").parquet(path)
+        rows.drop("__text").coalesce(most_tasks).write.mode("overwrite").parquet(path)
     prints = spark.read.schema(rows.drop("__text").schema).parquet(path)
-    if _run_stream(spark, folder, prints.schema, files_per_batch):
-        state = common.written(_state(spark, folder), "dedup-state")
+    if _run_stream(spark, folder, prints, files_per_batch, state_folder is not None):
+        state = common.written(_state(spark, folder), "dedup-state", most_tasks=most_tasks)
     else:  # no delivery has had a row yet
         state = _summed(prints)
 
@@ -88,10 +98,10 @@ def _classes(rows: DataFrame, text_col: str, digest_bytes: int, files_per_batch:
     earlier = hits.join(prints.select("digest").distinct(), "digest", "left_semi").select("digest", F.col(f"__keep.{FILE}").alias(FILE), F.col(f"__keep.{ROW}").alias(ROW))
     others = _others(spark, folder, delivery)
     if others:
-        foreign = common.written(earlier.join(prints.select(FILE, ROW), [FILE, ROW], "left_anti"), "dedup-earlier")
+        foreign = common.written(earlier.join(prints.select(FILE, ROW), [FILE, ROW], "left_anti"), "dedup-earlier", most_tasks=most_tasks)
         hit = hit.unionByName(_texts_at(foreign, text_col).select("digest", "__text"))
     several = hit.groupBy("digest").agg(F.collect_set("__text").alias("__texts")).filter(F.size("__texts") > 1).select("digest")
-    several = common.written(several, "dedup-several")
+    several = common.written(several, "dedup-several", most_tasks=most_tasks)
 
     def result(groups: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:
         """members with the row that stays of their group."""
@@ -147,9 +157,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = _located(docs, state, delivery)
     picked = rows.select(common.of_input(id_col).alias("__id"), F.coalesce(common.of_input(text_col), F.lit("")).alias("__text"), FILE, ROW)
-    folder = state or common.scratch(docs.sparkSession, "dedup")
-    out = _classes(picked, text_col, digest_bytes, files_per_batch, folder.rstrip("/"), delivery)
-    return out.select(F.col("__id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+    n = common.tasks(docs)
+    out = _classes(picked, text_col, digest_bytes, files_per_batch, state, delivery, n)
+    return out.select(F.col("__id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256").coalesce(n)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: str | None = None, delivery: str = "1") -> DataFrame:
@@ -160,6 +170,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     """
     rows = _located(docs, state, delivery)
     picked = rows.select(common.of_input(id_col).alias("__id"), F.coalesce(common.of_input(text_col), F.lit("")).alias("__text"), FILE, ROW)
-    folder = state or common.scratch(docs.sparkSession, "dedup")
-    dropped = _classes(picked, text_col, 32, None, folder.rstrip("/"), delivery).filter("NOT kept").select(FILE, ROW)
-    return common.input_rows(rows.join(dropped, [FILE, ROW], "left_anti"))
+    n = common.tasks(docs)
+    dropped = _classes(picked, text_col, 32, None, state, delivery, n).filter("NOT kept").select(FILE, ROW)
+    return common.input_rows(rows.join(dropped, [FILE, ROW], "left_anti")).coalesce(n)
