@@ -893,3 +893,19 @@ def test_exact_dedup_of_a_small_input_makes_few_files(wide_shuffles, tmp_path, m
     exact_dedup.exact_dedup(table, state=str(tmp_path / "state")).count()
     assert len(list((tmp_path / "state/prints/1").glob("part-*"))) <= 8
     assert {p.name for p in (tmp_path / "state/state/state/0").iterdir() if p.name.isdigit()} >= {str(i) for i in range(48)}  # a state that stays has them all
+
+
+def test_substring_dedup_of_a_small_input_makes_few_files(wide_shuffles, tmp_path, monkeypatch):
+    table = _many_files(wide_shuffles, str(tmp_path / "docs"))
+    files = _files_of_tables(monkeypatch)
+    got = substring_dedup.substring_dedup(table)
+    assert got.count() == 160 and got.rdd.getNumPartitions() <= 8
+    assert files["anchors"] and max(max(n) for n in files.values()) <= 8
+
+
+def test_near_dedup_of_a_small_input_makes_few_files(wide_shuffles, tmp_path, monkeypatch):
+    table = _many_files(wide_shuffles, str(tmp_path / "docs"))
+    files = _files_of_tables(monkeypatch)
+    got = near_dedup.near_dedup(table)
+    assert got.count() == 160 and got.filter("kept").count() < 160 and got.rdd.getNumPartitions() <= 8
+    assert files["near-bands"] and max(max(n) for n in files.values()) <= 8

@@ -116,6 +116,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique = rows.groupBy(doc.alias("doc")).count().filter("count > 1").isEmpty()
     rows = rows.withColumn("doc", doc).withColumn("tie", F.lit(0).cast("long") if unique else F.xxhash64(FILE, ROW))
     width = window - ANCHOR + 1
+    n_tasks = common.tasks(docs)
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,11 +128,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 begin = np.searchsorted(text, text[place])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc_[owner]), pa.array(tie[owner]), pa.array((place - begin).astype(np.int32))], names=["key", "doc", "tie", "place"])
 
-    found = common.written(rows.select("text", "doc", "tie").mapInArrow(anchored, "key long, doc long, tie long, place int"), "anchors")
-    repeated = common.written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", (F.col("n") > HOT).alias("hot")), "repeated")
+    found = common.written(rows.select("text", "doc", "tie").mapInArrow(anchored, "key long, doc long, tie long, place int"), "anchors", most_tasks=n_tasks)
+    repeated = common.written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", (F.col("n") > HOT).alias("hot")), "repeated", most_tasks=n_tasks)
     cands = common.maybe_in(found, "key", repeated.select("key")).join(repeated, "key")
     cands = cands.groupBy("doc", "tie").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"))
-    cands = common.written(cands, "candidates")
+    cands = common.written(cands, "candidates", most_tasks=n_tasks)
     common.discard(spark, found, repeated)
 
     marked = common.maybe_marked(rows, F.xxhash64("doc", "tie"), cands.select(F.xxhash64("doc", "tie")), "__maybe")
@@ -174,7 +175,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(doc_[owner]), pa.array(tie[owner]), pa.array(at.astype(np.int32)), pa.array(parts, pa.binary()), pa.array(keep >= cold_rows)], names=["key", "doc", "tie", "at", "body", "hot"])
 
     dealt = marked.filter("__maybe").select("text", "doc", "tie").join(cands, ["doc", "tie"]).select("text", "doc", "tie", "places", "hot")
-    context_rows = common.written(dealt.mapInArrow(contexts, "key long, doc long, tie long, at int, body binary, hot boolean"), "contexts")
+    context_rows = common.written(dealt.mapInArrow(contexts, "key long, doc long, tie long, at int, body binary, hot boolean"), "contexts", most_tasks=n_tasks)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -210,7 +211,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = earliest.repartition(parts, "key").sortWithinPartitions("key")
     firsts = shards.mapInArrow(indexed, "doc long, tie long, at int, mask long")
     firsts = firsts.groupBy("doc", "tie").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
-    firsts = common.written(cands.drop("hot").join(firsts, ["doc", "tie"], "left"), "firsts")
+    firsts = common.written(cands.drop("hot").join(firsts, ["doc", "tie"], "left"), "firsts", most_tasks=n_tasks)
     common.discard(spark, cands, context_rows)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = common.maybe_marked(rows, F.xxhash64("doc", "tie"), firsts.select(F.xxhash64("doc", "tie")), "__maybe")
     easy = again.filter("NOT __maybe").select("id", "text").mapInArrow(finished, schema)
     hard = again.filter("__maybe").drop("__maybe", FILE, ROW).join(firsts, ["doc", "tie"], "left").select("id", "text", "places", "at", "mask").mapInArrow(finished, schema)
-    return easy.unionByName(hard).withColumnRenamed("id", id_col)
+    return easy.unionByName(hard).withColumnRenamed("id", id_col).coalesce(n_tasks)
 
 
 def _chosen(lists: pa.Array, row: int, n: int, begins: np.ndarray) -> np.ndarray:
