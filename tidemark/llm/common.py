@@ -14,18 +14,19 @@ INPUT, FILE, ROW = "__input", "__file", "__row"
 _PLAIN = {"Project", "Filter", "SubqueryAlias"}
 #: Rows to a file of a written table, where their number is known.
 FILE_ROWS = 50_000
-#: Bytes of input files to a task, where each core has two tasks.
-TASK_BYTES = 64 << 20
+#: Bytes of input files to a task, where each core has one task, and where it has two.
+SMALL_TASK_BYTES, TASK_BYTES = 16 << 20, 64 << 20
 
 
 def tasks(docs: DataFrame) -> int:
-    """Into how many tasks a pass over docs, or over what is made of it, goes: two for a core, more for large inputs.
+    """Into how many tasks a pass over docs, or over what is made of it, goes: one or two for a core, more for large inputs.
 
     Hadoop's local file system starts three child processes for a file that a task writes, so small inputs shall
     not make a file of each of very many partitions.
     """
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1), 1 << 30)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return min(max(cores, min(2 * cores, size // SMALL_TASK_BYTES), size // TASK_BYTES + 1), 1 << 30)
 
 
 def written(df: DataFrame, name: str, most_rows: int | None = None, most_tasks: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from . import common
 TASK_LINKS, FEW_LINKS = 50_000, 1_000_000
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most_tasks: int | None = None) -> DataFrame:
     """node and root (the least node of its component) for each node of links (a, b) that has a link to another.
 
     Each round points every neighbour at the least node seen next to it, until a round changes nothing, so the
@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     links give no rows.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    e = common.written(e, "links")
+    e = common.written(e, "links", most_tasks=most_tasks)
     state = None
     while True:
         spark, now = e.sparkSession, e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -35,16 +35,16 @@ def components(links: DataFrame) -> DataFrame:
 
         def side(df: DataFrame, name: str, few: bool = few) -> DataFrame:
             """One side of a join: with many links a written table, so that the engine can split a node's rows."""
-            return df if few else common.written(df, name)
+            return df if few else common.written(df, name, most_tasks=most_tasks)
 
         both = by_u(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = side(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = by_u(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        large = common.written(large, "large", 2 * now[0] if few else None)
+        large = common.written(large, "large", 2 * now[0] if few else None, most_tasks)
         near = by_u(large)
         low = side(near.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = near.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        before, e = e, common.written(by_u(small).distinct(), "links", 2 * now[0] if few else None)
+        before, e = e, common.written(by_u(small).distinct(), "links", 2 * now[0] if few else None, most_tasks)
         common.discard(spark, before, large, *([] if few else [least, low]))
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

@@ -187,7 +187,7 @@ def links_within(texts: pa.Array, sign: np.ndarray, side: np.ndarray, label: np.
     return found
 
 
-def _bucket_links(pairs: DataFrame, signs: DataFrame, floor: float, most: int) -> DataFrame:
+def _bucket_links(pairs: DataFrame, signs: DataFrame, floor: float, most: int, n_tasks: int) -> DataFrame:
     """Links (a, b) of nodes that connect what may be similar in the buckets of pairs (key, node).
 
     signs has node and sign; there are no more than most nodes.
@@ -206,7 +206,7 @@ def _bucket_links(pairs: DataFrame, signs: DataFrame, floor: float, most: int) -
     def star(p: DataFrame) -> DataFrame:
         return p.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
-    held = common.written(pairs.join(sized(pairs), "key"), "near-buckets", BANDS * most)
+    held = common.written(pairs.join(sized(pairs), "key"), "near-buckets", BANDS * most, n_tasks)
     if floor < 0:
         return star(held)
     signs = common.maybe_in(signs, "node", held.select("node"))
@@ -218,7 +218,7 @@ def _bucket_links(pairs: DataFrame, signs: DataFrame, floor: float, most: int) -
             lambda i: F.xxhash64("key", i, F.substring("sign", (F.pmod(F.xxhash64("key", i), F.lit(BANDS * ROWS // CUT_ROWS)) * (2 * CUT_ROWS) + 1).cast("int"), F.lit(2 * CUT_ROWS))),
         )
         cuts = large.select("key", "node").join(signs, "node").select("node", F.explode(F.array_distinct(cut)).alias("key"))
-        cuts = common.written(cuts.join(sized(cuts), "key"), "near-cuts")
+        cuts = common.written(cuts.join(sized(cuts), "key"), "near-cuts", most_tasks=n_tasks)
         small = small.unionByName(cuts.filter(F.col("n") <= MEMBERS).select("key", "node"))
         out = star(cuts.filter(F.col("n") > MEMBERS))
     members = small.join(signs, "node").groupBy("key").agg(F.collect_list(F.struct("node", "sign")).alias("members"))
@@ -243,26 +243,26 @@ def _compared(dealt: DataFrame, compare: str, least: float, floor: float) -> Dat
     return dealt.groupBy("root", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float, floor: float, most: int) -> DataFrame:
+def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float, floor: float, most: int, n_tasks: int) -> DataFrame:
     """node and root of the classes that the verified pairs within the groups (node, root) make, of at most most nodes."""
     placed = once.select("node", "size", "sign").join(groups, "node")
-    sizes = common.written(placed.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 512) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes", most)
+    sizes = common.written(placed.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 512) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks")), "near-sizes", most, n_tasks)
     placed = placed.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = common.maybe_in(rows.select("node", "__text"), "node", groups.select("node")).groupBy("node").agg(F.first("__text").alias("__text"))
-    placed = common.written(placed.join(texts, "node"), "near-placed")
+    placed = common.written(placed.join(texts, "node"), "near-placed", most_tasks=n_tasks)
 
     # Each block against itself and the group's first block: a group of copies of one text is one class then.
     first = placed.withColumn("j", F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
     first = first.withColumn("j", F.explode("j")).select("root", F.lit(0).alias("i"), "j", (F.col("own") != 0).cast("int").alias("side"), "node", "sign", F.col("node").alias("label"), "__text")
-    links = common.written(_compared(first.repartition("root", "i", "j"), "not 0-0", least, floor), "near-links")
-    label = common.written(components(links), "near-label", most)
+    links = common.written(_compared(first.repartition("root", "i", "j"), "not 0-0", least, floor), "near-links", most_tasks=n_tasks)
+    label = common.written(components(links, n_tasks), "near-label", most, n_tasks)
     wide = placed.filter("blocks > 1")
     if wide.isEmpty():
         return label
 
     # In groups of several blocks, what is not in the largest class meets the blocks that it has not met.
     wide = wide.join(label.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    wide = common.written(wide, "near-wide")
+    wide = common.written(wide, "near-wide", most_tasks=n_tasks)
     main = wide.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     wide = wide.join(main, "root")
     rest = wide.filter("label <> main")
@@ -274,11 +274,11 @@ def _verified(groups: DataFrame, once: DataFrame, rows: DataFrame, least: float,
     every = wide.join(parts, "root").filter("own > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     columns = ["root", "i", "j", "side", "node", "sign", "label", "__text"]
     dealt = rest.withColumn("side", F.lit(0)).select(columns).unionByName(every.withColumn("side", F.lit(1)).withColumn("j", F.col("own")).select(columns))
-    more = common.written(_compared(dealt.repartition("root", "i", "j"), "0-1", least, floor), "near-links")
-    return label if more.isEmpty() else components(links.unionByName(more))
+    more = common.written(_compared(dealt.repartition("root", "i", "j"), "0-1", least, floor), "near-links", most_tasks=n_tasks)
+    return label if more.isEmpty() else components(links.unionByName(more), n_tasks)
 
 
-def _classes(rows: DataFrame, kind: str, least: float, margin: float | None) -> DataFrame:
+def _classes(rows: DataFrame, kind: str, least: float, margin: float | None, n_tasks: int) -> DataFrame:
     """__id, class_id, class_size, kept, FILE and ROW of rows with __id, __text, FILE and ROW."""
     floor = floor_of(least, margin)
     rows = rows.withColumn("node", F.substring(F.unhex(F.sha2(F.col("__text"), 256)), 1, 16))
@@ -296,18 +296,18 @@ def _classes(rows: DataFrame, kind: str, least: float, margin: float | None) ->
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[1:]), pa.array(np.diff(offsets)), pa.array(keep, pa.list_(pa.int64())), pa.array([short[i].tobytes() if has[i] else b"" for i in range(n)], pa.binary())], names=["node", "__id", FILE, ROW, "size", "bands", "sign"])
 
     sketch = rows.select("__text", "node", "__id", FILE, ROW).mapInArrow(signed, f"node binary, __id {kind}, {FILE} string, {ROW} long, size long, bands array<long>, sign binary")
-    sketch = common.written(sketch, "near-bands")
+    sketch = common.written(sketch, "near-bands", most_tasks=n_tasks)
     # equal texts have equal bands; a text without shingles has none
     once = sketch.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("sign").alias("sign"))
     most = sketch.count()
-    once = common.written(once, "near-once")
-    groups = common.written(components(_bucket_links(once.select("node", F.explode("bands").alias("key")), once.select("node", "sign"), floor, most)), "near-groups", most)
-    classes = common.written(_verified(groups, once, rows, least, floor, most), "near-classes", most)
+    once = common.written(once, "near-once", most_tasks=n_tasks)
+    groups = common.written(components(_bucket_links(once.select("node", F.explode("bands").alias("key")), once.select("node", "sign"), floor, most, n_tasks), n_tasks), "near-groups", most, n_tasks)
+    classes = common.written(_verified(groups, once, rows, least, floor, most, n_tasks), "near-classes", most, n_tasks)
     named = sketch.select("node", "__id", FILE, ROW).join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = common.written(named, "near-named", most)
+    named = common.written(named, "near-named", most, n_tasks)
     common.discard(rows.sparkSession, sketch, once, groups, classes)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", FILE, ROW)).alias("best"), F.count(F.lit(1)).alias("n"))
-    best = common.written(best, "near-best", most)  # so that the join below can split a class with very many rows
+    best = common.written(best, "near-best", most, n_tasks)  # so that the join below can split a class with very many rows
     out = named.join(best, "root")
     kept = (F.col(FILE) == F.col(f"best.{FILE}")) & (F.col(ROW) == F.col(f"best.{ROW}"))
     return out.select("__id", F.col("best.__id").alias("class_id"), F.col("n").alias("class_size"), kept.alias("kept"), FILE, ROW)
@@ -328,8 +328,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     these, an estimate margin standard errors too low makes 4e-6, and margin None none. An empty table gives no
     rows; other columns, whatever their names, are ignored.
     """
-    out = _classes(_picked(common.located(docs), id_col, text_col), docs.schema[id_col].dataType.simpleString(), least, margin)
-    return out.withColumnRenamed("__id", id_col).drop(FILE, ROW)
+    n = common.tasks(docs)
+    out = _classes(_picked(common.located(docs), id_col, text_col), docs.schema[id_col].dataType.simpleString(), least, margin, n)
+    return out.withColumnRenamed("__id", id_col).drop(FILE, ROW).coalesce(n)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,6 +338,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Nulls, empty and long texts, ties and repeated rows as in near_dedup; an empty table stays empty.
     """
-    rows = common.located(docs)
-    dropped = _classes(_picked(rows, id_col, text_col), docs.schema[id_col].dataType.simpleString(), LEAST, MARGIN).filter("NOT kept").select(FILE, ROW)
-    return common.input_rows(rows.join(dropped, [FILE, ROW], "left_anti"))
+    rows, n = common.located(docs), common.tasks(docs)
+    dropped = _classes(_picked(rows, id_col, text_col), docs.schema[id_col].dataType.simpleString(), LEAST, MARGIN, n).filter("NOT kept").select(FILE, ROW)
+    return common.input_rows(rows.join(dropped, [FILE, ROW], "left_anti")).coalesce(n)
